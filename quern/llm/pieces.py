@@ -22,7 +22,7 @@ SPACE = "▁"
 NEVER = float("inf")
 START, UNKNOWN = -1, -2
 BLOCK_CHARS = 1 << 18
-MEMORY_UNITS = 200_000
+MEMORY_UNITS = 300_000
 MEMORY_PAIRS = 400_000
 MEMORY_UNIT_CHARS = 64
 
@@ -186,6 +186,7 @@ class PieceEncoder:
         self.letters = set("".join(self.matched))
         self.space_id = self.model.ids.get(SPACE)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _relax(self, units: list[str]) -> list[bytes]:
         """Ids of each unit, as bytes of 32-bit integers."""
@@ -251,19 +252,26 @@ class PieceEncoder:
         return found
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text, as bytes of little-endian 32-bit integers."""
+        """Ids of each text, as bytes of little-endian 32-bit integers. Words seen before come from a bounded memory of two
+        generations: when the younger one is full it becomes the older, and what is used again moves on to the next."""
         split = [t.replace(SPACE, " ").split(" ") if t else [] for t in texts]
         if len(self.known) > MEMORY_UNITS:
-            self.known.clear()
-        new = dict.fromkeys(SPACE + w for words in split for w in words if w and w not in self.known)
-        found = {u[1:]: ids for u, ids in self._learn(list(new)).items()}
-        if len(found) and len(self.known) + len(found) <= 2 * MEMORY_UNITS:
-            self.known.update((u, ids) for u, ids in found.items() if len(u) <= MEMORY_UNIT_CHARS)
-        known = self.known
-        lookup = lambda w: found[w] if w in found else known[w]
-        return [b"".join(map(lookup, words)) if "" not in words else self._with_spaces(words, lookup) for words in split]
+            self.known, self.older = {}, self.known
+        known, older, new = self.known, self.older, []
+        for word in set().union(*split).difference(known):
+            found = older.get(word)
+            if found is not None:
+                known[word] = found
+            elif word:
+                new.append(SPACE + word)
+        known.update((unit[1:], ids) for unit, ids in self._learn(new).items())
+        coded = [b"".join([known[w] for w in words]) if "" not in words else self._with_spaces(words) for words in split]
+        for unit in new:
+            if len(unit) > MEMORY_UNIT_CHARS:
+                del known[unit[1:]]
+        return coded
 
-    def _with_spaces(self, words: list[str], lookup) -> bytes:
+    def _with_spaces(self, words: list[str]) -> bytes:
         """words with empty ones among them: each is a space that stands before the next word's own."""
         parts, free = [], 0
         lone = np.array([self.space_id if self.space_id is not None else -1], dtype="<i4").tobytes()
@@ -272,7 +280,7 @@ class PieceEncoder:
             if not word:
                 free += 1
                 continue
-            ids = lookup(word)
+            ids = self.known[word]
             if free and ids.startswith(lone):  # the word left its own space alone, so it joins the run
                 parts += [run(free + 1), ids[4:]]
             else:
