@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("queries_simhash", "queries_files", "queries_pieces", "queries_html", "queries_quality")
+MODULES = ("queries_simhash", "queries_files", "queries_pieces", "queries_html", "queries_quality", "queries_pii")
 
 
 def _gather(attribute: str) -> dict:
