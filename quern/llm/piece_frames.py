@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.pieces import encoder
+from quern.llm.workers import no_cycles
 
 ROWS_AT_ONCE = 512
 
@@ -32,7 +33,8 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 batch = whole.slice(at, ROWS_AT_ONCE)
                 texts = [t or "" for t in batch.column(1).to_pylist()]
-                coded = coder.encode_batch(texts)
+                with no_cycles():
+                    coded = coder.encode_batch(texts)
                 columns = [batch.column(0), pa.array([len(c) // 4 for c in coded], pa.int64()), _lists(coded)]
                 if check:
                     columns.append(pa.array([coder.decode(np.frombuffer(c, dtype="<i4").tolist()) == t for c, t in zip(coded, texts)], pa.bool_()))

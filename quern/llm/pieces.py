@@ -20,10 +20,10 @@ import numpy as np
 
 SPACE = "▁"
 NEVER = float("inf")
-START, UNKNOWN = -1, -2
+START, UNKNOWN, NONE = -1, -2, -3
 BLOCK_CHARS = 1 << 18
 MEMORY_UNITS = 300_000
-MEMORY_PAIRS = 400_000
+PAIR_SLOTS = 1 << 21
 MEMORY_UNIT_CHARS = 64
 
 
@@ -62,7 +62,8 @@ class PieceModel:
             if spines:
                 self.right[i], self.left[i] = spines
         self.depth = max(map(len, self.ids))
-        self._apart: dict[int, bool] = {}
+        self._pairs = np.full(PAIR_SLOTS, -1, dtype=np.int64)
+        self._answers = np.zeros(PAIR_SLOTS, dtype=bool)
 
     def merges(self, text: str) -> tuple[list[str], list[tuple[str, str]]]:
         """BPE by its definition, for short texts: the parts that remain and the merges made."""
@@ -102,15 +103,18 @@ class PieceModel:
             parts[i : i + 2] = [x + y]
         return False
 
-    def apart(self, a: int, b: int) -> bool:
-        """Whether BPE leaves piece a and piece b, side by side, as they are."""
-        key = a * len(self.pieces) + b
-        found = self._apart.get(key)
-        if found is None:
-            if len(self._apart) > MEMORY_PAIRS:
-                self._apart.clear()
-            found = self._apart[key] = self._stay(self.right[a], self.left[b])
-        return found
+    def apart_many(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether BPE leaves the pieces of each pair, side by side, as they are. Answers are kept in a table with one slot per hash."""
+        keys = left.astype(np.int64) * len(self.pieces) + right
+        slots = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(43)).astype(np.int64)
+        answers, missed = self._answers[slots], self._pairs[slots] != keys
+        if missed.any():
+            new, back = np.unique(keys[missed], return_inverse=True)
+            found = np.array([self._stay(self.right[k // len(self.pieces)], self.left[k % len(self.pieces)]) for k in new.tolist()], dtype=bool)
+            answers[missed] = found[back]
+            self._pairs[slots[missed]] = keys[missed]
+            self._answers[slots[missed]] = found[back]
+        return answers
 
     def _stay(self, right: list, left: list) -> bool:
         i = j = 0
@@ -150,7 +154,7 @@ class SuffixIndex:
     def __init__(self, text: str, depth: int):
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
         self.alphabet, dense = np.unique(codes, return_inverse=True)
-        wide = ">u2" if len(self.alphabet) < 65535 else ">u4"
+        wide = "u1" if len(self.alphabet) < 255 else ">u2" if len(self.alphabet) < 65535 else ">u4"
         padded = np.zeros(len(codes) + depth, dtype=wide)
         padded[: len(codes)] = dense + 1
         self.depth, self.dtype, self.bytes = depth, wide, np.dtype(wide).itemsize * depth
@@ -183,6 +187,7 @@ class PieceEncoder:
         self.matched = [p for p, i in self.model.ids.items() if i in self.model.right]
         self.matched_ids = np.array([self.model.ids[p] for p in self.matched])
         self.matched_lengths = np.array([len(p) for p in self.matched])
+        self.piece_lengths = np.array([len(p) for p in self.model.pieces])
         self.letters = set("".join(self.matched))
         self.space_id = self.model.ids.get(SPACE)
         self.known: dict[str, bytes] = {}
@@ -204,39 +209,44 @@ class PieceEncoder:
             codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
             spots = np.flatnonzero(np.isin(codes, np.array([ord(c) for c in strange], dtype=np.uint32)))
             starts, ends, ids = np.concatenate([starts, spots]), np.concatenate([ends, spots + 1]), np.concatenate([ids, np.full(len(spots), UNKNOWN)])
-        order = np.argsort(starts, kind="stable")
-        last: list[int | None] = [None] * (len(text) + 1)
-        at, firsts = 0, []
-        for unit in units:
-            firsts.append(at)
-            last[at] = START
-            at += len(unit) + 1
-        stops = set(f + len(u) for f, u in zip(firsts, units))
-        seen, width, apart = model._apart, len(model.pieces), model.apart
-        for s, e, piece in zip(starts[order].tolist(), ends[order].tolist(), ids[order].tolist()):
-            before = last[s]
-            if before is None or (s in stops and before != START) or last[e] is not None and last[e] != START:
-                continue
-            if before >= 0 and piece >= 0:
-                ok = seen.get(before * width + piece)
-                if ok is None:
-                    ok = apart(before, piece)
-                if not ok:
-                    continue
-            last[e] = piece
-        out = []
-        for first, unit in zip(firsts, units):
-            at, found = first + len(unit), []
-            while at > first:
-                piece = last[at]
-                if piece == UNKNOWN:
-                    at -= 1
-                    found += model._fallback(text[at])[::-1]
-                else:
-                    at -= len(model.pieces[piece])
-                    found.append(piece)
-            out.append(np.array(found[::-1], dtype="<i4").tobytes())
-        return out
+        sizes = np.array([len(u) for u in units])
+        firsts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        depth = starts - np.repeat(firsts, sizes + 1)[starts]
+        order = np.argsort(depth, kind="stable")
+        starts, ends, ids = starts[order], ends[order], ids[order]
+        last = np.full(len(text) + 1, NONE, dtype=np.int32)
+        last[firsts] = START
+        steps = np.searchsorted(depth[order], np.arange(int(sizes.max(initial=0)) + 1))
+        for a, b in zip(steps, steps[1:]):  # all edges that begin so far from the start of their unit
+            before, piece = last[starts[a:b]], ids[a:b]
+            there = before != NONE
+            check = there & (before >= 0) & (piece >= 0)
+            there[check] = model.apart_many(before[check], piece[check])
+            last[ends[a:b][there]] = piece[there]
+        return self._backtrack(text, last, firsts, sizes)
+
+    def _backtrack(self, text: str, last: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """Ids of each unit, from the last piece at each place."""
+        model, at, open_units = self.model, firsts + sizes, np.flatnonzero(sizes > 0)
+        owners, found, places = [], [], []
+        while len(open_units):
+            piece = last[at[open_units]]
+            owners.append(open_units)
+            found.append(piece)
+            at[open_units] -= np.where(piece >= 0, self.piece_lengths[np.maximum(piece, 0)], 1)
+            places.append(at[open_units].copy())
+            open_units = open_units[at[open_units] > firsts[open_units]]
+        if not owners:
+            return [b""] * len(sizes)
+        owner, ids, place = np.concatenate(owners), np.concatenate(found), np.concatenate(places)
+        order = np.argsort(place)  # units and their pieces stand in the order of the text
+        owner, ids, place = owner[order], ids[order], place[order]
+        if (ids == UNKNOWN).any():
+            spelt = [model._fallback(text[p]) if i == UNKNOWN else [i] for i, p in zip(ids.tolist(), place.tolist())]
+            owner, ids = np.repeat(owner, [len(x) for x in spelt]), np.array([i for x in spelt for i in x])
+        coded = ids.astype("<i4").tobytes()
+        ends = (np.cumsum(np.bincount(owner, minlength=len(sizes))) * 4).tolist()
+        return [coded[a:b] for a, b in zip([0, *ends], ends)]
 
     def _learn(self, units: list[str]) -> dict[str, bytes]:
         found: dict[str, bytes] = {}
