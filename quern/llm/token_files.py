@@ -13,10 +13,13 @@ manifest that is written when the task ends, so files of lost or repeated attemp
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm.elias_fano import EliasFano
+from quern.llm.workers import no_cycles
 from quern.sources.files import open_output, open_random
 from quern.workspace import fresh_path, materialize
 
@@ -33,32 +37,90 @@ MAGIC = b"QRNTOK01"
 TRAILER = struct.Struct("<BQqQ8s")
 MANIFEST = "part int, seq int, path string, n_docs long, n_ids long"
 ROWS = "doc_id long, start long, n_tokens long, ids binary"
-CACHE_WORDS = 200_000
+MEMORY_WORDS = 400_000
+# The pattern by which the tokenizer file cuts words, and the same within Latin-1, for lower-cased text.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LATIN_LETTERS, LATIN_NUMBERS, LATIN_SPACES = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\x09-\x0d\x20\x85\xa0"
+LATIN_WORDS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LATIN_LETTERS}]+|[{LATIN_NUMBERS}]|[^{LATIN_SPACES}{LATIN_LETTERS}{LATIN_NUMBERS}]+")
+ROWS_AT_ONCE = 256
 SHARD_IDS = 1 << 26
 SHARD_DOCS = 1 << 18
 BATCH_BYTES = 8 << 20
 
 
-class ChunkEncoder:
-    """Ids of texts as bytes. The tokenizer drops white space before it does anything else, so that what stands between
-    spaces and line feeds can be encoded apart; chunks seen before come from a bounded memory."""
+class WordEncoder:
+    """Ids of texts as bytes.
+
+    A tokenizer that lower-cases, drops white space and cuts by WORD_PATTERN encodes each cut by itself, ending it with a piece
+    marked as a word's end. Texts within Latin-1, where normalization changes nothing but case, are cut here;
+    each distinct cut goes through the tokenizer once, many in one call, and the marks show where each ends. Cuts seen before come
+    from a bounded memory of two generations: when the younger one is full it becomes the older, and what is used
+    again moves on to the next. All other texts, and all texts of other tokenizers, are encoded whole.
+    """
 
     def __init__(self, tokenizer_path: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.known = Tokenizer.from_file(tokenizer_path), dtype, {"": b""}
-
-    def encode(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-        if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known = {"": b""}
-                new = list(dict.fromkeys(c for c in chunks if c))
-            for chunk, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.known[chunk] = np.array(found.ids, dtype=self.dtype).tobytes()
-        return b"".join([self.known[c] for c in chunks])
+        self.tokenizer, self.dtype = Tokenizer.from_file(tokenizer_path), dtype
+        spec = json.loads(self.tokenizer.to_str())
+        cutter = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        suffix = spec["model"].get("end_of_word_suffix")
+        normal = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers") or []]
+        self.cuts_words = cutter[0].get("pattern") == {"Regex": WORD_PATTERN} and bool(suffix) and normal == ["NFC", "Replace", "Lowercase"] and not spec.get("post_processor")
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        if self.cuts_words:
+            for piece, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+                self.is_end[i] = piece.endswith(suffix)
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, cuts: set[str]) -> None:
+        known, older = self.known, self.older
+        again = cuts & older.keys()
+        known.update(zip(again, map(older.get, again)))
+        new = list(cuts - again)
+        if not new:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        ends = ((np.flatnonzero(self.is_end[ids]) + 1) * ids.itemsize).tolist()
+        if len(ends) != len(new):
+            raise ValueError("the tokenizer cuts words in another way")
+        coded = ids.tobytes()
+        known.update(zip(new, [coded[a:b] for a, b in zip([0, *ends], ends)]))
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > MEMORY_WORDS:
+            self.known, self.older = {}, self.known
+        get, find = self.known.get, LATIN_WORDS.findall
+        coded, rows, cut, whole = [b""] * len(texts), [], [], []
+        for row, text in enumerate(texts):
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                whole.append(row)
+                continue
+            if not self.cuts_words or "<|" in text and self.added.search(text):
+                whole.append(row)
+                continue
+            rows.append(row)
+            cut.append(find(text.lower()))
+        self._learn(set().union(*cut).difference(self.known))
+        for row, words in zip(rows, cut):
+            coded[row] = b"".join(map(get, words))
+        for row, ids in zip(whole, self._whole([texts[row] for row in whole])):
+            coded[row] = ids
+        return coded
+
+
+@lru_cache(maxsize=2)
+def word_encoder(tokenizer_path: str, dtype: str) -> WordEncoder:
+    """One per tokenizer and worker."""
+    return WordEncoder(tokenizer_path, dtype)
 
 
 class ShardWriter:
@@ -129,13 +191,17 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id
     dtype = f"<u{id_bytes}"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path, dtype)
+        encoder = word_encoder(tokenizer_path, dtype)
         end = b"" if end_id is None else np.array([end_id], dtype=dtype).tobytes()
         writer = ShardWriter(folder, TaskContext.get().partitionId(), dtype)
         rows: list[dict] = []
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows += writer.add(doc_id, encoder.encode(text.as_py() or "") + end)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                with no_cycles():
+                    coded = encoder.encode_batch([t or "" for t in batch.column(1).to_pylist()])
+                for doc_id, ids in zip(batch.column(0).to_pylist(), coded):
+                    rows += writer.add(doc_id, ids + end)
         rows += writer.close()
         names = [field.split()[0] for field in MANIFEST.split(", ")]
         types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
