@@ -1,7 +1,10 @@
-"""Named queries over the driver's tables, each with its SQL."""
+"""Named queries over the driver's tables, each with its SQL where SQL can say it."""
 
 from __future__ import annotations
 
+from quern.plans import answer_queries, number_queries, search_queries, text_queries
+
 FLAGSHIP = "bm25_topk_concat"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+_MODULES = (text_queries, search_queries, answer_queries, number_queries)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
