@@ -27,7 +27,7 @@ PATTERNS = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "contains({t}, '+')"),
     "address": (rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++\x20?(?:[(\[]\x20?at\x20?[)\]]|@)\x20?[A-Za-z0-9-]++\x20?(?:[(\[]\x20?dot\x20?[)\]]|\.)\x20?[A-Za-z]{{2,24}}+", "{t} rlike '@|[(\\\\[]\\\\x20?at\\\\x20?[)\\\\]]'"),
     "number": (r"(?<![0-9A-Za-z.+,-])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,17}(?![\x20().-]{0,2}[0-9])(?![A-Za-z])", "{t} rlike '[0-9][\\\\x20().-]{{0,2}}[0-9]'"),
-    "secret": (r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+", "{t} rlike '[0-9]'"),
+    "secret": (r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z])[A-Za-z0-9_+/=-]{16,}+", "{t} rlike '[0-9]'"),
 }
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("address", "number", "secret")

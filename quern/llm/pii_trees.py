@@ -29,20 +29,20 @@ TREES = {
         ('grouping', 0, -432, 402),
         ('grouping', 0, -402, 366),
     ],
-    "secret": [  # held-out precision 0.994, recall 0.973 of 1259 candidates
-        ('secret_cue', 0, ('hex_share', 90, -916, 930), ('changes', 1, 111, 989)),
-        ('secret_cue', 0, ('upper', 0, -645, 485), ('changes', 1, 68, 675)),
-        ('secret_cue', 0, ('hex_share', 90, -497, 813), ('changes', 1, 42, 580)),
-        ('separators', 1, ('lower', 17, 733, -219), -576),
-        ('separators', 1, ('changes', 1, -414, 474), -543),
-        ('upper', 0, ('hex_share', 90, -540, 519), ('lower', 19, 633, -249)),
-        ('separators', 1, ('lower', 16, 432, -114), -511),
-        ('secret_cue', 0, ('upper', 0, -406, 124), ('length', 24, 15, 521)),
-        ('separators', 0, ('changes', 1, -338, 572), ('secret_cue', 0, -371, 257)),
-        ('separators', 1, ('upper', 0, -127, 290), -480),
-        ('hex_share', 90, ('upper', 0, -490, 128), 463),
-        ('separators', 0, ('changes', 1, -176, 497), ('hex_share', 31, 23, -373)),
+    "secret": [  # held-out precision 1.000, recall 0.970 of 1068 candidates
+        ('secret_cue', 0, ('hex_share', 90, -894, 930), ('changes', 1, 111, 993)),
+        ('changes', 1, ('upper', 0, -704, 867), ('separators', 0, 750, 151)),
+        ('changes', 1, ('upper', 0, -599, 587), ('lower', 17, 603, -20)),
+        ('secret_cue', 0, ('upper', 0, -523, 120), ('changes', 1, -2, 567)),
+        ('secret_cue', 0, ('lower', 12, 484, -389), ('changes', 1, -1, 530)),
+        ('separators', 1, ('changes', 1, -348, 345), -545),
+        ('separators', 1, ('lower', 19, 338, -235), -515),
+        ('hex_share', 90, ('upper', 0, -571, 237), 533),
+        ('separators', 0, ('changes', 1, -301, 548), ('secret_cue', 0, -374, 393)),
+        ('upper', 0, ('hex_share', 90, -513, 443), ('lower', 19, 426, -253)),
+        ('separators', 1, ('upper', 0, -171, 232), -456),
+        ('separators', 0, ('changes', 1, -163, 478), ('secret_cue', 0, -261, 313)),
     ],
 }
 
-THRESHOLDS = {"address": 390, "number": 6466, "secret": 649}
+THRESHOLDS = {"address": 390, "number": 6466, "secret": 1406}

@@ -18,7 +18,8 @@ from quern.workspace import materialize
 WHITE = r"[\x20\x09-\x0D]+"
 WHITE_CHARS = " \t\n\x0b\f\r"
 SYMBOLS = r"[#*$%&|<>]"
-MEASURES = {"symbols": 100, "repeats": 150, "lines": 150, "word_length": 300}  # slack: how far beyond its fence a measure may always go
+# Slack: how far beyond its group's spread a measure may always go. Chosen so that good documents among labelled ones stay.
+MEASURES = {"symbols": 100, "repeats": 300, "lines": 500, "word_length": 300}
 SPREAD = 3
 MIN_GROUP = 200
 MIN_WORDS = 50

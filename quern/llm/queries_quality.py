@@ -23,7 +23,7 @@ measured AS (SELECT *, (1000 * n_symbols) // greatest(n_words, 1) AS symbols, (1
         (10000 * n_dup_lines) // greatest(n_words, 1) AS lines, (100 * word_chars) // greatest(n_words, 1) AS word_length FROM counted),
 listed AS (SELECT lang, source, measure, (value >> greatest(length(bin(value)) - 6, 0)) << greatest(length(bin(value)) - 6, 0) AS bucket
     FROM (SELECT * FROM measured WHERE n_words > 0) UNPIVOT (value FOR measure IN (symbols, repeats, lines, word_length))),
-slack AS (SELECT * FROM (VALUES ('symbols', 100), ('repeats', 150), ('lines', 150), ('word_length', 300)) AS v(measure, slack)),
+slack AS (SELECT * FROM (VALUES ('symbols', 100), ('repeats', 300), ('lines', 500), ('word_length', 300)) AS v(measure, slack)),
 levels AS (SELECT 'group' AS level, lang, source, measure, bucket FROM listed UNION ALL SELECT 'lang', lang, '', measure, bucket FROM listed
     UNION ALL SELECT 'all', '', '', measure, bucket FROM listed),
 sketch AS (SELECT level, lang, source, measure, bucket, count(*) AS n FROM levels GROUP BY ALL),

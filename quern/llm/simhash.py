@@ -159,10 +159,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 def keep_one_per_class(docs: DataFrame, shingle_words: int = 5, max_distance: int = 2, bucket_limit: int = 64) -> DataFrame:
     """The rows of docs that name their class: one document of every near-duplicate class, with all its columns.
 
-    Five-word shingles; fingerprints at most two bits of 64 apart stand for shingle sets far more than 0.8 alike.
-    A row with a null doc_id stays unless its class has an id. Of rows that repeat a doc_id, equal texts leave one.
+    Five-word shingles; fingerprints at most two bits of 64 apart stand for shingle sets far more than 0.8 alike. Rows that
+    share a doc_id count as one document and stay together if any of them names its class. Rows without a doc_id stay.
     """
     classes = near_duplicate_classes(docs, "doc_id", "text", shingle_words, max_distance, bucket_limit)
-    chosen = classes.where("id = component_id or component_id is null").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(chosen.withColumnRenamed("doc_id", "__kept_id"), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    names_class = F.col("id") == F.col("component_id")
+    dropped = classes.where("id is not null").groupBy("id").agg(F.bool_or(names_class).alias("stays")).where(~F.col("stays")).select(F.col("id").alias("__dropped"))
+    return docs.join(dropped, F.col("doc_id") == F.col("__dropped"), "left_anti")
