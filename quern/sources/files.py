@@ -15,13 +15,13 @@ def open_output(uri: str):
     """A writable stream; folders above it are made."""
     system, path = _resolve(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)  # else pyarrow compresses by the name's ending
 
 
 def open_input(uri: str):
     """A stream read from front to back."""
     system, path = _resolve(uri)
-    return system.open_input_stream(path)
+    return system.open_input_stream(path, compression=None)
 
 
 def open_random(uri: str):
