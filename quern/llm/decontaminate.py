@@ -29,15 +29,15 @@ def _tokens(rows: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame
 
 
 def _windows(tokens: DataFrame, name: str, place: str, letter: str, whole_lengths: list[int]) -> DataFrame:
-    """(name, place, key, letter0...): one row per window and key. Windows over a text's end only have keys of whole_lengths."""
+    """(name, place, length, key, letter0...): one row per window and key; length is that of a whole item, 0 for masks. Windows over a text's end have no masks."""
     zipped = F.expr("arrays_zip(" + ", ".join(f"slice(h, {k + 1}, size(h))" for k in range(SPAN)) + ")")
     rows = tokens.select(name, F.posexplode(zipped).alias(place, "d"))
     rows = rows.select(name, place, *(F.col(f"d.`{k}`").alias(f"{letter}{k}") for k in range(SPAN)))
     cells = [f"{letter}{k}" for k in range(SPAN)]
     full = F.col(cells[-1]).isNotNull()
-    keys = [F.when(full, F.xxhash64(F.lit(m), *(c for c, bit in zip(cells, mask) if bit == "1"))) for m, mask in enumerate(MASKS)]
-    keys += [F.when(F.col(cells[n - 1]).isNotNull(), F.xxhash64(F.lit(100 + n), *cells[:n])) for n in whole_lengths]
-    return rows.select(name, place, *cells, F.explode(F.array(*keys)).alias("key")).where("key is not null")
+    keys = [F.struct(F.lit(0).alias("length"), F.when(full, F.xxhash64(F.lit(m), *(c for c, bit in zip(cells, mask) if bit == "1"))).alias("key")) for m, mask in enumerate(MASKS)]
+    keys += [F.struct(F.lit(n).alias("length"), F.when(F.col(cells[n - 1]).isNotNull(), F.xxhash64(F.lit(SPAN + n), *cells[:n])).alias("key")) for n in whole_lengths]
+    return rows.select(name, place, *cells, F.inline(F.array(*keys))).where("key is not null")
 
 
 def item_classes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -55,8 +55,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     items = materialize(item_classes(benchmark), "bench-items")
     lengths = sorted(r["n_item"] for r in items.where(F.col("n_item") < SPAN).select("n_item").distinct().collect())  # fewer than SPAN numbers
     keyed = _windows(items.select("item_id", "h"), "item_id", "item_at", "b", lengths).join(items.select("item_id", "n_item"), "item_id")
-    whole = F.when(F.col("n_item") < SPAN, (F.col("item_at") == 0) & F.col("b0").isNotNull()).otherwise(F.lit(True))
-    keyed = materialize(keyed.where(whole), "bench-keys")
+    own = F.when(F.col("n_item") < SPAN, (F.col("item_at") == 0) & (F.col("length") == F.col("n_item"))).otherwise(F.col("length") == 0)
+    keyed = materialize(keyed.where(own).drop("length"), "bench-keys")
     if keyed.count() <= BROADCAST_KEYS:
         keyed = F.broadcast(keyed)
     hits = _windows(_tokens(docs, id_col, text_col, "doc_id"), "doc_id", "doc_at", "d", lengths).join(keyed, "key")
