@@ -13,11 +13,14 @@ concatenation and would merge it before that, the pieces do not stay apart.
 
 from __future__ import annotations
 
-import re
+import codecs
 from functools import lru_cache
 
 import numpy as np
 
+# As the library does: U+FFFD for every byte that is part of no character.
+codecs.register_error("each_byte", lambda error: ("\ufffd" * (error.end - error.start), error.end))
+
 SPACE = "▁"
 NEVER = float("inf")
 START, UNKNOWN, NONE = -1, -2, -3
@@ -310,11 +313,11 @@ class PieceEncoder:
                     held.append(model.bytes_of[i])
                     continue
                 if held:
-                    parts.append(held.decode("utf-8", "replace"))
+                    parts.append(held.decode("utf-8", "each_byte"))
                     held.clear()
                 if i not in model.silent:
                     parts.append(model.pieces[i])
-            text = "".join([*parts, held.decode("utf-8", "replace")])
+            text = "".join([*parts, held.decode("utf-8", "each_byte")])
         text = text.replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
