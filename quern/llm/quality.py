@@ -111,7 +111,8 @@ def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source")
     keep must hold lang and source. Repeated rows are judged one by one; an empty table gives no rows.
     """
     counted = materialize(base_counts(docs, keep=keep), "quality-counts")
-    bounds = thresholds(counted, spread, min_group).select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *(f"fence_{name}" for name in MEASURES))
+    # Written down, the thresholds have a known size: small ones are broadcast, and a hot source is not dealt to one task.
+    bounds = materialize(thresholds(counted, spread, min_group), "quality-bounds").select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *(f"fence_{name}" for name in MEASURES))
     same = (F.coalesce("lang", F.lit("")) == F.col("__lang")) & (F.coalesce("source", F.lit("")) == F.col("__source"))
     joined = counted.join(bounds, same, "left")
     beyond = F.array_compact(F.array(*(F.when(value > F.col(f"fence_{name}"), F.lit(name)) for name, value in measures().items())))
