@@ -11,8 +11,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quern.operators.online import LIMIT_ANONYMOUS, WINDOW_SECONDS, accepted
 
 
-def limit_stream(requests: DataFrame, user: str = "user_id", seconds: str = "s", tie: str = "event_id", limit: int = LIMIT_ANONYMOUS, window: float = WINDOW_SECONDS) -> DataFrame:
-    """(user, tie, seconds, accepted) of a stream of requests (user long, seconds double, tie long). State: the times accepted within the window."""
+def limit_stream(requests: DataFrame, user: str = "user_id", seconds: str = "s", tie: str = "event_id", limit: int = LIMIT_ANONYMOUS, window: float = WINDOW_SECONDS, expire: bool = True) -> DataFrame:
+    """(user, tie, seconds, accepted) of a stream of requests (user long, seconds double, tie long). State: the times accepted within the window.
+
+    With ``expire`` the state of users who stay away for a window goes. A query that runs once over what is available needs expire=False:
+    timeouts by the clock always ask for one more batch.
+    """
 
     def flow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -22,10 +26,11 @@ def limit_stream(requests: DataFrame, user: str = "user_id", seconds: str = "s",
         kept = list(state.get[0]) if state.exists else []
         flags, kept = accepted(rows[seconds].tolist(), limit, window, kept)
         state.update((kept,))
-        state.setTimeoutDuration(int(window * 1000))
+        if expire:
+            state.setTimeoutDuration(int(window * 1000))
         yield pd.DataFrame({user: key[0], tie: rows[tie].to_numpy(), seconds: rows[seconds].to_numpy(), "accepted": flags})
 
-    return requests.groupBy(user).applyInPandasWithState(flow, f"{user} long, {tie} long, {seconds} double, accepted boolean", "kept array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.groupBy(user).applyInPandasWithState(flow, f"{user} long, {tie} long, {seconds} double, accepted boolean", "kept array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
 def ingest_new(spark: SparkSession, path: str, schema: str, checkpoint: str, handle: Callable[[DataFrame, int], None], fmt: str = "parquet") -> None:
