@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quern.functions.text import normalise, words
+from quern.functions.text import let, normalise, words
 from quern.functions.vectors import cosine
 
 
@@ -28,16 +28,15 @@ def overlap(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two token arrays: sorted tokens, numbered among their equals, are a set."""
 
     def numbered(xs: Column) -> Column:
-        ordered = F.array_sort(xs)
-        return F.transform(ordered, lambda x, i: F.concat_ws("\0", x, (i - F.array_position(ordered, x)).cast("string")))
+        return let(F.array_sort(xs), lambda ordered: F.transform(ordered, lambda x, i: F.concat_ws("\0", x, (i - F.array_position(ordered, x)).cast("string"))))
 
     return F.size(F.array_intersect(numbered(a), numbered(b)))
 
 
 def rouge1(reference: Column, generated: Column, tokenize=words) -> Column:
     a, b = tokenize(normalise(reference)), tokenize(normalise(generated))
-    common = overlap(a, b)
-    return _edges(F.size(a), F.size(b), f1(F.try_divide(common, F.size(b)), F.try_divide(common, F.size(a))))
+    counts = F.struct(F.size(a).alias("a"), F.size(b).alias("b"), overlap(a, b).alias("common"))
+    return let(counts, lambda n: _edges(n["a"], n["b"], f1(F.try_divide(n["common"], n["b"]), F.try_divide(n["common"], n["a"]))))
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:

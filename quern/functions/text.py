@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 SPACE_ENDS = r"(?U)^\s+|\s+$"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), the value computed once even where a lambda inside the body names it for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, SPACE_ENDS, "")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import sentences, strip, words
+from quern.functions.text import let, sentences, strip, words
 from quern.functions.vectors import argmax
 
 CLASSES = ("entailment", "neutral", "contradiction")
@@ -19,9 +19,8 @@ def drop_blank(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def looks_useful(text: Column, min_words: int = 5, max_repeats: int = 10, max_symbols: float = 0.5) -> Column:
     """A deterministic stand-in for a usefulness model: no mere title, no sentence repeated ten times, not mostly symbols or unreadable."""
-    parts = sentences(text)
-    ordered = F.array_sort(parts)
-    repeated = F.exists(F.transform(ordered, lambda s, i: F.get(ordered, i + (max_repeats - 1)) == s), lambda same: F.coalesce(same, F.lit(False)))
+    again = lambda ordered: F.transform(ordered, lambda s, i: F.get(ordered, i + (max_repeats - 1)) == s)
+    repeated = F.exists(let(F.array_sort(sentences(text)), again), lambda same: F.coalesce(same, F.lit(False)))
     size = F.length(text)
     symbols = size - F.length(F.regexp_replace(text, r"[^\p{L}\p{N}\s]", ""))
     return (F.size(words(text)) >= min_words) & ~repeated & (symbols <= max_symbols * size)
