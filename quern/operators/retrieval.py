@@ -47,28 +47,79 @@ def lexical_index(docs: DataFrame, store_col: str = "source", doc_col: str = "do
     return LexicalIndex(lengths, sizes.join(floors, "store", "left"), terms, tokens)
 
 
-def lexical_scores(index: LexicalIndex, questions: DataFrame, qid_col: str = "item_id", text_col: str = "text", tokenize: Callable[[Column], Column] = bag) -> DataFrame:
-    """(qid, store, doc, score) of all documents that share a term with a question; a term counts as often as the question has it."""
-    asked = questions.select(F.col(qid_col).alias("qid"), F.explode(tokenize(F.col(text_col))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = asked.select("term").distinct()
+def _weights(index: LexicalIndex, wanted: DataFrame) -> DataFrame:
+    """(store, term, avg_length, idf) of the terms wanted."""
     raw = idf(F.col("n_docs"), F.col("df"))
-    weights = index.terms.join(wanted, "term", "left_semi").join(index.stats, "store").select("store", "term", "avg_length", F.when(raw < 0, F.col("floor")).otherwise(raw).alias("idf"))
-    part = index.postings(wanted).join(index.docs, ["store", "doc"]).join(weights, ["store", "term"])
+    return index.terms.join(wanted, "term", "left_semi").join(index.stats, "store").select("store", "term", "avg_length", F.when(raw < 0, F.col("floor")).otherwise(raw).alias("idf"))
+
+
+def term_gains(index: LexicalIndex, wanted: DataFrame) -> DataFrame:
+    """(store, doc, term, gain): what each occurrence of a term in a question adds to a document's score."""
+    part = index.postings(wanted).join(index.docs, ["store", "doc"]).join(_weights(index, wanted), ["store", "term"])
     gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    return part.select("store", "doc", "term", gain.alias("gain")).join(asked, "term").groupBy("qid", "store", "doc").agg(F.sum(F.col("qtf") * F.col("gain")).alias("score"))
+    return part.select("store", "doc", "term", gain.alias("gain"))
 
 
-def lexical_topk(index: LexicalIndex, questions: DataFrame, k_each: int = 4, top_k: int | None = 5, merge: str = "concat", qid_col: str = "item_id", text_col: str = "text", tokenize: Callable[[Column], Column] = bag) -> DataFrame:
+def lexical_topk(index: LexicalIndex, questions: DataFrame, k_each: int = 4, top_k: int | None = 5, merge: str = "concat", qid_col: str = "item_id", text_col: str = "text", tokenize: Callable[[Column], Column] = bag, max_query_bytes: int = 256 << 20) -> DataFrame:
     """(qid, rank, store, doc, score): k_each per store, then stores one after the other ("concat") or by score ("score"), cut at top_k.
 
-    Stores with fewer than k_each scoring documents are filled up with others at score 0. Ties go to the larger doc.
+    A term counts as often as a question has it; documents without any of its terms score 0 and fill stores with few others. Scores
+    that agree to nine decimals tie, and ties go to the larger doc.
+
+    Search runs in blocks: questions, a stated set whose size is checked, go to every task as a matrix of terms by questions. A document is
+    one row with its gains; a batch of them times the matrix gives scores, of which k_each per question and store are passed on.
     """
-    scored = lexical_scores(index, questions, qid_col, text_col, tokenize)
-    few = questions.select(F.col(qid_col).alias("qid")).join(index.stats.select("store"), how="cross")  # questions x stores, both small
-    above = scored.where("score > 0").groupBy("qid", "store").agg(F.count(F.lit(1)).alias("n"))
-    few = few.join(above, ["qid", "store"], "left").where(F.coalesce("n", F.lit(0)) < k_each).select("qid", "store")
-    fill = few.join(index.docs.select("store", "doc"), "store").join(scored.select("qid", "store", "doc"), ["qid", "store", "doc"], "left_anti").withColumn("score", F.lit(0.0))
-    best = scored.unionByName(fill).withColumn("rn", F.row_number().over(W.partitionBy("qid", "store").orderBy(F.desc("score"), F.desc("doc")))).where(F.col("rn") <= k_each)
+    asked = questions.select(F.col(qid_col).cast("long").alias("qid"), tokenize(F.col(text_col)).alias("terms")).where("qid is not null")
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(F.array_distinct("terms"))), F.lit(0)).alias("t")).first()
+    if size["n"] * size["t"] * 8 > max_query_bytes:
+        raise ValueError(f"{size['n']} questions with {size['t']} terms may exceed max_query_bytes; split them")
+    rows = asked.collect()
+    qids = [r["qid"] for r in rows]
+    numbers: dict[str, int] = {}
+    for r in rows:
+        for term in r["terms"]:
+            numbers.setdefault(term, len(numbers))
+    matrix = np.zeros((len(numbers), len(qids)))
+    for q, r in enumerate(rows):
+        for term in r["terms"]:
+            matrix[numbers[term], q] += 1
+    spark = questions.sparkSession
+    wanted = spark.createDataFrame([(t, n) for t, n in numbers.items()], "term string, number int")
+    gains = term_gains(index, wanted.select("term")).join(wanted, "term").groupBy("store", "doc").agg(F.collect_list("number").alias("numbers"), F.collect_list("gain").alias("gains"))
+    rows_in = index.docs.select("store", "doc").join(gains, ["store", "doc"], "left").select("store", "doc", "numbers", "gains")
+    types = {f.name: f.dataType for f in rows_in.schema}
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n or not qids:
+                continue
+            docs, scores = batch.column(1).to_pylist(), np.zeros((n, len(qids)))
+            rank = np.unique(np.array(docs), return_inverse=True)[1]
+            for at in range(0, n, 256):
+                part = batch.slice(at, 256)
+                counts = np.diff(np.concatenate([[0], np.cumsum([len(x) if x is not None else 0 for x in part.column(2).to_pylist()])]))
+                block = np.zeros((part.num_rows, len(matrix)))
+                flat = part.column(2).flatten().to_numpy(zero_copy_only=False)
+                block[np.repeat(np.arange(part.num_rows), counts), flat] = part.column(3).flatten().to_numpy(zero_copy_only=False)
+                scores[at : at + part.num_rows] = block @ matrix
+            scores = np.round(scores, 9) + 0.0
+            by_store: dict = {}
+            for i, store in enumerate(batch.column(0).to_pylist()):
+                by_store.setdefault(store, []).append(i)
+            stores, found, values, asks = [], [], [], []
+            for store, members in by_store.items():
+                m = np.array(members)
+                order = m[np.lexsort((np.broadcast_to(-rank[m][:, None], (len(m), len(qids))), -scores[m]), axis=0)[:k_each]]
+                stores += [store] * order.size
+                found += [docs[i] for i in order.ravel().tolist()]
+                values.append(np.take_along_axis(scores, order, axis=0).ravel())
+                asks += qids * len(order)
+            yield pa.RecordBatch.from_arrays([pa.array(asks, pa.int64()), pa.array(stores, batch.schema.field(0).type), pa.array(found, batch.schema.field(1).type), pa.array(np.concatenate(values))], names=["qid", "store", "doc", "score"])
+
+    schema = f"qid long, store {types['store'].simpleString()}, doc {types['doc'].simpleString()}, score double"
+    candidates = rows_in.mapInArrow(search, schema)
+    best = candidates.withColumn("rn", F.row_number().over(W.partitionBy("qid", "store").orderBy(F.desc("score"), F.desc("doc")))).where(F.col("rn") <= k_each)
     return merge_stores(best, top_k, merge)
 
 

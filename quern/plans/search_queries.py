@@ -10,13 +10,13 @@ from quern.functions import metrics
 from quern.functions.prompts import render
 from quern.functions.vectors import cosine
 from quern.operators import chunking, records, retrieval
-from quern.session import table
+from quern.session import spread, table
 
 STORES = 20
 
 
 def _index(spark: SparkSession, sf_dir: str) -> retrieval.LexicalIndex:
-    return retrieval.lexical_index(table(spark, sf_dir, "documents"))
+    return retrieval.lexical_index(spread(table(spark, sf_dir, "documents")))
 
 
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def bm25_topk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of documents as the corpus: best chunk per question over all stores."""
-    chunks = chunking.fixed_size(table(spark, sf_dir, "documents"), size=128, overlap=10).withColumn("doc", F.concat_ws("#", "doc_id", F.format_string("%06d", "pos"))).withColumn("store", F.lit("all"))
+    chunks = chunking.fixed_size(spread(table(spark, sf_dir, "documents")), size=128, overlap=10).withColumn("doc", F.concat_ws("#", "doc_id", F.format_string("%06d", "pos"))).withColumn("store", F.lit("all"))
     index = retrieval.lexical_index(chunks, "store", "doc", "chunk")
     return retrieval.lexical_topk(index, table(spark, sf_dir, "benchmark"), 1, 1).select("qid", "doc", F.round("score", 6).alias("score"))
 
@@ -72,14 +72,14 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     found = retrieval.lexical_topk(retrieval.lexical_index(docs), table(spark, sf_dir, "benchmark"), 1, 3, "score")
     return retrieval.gather_context(found, docs).select("qid", F.length("context").cast("long").alias("n_chars"), F.sha2(F.col("context").cast("binary"), 256).alias("sha"), F.array_join(F.transform("docs", lambda d: d.cast("string")), ",").alias("docs"))
 
 
 def rag_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieve, gather context, answer with the stand-in model."""
-    docs, questions = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    docs, questions = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")
     found = retrieval.lexical_topk(retrieval.lexical_index(docs), questions, 1, 1, "score")
     asked = retrieval.gather_context(found, docs).join(questions.select(F.col("item_id").alias("qid"), F.col("text").alias("question")), "qid")
     prompt = render("answer_context", context=F.substring("context", 1, 2000), question=F.col("question"))
@@ -108,7 +108,7 @@ def _bm25_sql(corpus: str, k_each: int, top_k: int, order: str) -> str:
     weights AS (SELECT store, term, avgl, CASE WHEN idf < 0 THEN floor ELSE idf END AS idf FROM raw JOIN floors USING (store)),
     q AS (SELECT item_id AS qid, term, count(*) AS qtf FROM (SELECT item_id, unnest({_BAG.format(text="text")}) AS term FROM benchmark) GROUP BY ALL),
     scored AS (SELECT qid, store, doc, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avgl))) AS score FROM q JOIN tf USING (term) JOIN weights USING (store, term) JOIN toks USING (store, doc) GROUP BY ALL),
-    everyone AS (SELECT b.item_id AS qid, toks.store, toks.doc, coalesce(score, 0) AS score FROM benchmark b CROSS JOIN toks LEFT JOIN scored s ON s.qid = b.item_id AND s.store = toks.store AND s.doc = toks.doc),
+    everyone AS (SELECT b.item_id AS qid, toks.store, toks.doc, round(coalesce(score, 0), 9) AS score FROM benchmark b CROSS JOIN toks LEFT JOIN scored s ON s.qid = b.item_id AND s.store = toks.store AND s.doc = toks.doc),
     best AS (SELECT *, row_number() OVER (PARTITION BY qid, store ORDER BY score DESC, doc DESC) AS rn FROM everyone QUALIFY rn <= {k_each}),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {order}) AS rank FROM best QUALIFY rank <= {top_k})"""
 

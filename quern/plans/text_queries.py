@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as t
 from quern.operators import chunking, filters, records
-from quern.session import table
+from quern.session import spread, table
 
 HEADERS = ("The.", "And.", "Of.", "In.", "La.", "De.", "Die.")
 WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '')"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:

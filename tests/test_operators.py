@@ -88,7 +88,7 @@ def brute_bm25(docs, questions, k_each):
             idf = {w: float(np.log((n - d + 0.5) / (d + 0.5))) for w, d in df.items()}
             floor = 0.25 * sum(idf.values()) / len(idf)
             score = {doc: sum((idf[w] if idf[w] >= 0 else floor) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / avg)) for w in q if w in t) for doc, t in members}
-            out += [(qid, store, doc, round(score[doc], 9)) for doc in sorted(score, key=lambda d: (-round(score[d], 12), -d))[:k_each]]
+            out += [(qid, store, doc, round(score[doc], 9)) for doc in sorted(score, key=lambda d: (-round(score[d], 9), -d))[:k_each]]
     return sorted(out)
 
 
