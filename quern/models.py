@@ -58,10 +58,10 @@ def echo_model(prompts: pd.Series) -> pd.Series:
 
 
 def question_model(prompts: pd.Series) -> pd.Series:
-    """A JSON list with one question and answer about the prompt's longest sentence."""
+    """A JSON list with one question and answer about the longest sentence of the prompt's text."""
 
     def ask(p: str) -> str:
-        best = max(re.split(r"(?<=[.!?])\s+", p.strip()), key=len, default="")
+        best = max(re.split(r"(?<=[.!?])\s+", p.rpartition("Text: ")[2].strip()), key=len, default="")
         return json.dumps([{"question": f"What is said about {' '.join(best.split()[:3])}?", "answer": best}], ensure_ascii=False)
 
     return prompts.fillna("").map(ask)

@@ -134,6 +134,7 @@ ORACLES = {
     "upsert_latest": "SELECT source AS store, doc_id::VARCHAR AS rel_path, CASE WHEN length(text) > 1000 THEN 2 ELSE 1 END::INT AS version, (length(text) + (length(text) > 1000)::INT)::INT AS size FROM documents",
     "context_join": _bm25_sql(_DOCS, 1, 3, "score DESC, store, rn") + """SELECT qid, length(c)::BIGINT AS n_chars, sha256(c) AS sha, docs FROM (SELECT qid, string_agg(d.text, chr(10) || chr(10) ORDER BY rank) AS c, string_agg(doc::VARCHAR, ',' ORDER BY rank) AS docs
         FROM ranked JOIN documents d ON d.doc_id = ranked.doc WHERE d.text <> '' GROUP BY qid)""",
+    "rag_answer": "SELECT item_id AS qid, trim(string_split('Question: ' || text, chr(10))[-1]) AS generated, 'llm' AS agent FROM benchmark",
     "cosine_pairs": """SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS similarity
         FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
 }
