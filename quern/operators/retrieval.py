@@ -26,11 +26,11 @@ class LexicalIndex:
     tokens: DataFrame  # store, doc, tokens: postings are taken from it for the terms of the questions
 
     def postings(self, wanted: DataFrame | None = None) -> DataFrame:
-        """store, doc, term, tf; with ``wanted`` (term), only of these, so that the rest of the corpus is not shuffled."""
-        rows = self.tokens.select("store", "doc", F.explode("tokens").alias("term"))
+        """store, doc, length, term, tf; with ``wanted`` (term), only of these, so that the rest of the corpus is not shuffled."""
+        rows = self.tokens.select("store", "doc", F.size("tokens").cast("long").alias("length"), F.explode("tokens").alias("term"))
         if wanted is not None:
             rows = rows.join(wanted, "term", "left_semi")
-        return rows.groupBy("store", "doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+        return rows.groupBy("store", "doc", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -55,7 +55,7 @@ def _weights(index: LexicalIndex, wanted: DataFrame) -> DataFrame:
 
 def term_gains(index: LexicalIndex, wanted: DataFrame) -> DataFrame:
     """(store, doc, term, gain): what each occurrence of a term in a question adds to a document's score."""
-    part = index.postings(wanted).join(index.docs, ["store", "doc"]).join(_weights(index, wanted), ["store", "term"])
+    part = index.postings(wanted).join(_weights(index, wanted), ["store", "term"])
     gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     return part.select("store", "doc", "term", gain.alias("gain"))
 
@@ -96,13 +96,11 @@ def lexical_topk(index: LexicalIndex, questions: DataFrame, k_each: int = 4, top
                 continue
             docs, scores = batch.column(1).to_pylist(), np.zeros((n, len(qids)))
             rank = np.unique(np.array(docs), return_inverse=True)[1]
-            for at in range(0, n, 256):
-                part = batch.slice(at, 256)
-                counts = np.diff(np.concatenate([[0], np.cumsum([len(x) if x is not None else 0 for x in part.column(2).to_pylist()])]))
-                block = np.zeros((part.num_rows, len(matrix)))
-                flat = part.column(2).flatten().to_numpy(zero_copy_only=False)
-                block[np.repeat(np.arange(part.num_rows), counts), flat] = part.column(3).flatten().to_numpy(zero_copy_only=False)
-                scores[at : at + part.num_rows] = block @ matrix
+            ends = np.cumsum([len(x) if x is not None else 0 for x in batch.column(2).to_pylist()]).tolist()
+            terms, parts = batch.column(2).flatten().to_numpy(zero_copy_only=False), batch.column(3).flatten().to_numpy(zero_copy_only=False)
+            for i, (begin, end) in enumerate(zip([0, *ends], ends)):
+                if end > begin:
+                    scores[i] = parts[begin:end] @ matrix[terms[begin:end]]
             scores = np.round(scores, 9) + 0.0
             by_store: dict = {}
             for i, store in enumerate(batch.column(0).to_pylist()):
