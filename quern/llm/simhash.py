@@ -149,7 +149,12 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     prints = materialize(fingerprints(docs, id_col, text_col, shingle_words), "simhash-prints")
     distinct = prints.groupBy("fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     distinct = materialize(distinct, "simhash-distinct")
-    components = connected_components(fingerprint_links(distinct, max_distance, bucket_limit))
+    return named_classes(prints, distinct, fingerprint_links(distinct, max_distance, bucket_limit))
+
+
+def named_classes(prints: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, fp, component_id, n_copies) of prints (id, fp), from distinct (fp, first_id, copies) and links (src, dst) of fp."""
+    components = connected_components(links)
     joined = distinct.join(components.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = joined.join(joined.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("fp", "component_id", F.col("copies") - 1)
     named = named.toDF("fp", "component_id", "n_copies")
@@ -163,6 +168,11 @@ def keep_one_per_class(docs: DataFrame, shingle_words: int = 5, max_distance: in
     share a doc_id count as one document and stay together if any of them names its class. Rows without a doc_id stay.
     """
     classes = near_duplicate_classes(docs, "doc_id", "text", shingle_words, max_distance, bucket_limit)
+    return keep_named(docs, classes)
+
+
+def keep_named(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id names its class, and those without one."""
     names_class = F.col("id") == F.col("component_id")
     dropped = classes.where("id is not null").groupBy("id").agg(F.bool_or(names_class).alias("stays")).where(~F.col("stays")).select(F.col("id").alias("__dropped"))
     return docs.join(dropped, F.col("doc_id") == F.col("__dropped"), "left_anti")
