@@ -100,10 +100,10 @@ def mcq_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qa_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions from the first documents' texts by the stand-in model, with declaratives."""
+    """Questions from all documents' texts by the stand-in model, with declaratives."""
     docs = table(spark, sf_dir, "documents")
     chunks = docs.select(F.format_string("d%08d", "doc_id").alias("chunk_name"), F.array("source").alias("source_files"), F.col("text").alias("raw_chunk"), F.lit(None).cast("string").alias("md_summary"))
-    made = records.questions_from_chunks(chunks, models.question_model, max_qa=1000)
+    made = records.questions_from_chunks(chunks, models.question_model)
     return records.with_declarative(made, models.echo_model).select("id", "chunk_name", "question", F.length("answer").alias("n_answer"), F.length("declarative").alias("n_declarative"))
 
 

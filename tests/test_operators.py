@@ -151,6 +151,13 @@ def test_running_ids_are_dense(spark):
     assert records.running_ids(rows.where("false"), ["k"]).count() == 0
 
 
+def test_registered_questions_are_of_every_chunk(spark, tmp_path):
+    from quern.plans.answer_queries import qa_generate
+
+    spark.range(1200).selectExpr("id AS doc_id", "'s' AS source", "concat('text number ', id) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    assert qa_generate(spark, str(tmp_path)).select("chunk_name").distinct().count() == 1200
+
+
 def test_questions_from_models(spark):
     chunks = spark.createDataFrame([("b", ["f"], "Some text. A longer sentence here.", None), ("a", ["f"], "bad", "s")], "chunk_name string, source_files array<string>, raw_chunk string, md_summary string")
     answer = lambda s: s.map(lambda p: "oops" if p.endswith("bad") else json.dumps([{"question": "q1", "answer": "1"}, {"question": "q2", "answer": "2"}]))
