@@ -151,6 +151,15 @@ def test_running_ids_are_dense(spark):
     assert records.running_ids(rows.where("false"), ["k"]).count() == 0
 
 
+def test_answers_see_the_whole_context(spark, tmp_path, monkeypatch):
+    from quern.plans import search_queries
+
+    spark.createDataFrame([(1, "a", "word " * 1000 + "end")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "which word")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(search_queries.models, "echo_model", lambda prompts: prompts.str.contains("word end").astype(str))
+    assert [r["generated"] for r in search_queries.rag_answer(spark, str(tmp_path)).collect()] == ["True"]
+
+
 def test_registered_questions_are_of_every_chunk(spark, tmp_path):
     from quern.plans.answer_queries import qa_generate
 
