@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.prompts import render
 from quern.functions.text import unfence
+from quern.models import ChatModel
+from quern.models import column as model_column
 
 
 def flag(response: Column, name: str = "is_useful") -> Column:
@@ -14,22 +17,42 @@ def flag(response: Column, name: str = "is_useful") -> Column:
     return F.when(parsed.isNull() | F.coalesce(F.schema_of_variant(parsed) == "VOID", F.lit(False)), True).otherwise(F.coalesce(F.try_variant_get(parsed, f"$.{name}", "boolean"), F.lit(False)))
 
 
+# What is read as an object, and as a score where no object can be read (any judge; careful judges).
+FIRST_OBJECT = r"(?s)\{.*?\}"
+ANY_NUMBER = r"([01](?:\.\d+)?)"
+NAMED_NUMBER = r'"score"\s*:\s*([01](?:\.\d+)?)'
+
+
 def judge(response: Column, loose: bool = True) -> Column:
     """struct<label int, score double> of a judge's answer.
 
-    The first {...} gives score (clamped to 0..1, default 0) and label (default: score at least 0.5). Without one, the
-    first number 0 or 1 with decimals counts if ``loose``, else only one behind "score". Otherwise (0, 0).
+    The first {...} gives score (clamped to 0..1, default 0) and label (1 if it says 1, else 0; default: score at least 0.5). Where there is none, or
+    one of the two is no number, the first 0 or 1 with its decimals counts if ``loose``, else only one behind "score":. Otherwise (0, 0).
     """
     text = F.coalesce(response, F.lit(""))
-    parsed = F.try_parse_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*?\}", 0), F.lit("")))
-    number = F.coalesce(F.try_variant_get(parsed, "$.score", "double"), F.lit(0.0))
-    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))
-    pattern = r"\b([01](?:\.\d+)?)\b" if loose else r"""["']?score["']?\s*[:=]\s*([01](?:\.\d+)?)"""
-    bare = F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("double")
-    fallback = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(bare, F.lit(0.0))))
-    score = F.when(parsed.isNotNull(), clamped).otherwise(fallback)
-    label = F.coalesce(F.try_variant_get(parsed, "$.label", "int"), (score >= 0.5).cast("int"))
-    return F.struct(label.alias("label"), score.alias("score"))
+    parsed = F.try_parse_json(F.nullif(F.regexp_extract(text, FIRST_OBJECT, 0), F.lit("")))
+    unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    given, number = F.try_variant_get(parsed, "$.score", "variant"), F.try_variant_get(parsed, "$.score", "double")
+    named, label = F.try_variant_get(parsed, "$.label", "variant"), F.try_variant_get(parsed, "$.label", "int")
+    read = parsed.isNotNull() & (given.isNull() | number.isNotNull()) & (named.isNull() | label.isNotNull())
+    bare = F.nullif(F.regexp_extract(text, ANY_NUMBER if loose else NAMED_NUMBER, 1), F.lit("")).try_cast("double")
+    score = F.when(read, unit(F.coalesce(number, F.lit(0.0)))).otherwise(unit(F.coalesce(bare, F.lit(0.0))))
+    said = F.when(read & label.isNotNull(), (label == 1).cast("int")).otherwise((score >= 0.5).cast("int"))
+    return F.struct(said.alias("label"), score.alias("score"))
+
+
+def judge_batch(rows: DataFrame, model: ChatModel, kind: str, doc: Column, claim: Column, loose: bool = True) -> DataFrame:
+    """rows with pred_label, prob, used_chunk and support (array of one score): a judge model's view of each claim against its document.
+
+    kind: "relv" (is the document relevant to the question?) or "faith" (does it support the answer?). Rows pair documents with claims, so their
+    numbers cannot differ.
+    """
+    prompts = {"relv": lambda: render("relevance", question=claim, text=doc), "faith": lambda: render("faithfulness", text=doc, answer=claim)}
+    if kind not in prompts:
+        raise ValueError(f"unknown kind of judgement: {kind}")
+    answer = model_column(model, prompts[kind]())
+    judged = rows.withColumn("__j", judge(answer, loose))
+    return judged.withColumn("pred_label", F.col("__j.label")).withColumn("prob", F.col("__j.score")).withColumn("used_chunk", doc).withColumn("support", F.array("__j.score")).drop("__j")
 
 
 def critic(response: Column) -> Column:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 ChatModel = Callable[[pd.Series], pd.Series]
 PairModel = Callable[[pd.Series, pd.Series], pd.Series]
+ScoredModel = Callable[[pd.Series], pd.DataFrame]  # columns text and logprobs (a list per answer)
 
 
 @dataclass(frozen=True)
@@ -44,6 +45,16 @@ def column(model: ChatModel, prompt: Column) -> Column:
     return answer(prompt)
 
 
+def scored_column(model: ScoredModel, prompt: Column) -> Column:
+    """struct<text string, logprobs array<double>>: the model's answer and the log-probability of each of its tokens."""
+
+    @F.pandas_udf("text string, logprobs array<double>")
+    def answer(prompts: pd.Series) -> pd.DataFrame:
+        return model(prompts)[["text", "logprobs"]]
+
+    return answer(prompt)
+
+
 def pair_column(model: PairModel, left: Column, right: Column) -> Column:
     @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -57,6 +68,13 @@ def echo_model(prompts: pd.Series) -> pd.Series:
     return prompts.fillna("").map(lambda p: next((line.strip() for line in reversed(p.split("\n")) if line.strip()), ""))
 
 
+def scored_echo_model(prompts: pd.Series) -> pd.DataFrame:
+    """echo_model with a made-up log-probability for each word: minus its length in hundredths, less if the prompt's other lines have it too."""
+    texts = echo_model(prompts).str.removeprefix("Question: ")
+    seen = [set(p.rpartition("\n")[0].split()) for p in prompts.fillna("")]
+    return pd.DataFrame({"text": texts, "logprobs": [[-len(w) / (200.0 if w in s else 100.0) for w in t.split()] for t, s in zip(texts, seen)]})
+
+
 def question_model(prompts: pd.Series) -> pd.Series:
     """A JSON list with one question and answer about the longest sentence of the prompt's text."""
 

@@ -15,11 +15,17 @@ from quern.workspace import materialize
 def running_ids(df: DataFrame, order: list[str], start: int = 0, name: str = "id") -> DataFrame:
     """df with a dense id in the given order, without a window over all rows in one task: rows are dealt by range, numbered
     within their partition, and each partition adds the sizes of those before it."""
-    dealt = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "running-ids")
-    sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__part", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    place = F.row_number().over(W.partitionBy("__part").orderBy(*order))
-    return dealt.withColumn("__at", place).join(before, "__part").withColumn(name, (F.col("__before") + F.col("__at") + (start - 1)).cast("long")).drop("__part", "__at", "__before")
+    numbered = running_sums(df.withColumn("__one", F.lit(1)), order, "__one", "__at")
+    return numbered.withColumn(name, (F.col("__at") + start).cast("long")).drop("__one", "__at")
+
+
+def running_sums(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """df with the sum of ``value`` over all rows before each in the given order, 0 for the first. Only one sum per partition goes to one task."""
+    dealt = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "running-sums")
+    sums = dealt.groupBy("__part").agg(F.sum(value).alias("__n"))
+    before = sums.select("__part", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    earlier = F.coalesce(F.sum(value).over(W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn(name, earlier).join(before, "__part").withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop("__part", "__before")
 
 
 def number_groups(df: DataFrame, group: str, order: list[str], pattern: str = "%s_qa%03d.json") -> DataFrame:
@@ -101,9 +107,7 @@ def questions_from_pairs(pairs: DataFrame, model: models.ChatModel) -> DataFrame
     shape = "array<struct<question:string,answer:string,supporting_fact_a:string,supporting_fact_b:string>>"
     read = materialize(pairs.withColumn("__qa", F.from_json(unfence(models.column(model, prompt)), shape)), "pair-answers")
     taken = F.when(F.col("__qa").isNull(), 1).otherwise(F.size("__qa"))
-    before = W.orderBy("pair").rowsBetween(W.unboundedPreceding, -1)  # one small row per pair
-    starts = read.select("pair", taken.alias("__taken")).withColumn("__first", F.coalesce(F.sum("__taken").over(before), F.lit(0)))
-    rows = read.join(starts.select("pair", "__first"), "pair").select("__first", "key_a", "key_b", F.posexplode("__qa").alias("__at", "q"))
+    rows = running_sums(read.withColumn("__taken", taken), ["pair"], "__taken", "__first").select("__first", "key_a", "key_b", F.posexplode("__qa").alias("__at", "q"))
     return rows.select((F.col("__first") + F.col("__at")).cast("long").alias("id"), "q.question", "q.answer", F.col("key_a").alias("ref_name_a"), F.col("key_b").alias("ref_name_b"), "q.supporting_fact_a", "q.supporting_fact_b")
 
 

@@ -4,33 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions.text import bag
+from quern.workspace import materialize
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
+MAX_QUERY_BYTES = 64 << 20  # a block of questions, sent to every task
+MAX_CELLS = 1 << 21  # scores that a worker holds at once
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Tables of a BM25 index. postings: store, doc, term, tf; docs: store, doc, length; stats: store, n_docs, avg_length, floor; terms: store, term, df."""
+    """Tables of a BM25 index, written once and read by every search.
 
-    docs: DataFrame
+    rows: store, doc, length, terms (distinct, sorted), tfs (how often each stands in the document); stats: store, n_docs, avg_length, floor; terms: store, term, df.
+    """
+
+    rows: DataFrame
     stats: DataFrame
     terms: DataFrame
-    tokens: DataFrame  # store, doc, tokens: postings are taken from it for the terms of the questions
 
-    def postings(self, wanted: DataFrame | None = None) -> DataFrame:
-        """store, doc, length, term, tf; with ``wanted`` (term), only of these, so that the rest of the corpus is not shuffled."""
-        rows = self.tokens.select("store", "doc", F.size("tokens").cast("long").alias("length"), F.explode("tokens").alias("term"))
-        if wanted is not None:
-            rows = rows.join(wanted, "term", "left_semi")
-        return rows.groupBy("store", "doc", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    @property
+    def docs(self) -> DataFrame:
+        return self.rows.select("store", "doc", "length")
+
+    def postings(self) -> DataFrame:
+        """store, doc, length, term, tf."""
+        return self.rows.select("store", "doc", "length", F.inline(F.arrays_zip("terms", "tfs"))).withColumnsRenamed({"terms": "term", "tfs": "tf"})
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -38,87 +46,123 @@ def idf(n_docs: Column, df: Column) -> Column:
 
 
 def lexical_index(docs: DataFrame, store_col: str = "source", doc_col: str = "doc_id", text_col: str = "text", tokenize: Callable[[Column], Column] = bag) -> LexicalIndex:
-    """Statistics are of each store by itself. ``floor`` is what terms with a negative idf get: a share of the mean idf of the store's vocabulary."""
-    tokens = docs.select(F.col(store_col).alias("store"), F.col(doc_col).alias("doc"), tokenize(F.col(text_col)).alias("tokens"))
-    lengths = tokens.select("store", "doc", F.size("tokens").cast("long").alias("length"))
-    sizes = lengths.groupBy("store").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
-    terms = tokens.select("store", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("store", "term").agg(F.count(F.lit(1)).alias("df"))
+    """Statistics are of each store by itself. ``floor`` is what terms with a negative idf get: a share of the mean idf of the store's vocabulary.
+
+    Texts are tokenized once; a null text has no terms. Document frequencies are counted before they are shuffled.
+    """
+    tokens = docs.select(F.col(store_col).alias("store"), F.col(doc_col).alias("doc"), F.sort_array(F.coalesce(tokenize(F.col(text_col)), F.array().cast("array<string>"))).alias("t"))
+    starts = "IF(size(t) = 0, CAST(array() AS array<int>), filter(sequence(0, greatest(size(t) - 1, 0)), i -> i = 0 OR get(t, i) <> get(t, i - 1)))"
+    placed = tokens.select("store", "doc", "t", F.expr(starts).alias("s"))
+    rows = placed.select("store", "doc", F.size("t").cast("long").alias("length"), F.expr("transform(s, i -> get(t, i))").alias("terms"), F.expr("transform(s, (p, k) -> coalesce(get(s, k + 1), size(t)) - p)").alias("tfs"))
+    rows = materialize(rows, "lexical-rows")
+    sizes = rows.groupBy("store").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
+    terms = materialize(rows.select("store", F.explode("terms").alias("term")).groupBy("store", "term").agg(F.count(F.lit(1)).alias("df")), "lexical-terms")
     floors = terms.join(sizes, "store").groupBy("store").agg((FLOOR * F.avg(idf(F.col("n_docs"), F.col("df")))).alias("floor"))
-    return LexicalIndex(lengths, sizes.join(floors, "store", "left"), terms, tokens)
+    return LexicalIndex(rows, materialize(sizes.join(floors, "store", "left"), "lexical-stats"), terms)
 
 
 def _weights(index: LexicalIndex, wanted: DataFrame) -> DataFrame:
-    """(store, term, avg_length, idf) of the terms wanted."""
+    """(store, number, idf) of the terms wanted (term, number)."""
     raw = idf(F.col("n_docs"), F.col("df"))
-    return index.terms.join(wanted, "term", "left_semi").join(index.stats, "store").select("store", "term", "avg_length", F.when(raw < 0, F.col("floor")).otherwise(raw).alias("idf"))
+    return index.terms.join(wanted, "term").join(index.stats, "store").select("store", "number", F.when(raw < 0, F.col("floor")).otherwise(raw).alias("idf"))
 
 
-def term_gains(index: LexicalIndex, wanted: DataFrame) -> DataFrame:
-    """(store, doc, term, gain): what each occurrence of a term in a question adds to a document's score."""
-    part = index.postings(wanted).join(_weights(index, wanted), ["store", "term"])
-    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    return part.select("store", "doc", "term", gain.alias("gain"))
+def _best_places(scores: np.ndarray, tie: np.ndarray, members: np.ndarray, k: int) -> np.ndarray:
+    """Row numbers of the k best of some rows for every column: highest score first, then smallest tie."""
+    order = np.lexsort((np.broadcast_to(tie[members][:, None], (len(members), scores.shape[1])), -scores[members]), axis=0)[:k]
+    return members[order]
 
 
-def lexical_topk(index: LexicalIndex, questions: DataFrame, k_each: int = 4, top_k: int | None = 5, merge: str = "concat", qid_col: str = "item_id", text_col: str = "text", tokenize: Callable[[Column], Column] = bag, max_query_bytes: int = 256 << 20) -> DataFrame:
-    """(qid, rank, store, doc, score): k_each per store, then stores one after the other ("concat") or by score ("score"), cut at top_k.
+def _members(stores: list) -> dict:
+    found: dict = {}
+    for i, store in enumerate(stores):
+        found.setdefault(store, []).append(i)
+    return {store: np.array(rows) for store, rows in found.items()}
 
-    A term counts as often as a question has it; documents without any of its terms score 0 and fill stores with few others. Scores
-    that agree to nine decimals tie, and ties go to the larger doc.
 
-    Search runs in blocks: questions, a stated set whose size is checked, go to every task as a matrix of terms by questions. A document is
-    one row with its gains; a batch of them times the matrix gives scores, of which k_each per question and store are passed on.
-    """
-    asked = questions.select(F.col(qid_col).cast("long").alias("qid"), tokenize(F.col(text_col)).alias("terms")).where("qid is not null")
-    size = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(F.array_distinct("terms"))), F.lit(0)).alias("t")).first()
-    if size["n"] * size["t"] * 8 > max_query_bytes:
-        raise ValueError(f"{size['n']} questions with {size['t']} terms may exceed max_query_bytes; split them")
-    rows = asked.collect()
-    qids = [r["qid"] for r in rows]
+def _lexical_block(index: LexicalIndex, block: list, stores: dict, k_each: int) -> DataFrame:
+    """(qid, store, doc, score) candidates of one block of questions [(qid, terms)]: one pass over the index, no shuffle."""
+    qids = [q for q, _ in block]
     numbers: dict[str, int] = {}
-    for r in rows:
-        for term in r["terms"]:
+    for _, terms in block:
+        for term in terms:
             numbers.setdefault(term, len(numbers))
     matrix = np.zeros((len(numbers), len(qids)))
-    for q, r in enumerate(rows):
-        for term in r["terms"]:
+    for q, (_, terms) in enumerate(block):
+        for term in terms:
             matrix[numbers[term], q] += 1
-    spark = questions.sparkSession
-    wanted = spark.createDataFrame([(t, n) for t, n in numbers.items()], "term string, number int")
-    gains = term_gains(index, wanted.select("term")).join(wanted, "term").groupBy("store", "doc").agg(F.collect_list("number").alias("numbers"), F.collect_list("gain").alias("gains"))
-    rows_in = index.docs.select("store", "doc").join(gains, ["store", "doc"], "left").select("store", "doc", "numbers", "gains")
-    types = {f.name: f.dataType for f in rows_in.schema}
+    spark = index.rows.sparkSession
+    weights = np.zeros((len(stores), len(numbers)))
+    wanted = spark.createDataFrame(list(numbers.items()), "term string, number int")
+    for r in _weights(index, wanted).toLocalIterator():
+        weights[stores[r["store"]][0], r["number"]] = r["idf"]
+    vocabulary = pa.array(list(numbers), pa.string())
+    types = {f.name: f.dataType for f in index.rows.schema}
+    step = max(1, MAX_CELLS // max(1, len(qids)))
+
+    def of_part(part: pa.RecordBatch) -> pa.RecordBatch:
+        names, docs = part.column(0).to_pylist(), part.column(1).to_pylist()
+        lists = part.column(3)
+        found = pc.index_in(lists.flatten(), value_set=vocabulary).to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+        hit = ~np.isnan(found) if found.dtype.kind == "f" else np.ones(len(found), dtype=bool)
+        owner, number, tf = owner[hit], found[hit].astype(np.int64), part.column(4).flatten().to_numpy(zero_copy_only=False)[hit].astype(float)
+        place = np.array([stores[s][0] for s in names], dtype=np.int64)
+        share = part.column(2).to_numpy(zero_copy_only=False) / np.array([stores[s][1] or 1.0 for s in names])
+        gains = weights[place[owner], number] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * share[owner]))
+        scores, cuts = np.zeros((part.num_rows, len(qids))), np.searchsorted(owner, np.arange(part.num_rows + 1))
+        for i in np.unique(owner).tolist():
+            scores[i] = gains[cuts[i] : cuts[i + 1]] @ matrix[number[cuts[i] : cuts[i + 1]]]
+        scores = np.round(scores, 9) + 0.0
+        tie = -np.unique(np.array(docs), return_inverse=True)[1]
+        out_stores, out_docs, values, asks = [], [], [], []
+        for store, members in _members(names).items():
+            best = _best_places(scores, tie, members, k_each)
+            out_stores += [store] * best.size
+            out_docs += [docs[i] for i in best.ravel().tolist()]
+            values.append(np.take_along_axis(scores, best, axis=0).ravel())
+            asks += qids * len(best)
+        return pa.RecordBatch.from_arrays([pa.array(asks, pa.int64()), pa.array(out_stores, part.schema.field(0).type), pa.array(out_docs, part.schema.field(1).type), pa.array(np.concatenate(values))], names=["qid", "store", "doc", "score"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            if not n or not qids:
-                continue
-            docs, scores = batch.column(1).to_pylist(), np.zeros((n, len(qids)))
-            rank = np.unique(np.array(docs), return_inverse=True)[1]
-            ends = np.cumsum([len(x) if x is not None else 0 for x in batch.column(2).to_pylist()]).tolist()
-            terms, parts = batch.column(2).flatten().to_numpy(zero_copy_only=False), batch.column(3).flatten().to_numpy(zero_copy_only=False)
-            for i, (begin, end) in enumerate(zip([0, *ends], ends)):
-                if end > begin:
-                    scores[i] = parts[begin:end] @ matrix[terms[begin:end]]
-            scores = np.round(scores, 9) + 0.0
-            by_store: dict = {}
-            for i, store in enumerate(batch.column(0).to_pylist()):
-                by_store.setdefault(store, []).append(i)
-            stores, found, values, asks = [], [], [], []
-            for store, members in by_store.items():
-                m = np.array(members)
-                order = m[np.lexsort((np.broadcast_to(-rank[m][:, None], (len(m), len(qids))), -scores[m]), axis=0)[:k_each]]
-                stores += [store] * order.size
-                found += [docs[i] for i in order.ravel().tolist()]
-                values.append(np.take_along_axis(scores, order, axis=0).ravel())
-                asks += qids * len(order)
-            yield pa.RecordBatch.from_arrays([pa.array(asks, pa.int64()), pa.array(stores, batch.schema.field(0).type), pa.array(found, batch.schema.field(1).type), pa.array(np.concatenate(values))], names=["qid", "store", "doc", "score"])
-
-    schema = f"qid long, store {types['store'].simpleString()}, doc {types['doc'].simpleString()}, score double"
-    candidates = rows_in.mapInArrow(search, schema)
-    best = candidates.withColumn("rn", F.row_number().over(W.partitionBy("qid", "store").orderBy(F.desc("score"), F.desc("doc")))).where(F.col("rn") <= k_each)
-    return merge_stores(best, top_k, merge)
+            for at in range(0, batch.num_rows, step):
+                yield of_part(batch.slice(at, step))
+
+    return index.rows.where("store is not null").mapInArrow(search, f"qid long, store {types['store'].simpleString()}, doc {types['doc'].simpleString()}, score double")
+
+
+def _top(candidates: list[DataFrame], k_each: int, label: str, *order: Column) -> DataFrame:
+    """(qid, store, rn, doc, score): k_each of each question and store. The results of several blocks are written down one by one."""
+    ranked = [c.withColumn("rn", F.row_number().over(W.partitionBy("qid", "store").orderBy(*order))).where(F.col("rn") <= k_each) for c in candidates]
+    if len(ranked) == 1:
+        return ranked[0]
+    return reduce(DataFrame.unionByName, [materialize(r, label) for r in ranked])
+
+
+def lexical_topk(index: LexicalIndex, questions: DataFrame, k_each: int = 4, top_k: int | None = 5, merge: str = "concat", qid_col: str = "item_id", text_col: str = "text", tokenize: Callable[[Column], Column] = bag, max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
+    """(qid, rank, store, doc, score): k_each per store, then stores one after the other ("concat") or by score ("score"), cut at top_k.
+
+    A term counts as often as a question has it; documents without any of its terms score 0 and fill stores with few others. Scores
+    that agree to nine decimals tie, and ties go to the larger doc.
+
+    Search runs in blocks of questions, as many as keep terms times (questions + stores) within max_query_bytes. For a block every task gets the
+    weights of its terms in each store, and one pass over the index gives k_each candidates per question, store and batch.
+    """
+    asked = questions.select(F.col(qid_col).cast("long").alias("qid"), F.coalesce(tokenize(F.col(text_col)), F.array().cast("array<string>")).alias("terms")).where("qid is not null")
+    stores = {r["store"]: (i, r["avg_length"]) for i, r in enumerate(index.stats.where("store is not null").select("store", "avg_length").toLocalIterator())}
+    blocks, block, held = [], [], set()
+    for row in asked.toLocalIterator():
+        more = held | set(row["terms"])
+        if block and len(more) * (len(block) + 1 + len(stores)) * 8 > max_query_bytes:
+            blocks.append(_lexical_block(index, block, stores, k_each))
+            block, more = [], set(row["terms"])
+        if len(more) * (1 + len(stores)) * 8 > max_query_bytes:
+            raise ValueError(f"one question's {len(more)} terms in {len(stores)} stores exceed max_query_bytes")
+        block.append((row["qid"], row["terms"]))
+        held = more
+    blocks.append(_lexical_block(index, block, stores, k_each))
+    return merge_stores(_top(blocks, k_each, "lexical-block", F.desc("score"), F.desc("doc")), top_k, merge)
 
 
 def merge_stores(best: DataFrame, top_k: int | None, merge: str) -> DataFrame:
@@ -130,45 +174,53 @@ def merge_stores(best: DataFrame, top_k: int | None, merge: str) -> DataFrame:
     return ranked.select("qid", "rank", "store", "doc", "score")
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k_each: int = 3, top_k: int | None = 5, store_col: str = "label", doc_col: str = "vec_id", vector_col: str = "embedding", qid_col: str = "vec_id", merge: str = "score", max_query_bytes: int = 256 << 20) -> DataFrame:
-    """(qid, rank, store, doc, score): cosine similarity, k_each per store, then top_k by score. Ties go to the smaller doc.
-
-    Exact search in blocks: the queries, a stated set whose size is checked, go to every task as one matrix; each batch of vectors is
-    multiplied with it and gives at most k_each candidates per query and store, so what is shuffled does not grow with the batch.
-    """
-    asked = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(vector_col).alias("v")).where("v is not null")
-    n, width = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    if n * width * 8 > max_query_bytes:
-        raise ValueError(f"{n} queries of {width} values exceed max_query_bytes; split them")
-    rows = asked.collect()
-    qids, matrix = np.array([r["qid"] for r in rows], dtype=np.int64), np.array([r["v"] for r in rows], dtype=float).reshape(len(rows), width)
+def _dense_block(flat: DataFrame, qids: np.ndarray, matrix: np.ndarray, k_each: int) -> DataFrame:
+    """(qid, store, doc, score) candidates of one block of queries."""
     with np.errstate(invalid="ignore", divide="ignore"):
-        matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True) if len(rows) else matrix
+        matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    step = max(1, MAX_CELLS // max(1, len(qids)))
+
+    def of_part(part: pa.RecordBatch) -> pa.RecordBatch:
+        docs = part.column(1).to_numpy(zero_copy_only=False)
+        values = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            scores = np.nan_to_num(values @ matrix.T / np.linalg.norm(values, axis=1, keepdims=True), nan=-2.0)
+        rounded, tie = np.round(scores, 12), np.unique(docs, return_inverse=True)[1]
+        columns: list[list] = [[], [], [], []]
+        for store, members in _members(part.column(0).to_pylist()).items():
+            best = _best_places(rounded, tie, members, k_each)
+            value = np.take_along_axis(scores, best, axis=0)
+            good = value > -2
+            for column, more in zip(columns, (np.broadcast_to(qids, best.shape)[good].tolist(), [store] * int(good.sum()), docs[best][good].tolist(), value[good].tolist())):
+                column += more
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.string(), pa.int64(), pa.float64()])], names=["qid", "store", "doc", "score"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows or not len(qids):
-                continue
-            stores, docs = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                scores = np.nan_to_num(flat @ matrix.T / np.linalg.norm(flat, axis=1, keepdims=True), nan=-2.0)
-            by_store: dict = {}
-            for i, store in enumerate(stores):
-                by_store.setdefault(store, []).append(i)
-            out = []
-            for store, members in by_store.items():
-                part, ids = scores[members], docs[members]
-                order = np.lexsort((np.broadcast_to(ids[:, None], part.shape), -np.round(part, 12)), axis=0)[:k_each]
-                for q in range(len(qids)):
-                    out += [(int(qids[q]), store, int(ids[i]), float(part[i, q])) for i in order[:, q] if part[i, q] > -2]
-            columns = list(zip(*out)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.string(), pa.int64(), pa.float64()])], names=["qid", "store", "doc", "score"])
+            for at in range(0, batch.num_rows, step):
+                yield of_part(batch.slice(at, step))
 
+    return flat.mapInArrow(search, "qid long, store string, doc long, score double")
+
+
+def dense_topk(vectors: DataFrame, queries: DataFrame, k_each: int = 3, top_k: int | None = 5, store_col: str = "label", doc_col: str = "vec_id", vector_col: str = "embedding", qid_col: str = "vec_id", merge: str = "score", max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
+    """(qid, rank, store, doc, score): cosine similarity, k_each per store, then top_k by score. Ties go to the smaller doc.
+
+    Exact search in blocks: as many queries as max_query_bytes holds go to every task as one matrix; each batch of vectors is
+    multiplied with it and gives at most k_each candidates per query and store, so what is shuffled does not grow with the batch. A
+    query set of any size is searched, one pass over the vectors per block.
+    """
+    asked = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(vector_col).alias("v")).where("v is not null and qid is not null")
     flat = vectors.where(F.col(vector_col).isNotNull()).select(F.col(store_col).cast("string").alias("store"), F.col(doc_col).cast("long").alias("doc"), F.col(vector_col).cast("array<float>").alias("v"))
-    found = flat.mapInArrow(search, "qid long, store string, doc long, score double")
-    best = found.withColumn("rn", F.row_number().over(W.partitionBy("qid", "store").orderBy(F.desc(F.round("score", 12)), "doc"))).where(F.col("rn") <= k_each)
-    return merge_stores(best, top_k, merge)
+    blocks, qids, values = [], [], []
+    for row in asked.toLocalIterator():
+        if qids and (len(qids) + 1) * len(row["v"]) * 8 > max_query_bytes:
+            blocks.append(_dense_block(flat, np.array(qids, dtype=np.int64), np.array(values, dtype=float), k_each))
+            qids, values = [], []
+        qids.append(row["qid"])
+        values.append(row["v"])
+    blocks.append(_dense_block(flat, np.array(qids, dtype=np.int64), np.array(values, dtype=float).reshape(len(qids), -1 if qids else 1), k_each) if qids else flat.selectExpr("doc AS qid", "store", "doc", "CAST(0 AS double) AS score").where("false"))
+    return merge_stores(_top(blocks, k_each, "dense-block", F.desc(F.round("score", 12)), F.col("doc")), top_k, merge)
 
 
 def upsert(table: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -177,12 +229,19 @@ def upsert(table: DataFrame, keys: list[str], version: str) -> DataFrame:
     return table.withColumn("__rn", newest).where("__rn = 1").drop("__rn")
 
 
-def gather_context(found: DataFrame, contents: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(qid, context, docs): contents of the retrieved documents in order of rank, joined by blank lines; empty ones are left out."""
-    joined = found.join(contents.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("content")), "doc")
+def gather_context(found: DataFrame, contents: DataFrame, doc_col: str = "doc_id", text_col: str = "text", questions: DataFrame | None = None) -> DataFrame:
+    """(qid, context, docs): contents of the retrieved documents in order of rank, joined by blank lines; empty and missing ones are left out.
+
+    With ``questions`` (qid), those for which nothing was found have an empty context and no documents.
+    """
+    joined = found.join(contents.select(F.col(doc_col).alias("doc"), F.col(text_col).alias("content")), "doc", "left")
     parts = F.array_sort(F.collect_list(F.struct("rank", "doc", "content")))
     texts = F.filter(F.transform(parts, lambda p: F.nullif(p["content"], F.lit(""))), lambda t: t.isNotNull())
-    return joined.groupBy("qid").agg(F.array_join(texts, "\n\n").alias("context"), F.transform(parts, lambda p: p["doc"]).alias("docs"))
+    gathered = joined.groupBy("qid").agg(F.array_join(texts, "\n\n").alias("context"), F.transform(parts, lambda p: p["doc"]).alias("docs"))
+    if questions is None:
+        return gathered
+    none = F.array().cast(gathered.schema["docs"].dataType)
+    return questions.select("qid").join(gathered, "qid", "left").select("qid", F.coalesce("context", F.lit("")).alias("context"), F.coalesce("docs", none).alias("docs"))
 
 
 def with_readings(context: Column, **sections: Column) -> Column:

@@ -14,16 +14,15 @@ EPSILON = 1e-6
 
 
 def gate(know: Column | None, relevance: Column, faithfulness: Column, has_context: Column, know_at: float = 0.7, relevance_at: float = 0.7, faithfulness_at: float = 0.7) -> Column:
-    """"empty_context" without context; "llm" if the model knows (know >= know_at; skipped where know is None); "fallback" where the context
-    is not relevant (relevance <= relevance_at); "rag" where the answer is faithful (faithfulness >= faithfulness_at); else "fallback"."""
-    routed = F.when(~has_context, "empty_context")
-    if know is not None:
-        routed = routed.when(know >= know_at, "llm")
+    """"llm" if the model knows (know >= know_at; skipped where know is None), which needs no context; else "empty_context" without context;
+    "fallback" where the context is not relevant (relevance <= relevance_at); "rag" where the answer is faithful
+    (faithfulness >= faithfulness_at); else "fallback"."""
+    routed = F.when(~has_context, "empty_context") if know is None else F.when(know >= know_at, "llm").when(~has_context, "empty_context")
     return routed.when(relevance <= relevance_at, "fallback").when(faithfulness >= faithfulness_at, "rag").otherwise("fallback")
 
 
 def rerank_gate(score: Column, threshold: float = 0.6, has_fallback: bool = True) -> Column:
-    """"rag" if the reranker's score reaches the threshold or there is no fallback. Lists of scores count by their first."""
+    """"rag" if the reranker's score reaches the threshold or there is no fallback. Of a list of scores, pass the first."""
     return F.when(F.coalesce(score >= threshold, F.lit(False)), "rag").otherwise("fallback" if has_fallback else "rag")
 
 

@@ -111,9 +111,12 @@ def json_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge scores read from event properties: well formed, bare numbers, and broken ones."""
     e = table(spark, sf_dir, "events")
     shares = F.format_string("%.2f", (F.col("event_id") % 150) / F.lit(100.0))
-    text = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('so {"score": '), shares, F.lit("} then"))).when(F.col("event_id") % 4 == 1, F.lit("score: 0.25 I think")).when(F.col("event_id") % 4 == 2, F.lit('{"score": ')).otherwise(F.lit('{"label": 1}'))
-    found = judging.judge(text)
-    return e.select("event_id", found["label"].alias("label"), F.round(found["score"], 6).alias("score"))
+    forms = ["score: 0.25 I think", '{"score": ', '{"label": 1}', "score is 10", "score = 0.7", '{"label": 5, "score": 0.9}', '{"score": "x"} or "score": 0.6']
+    text = F.when(F.col("event_id") % 8 == 0, F.concat(F.lit('so {"score": '), shares, F.lit("} then")))
+    for i, form in enumerate(forms, 1):
+        text = text.when(F.col("event_id") % 8 == i, form)
+    loose, strict = judging.judge(text), judging.judge(text, loose=False)
+    return e.select("event_id", loose["label"].alias("label"), F.round(loose["score"], 6).alias("score"), strict["label"].alias("strict_label"), F.round(strict["score"], 6).alias("strict_score"))
 
 
 def useful_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,9 +176,17 @@ ORACLES = {
         SELECT a.i // 2 AS pair, a.doc_id AS key_a, b.doc_id AS key_b FROM o a JOIN o b ON b.i = a.i + 1 WHERE a.i % 2 = 0 AND a.n >= 200 AND b.n >= 200""",
     "mcq_format": r"""WITH o AS (SELECT conv_id, turn, w, list_transform(w, lambda x, i: i || ') ' || x) AS o FROM (SELECT conv_id, turn, string_split(text, ' ')[1:5] AS w FROM conversations))
         SELECT conv_id, turn, CASE WHEN len(o) > 0 THEN 'Options:' || chr(10) || array_to_string(o, chr(10)) ELSE '' END AS block, len(o) = 5 AND (turn + 1)::VARCHAR IN ('1', '2', '3', '4', '5') AS valid FROM o""",
-    "json_defaults": """SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 1 ELSE (score >= 0.5)::INT END AS label, score FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN round(least(1.0, (event_id % 150) / 100.0), 6) WHEN 1 THEN 0.25 ELSE 0.0 END::DOUBLE AS score FROM events)""",
+    "json_defaults": r"""WITH forms AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'so {"score": ' || printf('%.2f', (event_id % 150) / 100.0) || '} then' WHEN 1 THEN 'score: 0.25 I think' WHEN 2 THEN '{"score": ' WHEN 3 THEN '{"label": 1}'
+            WHEN 4 THEN 'score is 10' WHEN 5 THEN 'score = 0.7' WHEN 6 THEN '{"label": 5, "score": 0.9}' ELSE '{"score": "x"} or "score": 0.6' END AS t FROM events),
+        objects AS (SELECT event_id, t, regexp_extract(t, '\{.*?\}') AS o FROM forms),
+        fields AS (SELECT event_id, t, CASE WHEN o <> '' THEN json_extract_string(o, '$.score') END AS s, CASE WHEN o <> '' THEN json_extract_string(o, '$.label') END AS l, o FROM objects),
+        readable AS (SELECT *, o <> '' AND (s IS NULL OR try_cast(s AS DOUBLE) IS NOT NULL) AND (l IS NULL OR try_cast(l AS INT) IS NOT NULL) AS ok FROM fields),
+        scored AS (SELECT event_id, ok, l, least(1.0, greatest(0.0, CASE WHEN ok THEN coalesce(try_cast(s AS DOUBLE), 0) ELSE coalesce(try_cast(nullif(regexp_extract(t, '([01](?:\.\d+)?)', 1), '') AS DOUBLE), 0) END))::DOUBLE AS score,
+            least(1.0, greatest(0.0, CASE WHEN ok THEN coalesce(try_cast(s AS DOUBLE), 0) ELSE coalesce(try_cast(nullif(regexp_extract(t, '"score"\s*:\s*([01](?:\.\d+)?)', 1), '') AS DOUBLE), 0) END))::DOUBLE AS strict_score FROM readable)
+        SELECT event_id, CASE WHEN ok AND l IS NOT NULL THEN (l = '1')::INT ELSE (score >= 0.5)::INT END AS label, round(score, 6) AS score,
+            CASE WHEN ok AND l IS NOT NULL THEN (l = '1')::INT ELSE (strict_score >= 0.5)::INT END AS strict_label, round(strict_score, 6) AS strict_score FROM scored""",
     "useful_flags": "SELECT event_id, event_id % 4 IN (0, 3) AS is_useful FROM events",
-    "gate_route": f"""WITH {_SCORED} SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'empty_context' WHEN se >= 0.8 THEN 'llm' WHEN sn <= 0.3 THEN 'fallback' WHEN sc >= 0.5 THEN 'rag' ELSE 'fallback' END AS route,
+    "gate_route": f"""WITH {_SCORED} SELECT doc_id, CASE WHEN se >= 0.8 THEN 'llm' WHEN doc_id % 13 = 0 THEN 'empty_context' WHEN sn <= 0.3 THEN 'fallback' WHEN sc >= 0.5 THEN 'rag' ELSE 'fallback' END AS route,
         CASE WHEN sn <= 0.3 THEN 'fallback' WHEN sc >= 0.5 THEN 'rag' ELSE 'fallback' END AS simple_route, CASE WHEN sn >= 0.6 THEN 'rag' ELSE 'fallback' END AS rerank_route FROM s""",
     "token_gate": """WITH h AS (SELECT vec_id, embedding[1:(vec_id % 33)]::DOUBLE[] AS a, embedding[33:(32 + vec_id % 3)]::DOUBLE[] AS b FROM embeddings),
         m AS (SELECT vec_id, coalesce(list_avg(a), 0) AS ma, coalesce(list_avg(b), 0) AS mb, CASE WHEN len(b) < 2 THEN 0 ELSE list_stddev_samp(b) END AS sb FROM h)

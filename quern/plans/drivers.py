@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from quern.functions import metrics
 from quern.functions.prompts import render
 from quern.functions.text import store_name
 from quern.operators import filters, online, records, retrieval, routing, statistics
+from quern.workspace import materialize
 
 Chunker = Callable[[DataFrame], DataFrame]
 
@@ -67,18 +69,48 @@ def rerank(found: DataFrame, questions: DataFrame, contents: DataFrame, score: m
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("rerank_score"), "__old"))).drop("__old", "question", "content")
 
 
-def answer_batch(contexts: DataFrame, chat: models.ChatModel, fallback: models.ChatModel, know: models.PairModel | None = None, relevance: models.PairModel = models.overlap_scorer, faithful: models.PairModel = models.overlap_scorer, **thresholds: float) -> DataFrame:
-    """contexts (qid, question, context) answered and routed: scores are taken, each row goes to one branch, and only its model runs on it."""
-    has = F.length(F.trim(F.coalesce("context", F.lit("")))) > 0
-    prompt = render("answer_context", context=F.col("context"), question=F.col("question"))
-    drafted = contexts.withColumn("draft", models.column(chat, prompt))
-    known = F.lit(None).cast("double") if know is None else models.pair_column(know, F.col("question"), F.col("question"))
-    scored = drafted.withColumn("know_prob", known).withColumn("relv_score", models.pair_column(relevance, F.col("question"), F.col("context"))).withColumn("faith_score", models.pair_column(faithful, F.col("context"), F.col("draft")))
-    gate = routing.gate(None if know is None else F.col("know_prob"), F.col("relv_score"), F.col("faith_score"), has, **thresholds)
-    plain = render("answer", question=F.col("question"))
-    branches = {"rag": lambda d: d.withColumn("generated", F.col("draft")), "llm": lambda d: d.withColumn("generated", models.column(chat, plain)), "fallback": lambda d: d.withColumn("generated", models.column(fallback, plain))}
-    routed = routing.answer_by_route(scored.withColumn("route", gate), "route", branches)
-    return routed.withColumn("judge_score", records.judge_scores(know_prob=F.col("know_prob"), relv_score=F.col("relv_score"), faith_score=F.col("faith_score"))).drop("draft", "know_prob", "relv_score", "faith_score")
+def answer_batch(contexts: DataFrame, chat: models.ChatModel, fallback: models.ChatModel, know: models.PairModel | None = None, relevance: models.PairModel = models.overlap_scorer, faithful: models.PairModel = models.overlap_scorer, know_at: float = 0.7, relevance_at: float = 0.7, faithfulness_at: float = 0.7) -> DataFrame:
+    """contexts (qid, question, context) with ``route``, ``generated`` and ``judge_score``, stage by stage; a model sees only the rows that its stage needs.
+
+    What the model knows is answered without context. Of the rest, rows with context are answered from it, then judged for relevance, and
+    relevant ones for faithfulness. Scores of stages that a row did not reach are null. Each stage is written down, so that no model runs twice.
+    """
+    question, context, draft = F.col("question"), F.col("context"), F.col("draft")
+    empty = lambda kind: F.lit(None).cast(kind)
+    plain = render("answer", question=question)
+    known = empty("double") if know is None else models.pair_column(know, question, question)
+    asked = contexts.withColumn("know_prob", known)
+    asked = asked if know is None else materialize(asked, "answers-known")
+    knows = F.coalesce(F.col("know_prob") >= know_at, F.lit(False))
+    has = F.length(F.trim(F.coalesce(context, F.lit("")))) > 0
+    drafted = asked.where(~knows & has).withColumn("draft", models.column(chat, render("answer_context", context=context, question=question)))
+    related = materialize(drafted.withColumn("relv_score", models.pair_column(relevance, question, context)), "answers-related")
+    relevant = F.coalesce(F.col("relv_score") > relevance_at, F.lit(False))
+    checked = materialize(related.where(relevant).withColumn("faith_score", models.pair_column(faithful, context, draft)), "answers-checked")
+    faithful_enough = F.coalesce(F.col("faith_score") >= faithfulness_at, F.lit(False))
+    by_fallback = lambda rows: rows.withColumn("route", F.lit("fallback")).withColumn("generated", models.column(fallback, plain))
+    parts = [
+        asked.where(knows).withColumn("route", F.lit("llm")).withColumn("generated", models.column(chat, plain)),
+        asked.where(~knows & ~has).withColumn("route", F.lit("empty_context")).withColumn("generated", empty("string")),
+        by_fallback(related.where(~relevant).drop("draft")),
+        checked.where(faithful_enough).withColumn("route", F.lit("rag")).withColumnRenamed("draft", "generated"),
+        by_fallback(checked.where(~faithful_enough).drop("draft")),
+    ]
+    scores = ("know_prob", "relv_score", "faith_score")
+    parts = [p.select(*contexts.columns, "route", "generated", records.judge_scores(**{s: F.col(s) if s in p.columns else empty("double") for s in scores}).alias("judge_score")) for p in parts]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def answer_by_tokens(contexts: DataFrame, chat: models.ScoredModel, fallback: models.ChatModel, threshold: float = 0.1) -> DataFrame:
+    """contexts (qid, question, context) answered twice, with and without context, by a model that tells the log-probabilities of its tokens; the gate on
+    both sets of them keeps the answer from context or asks the fallback. Adds route, generated, logprobs and token statistics."""
+    question, context = F.col("question"), F.col("context")
+    both = contexts.withColumn("__c", models.scored_column(chat, render("answer_context", context=F.coalesce(context, F.lit("")), question=question))).withColumn("__p", models.scored_column(chat, render("answer", question=question)))
+    both = materialize(both, "answers-tokens")
+    told = both.select(*contexts.columns, "__c", *(v.alias(k) for k, v in routing.token_z(F.col("__c.logprobs"), F.col("__p.logprobs")).items()), routing.token_gate(F.col("__c.logprobs"), F.col("__p.logprobs"), threshold).alias("route"))
+    kept = told.where("route = 'rag'").withColumn("generated", F.col("__c.text"))
+    asked = told.where("route <> 'rag'").withColumn("generated", models.column(fallback, render("answer", question=question)))
+    return kept.unionByName(asked).withColumn("logprobs", F.col("__c.logprobs")).drop("__c")
 
 
 def evaluate(results: DataFrame, embed: Callable[[Column], Column] = models.hashed_embedding, extra: Mapping[str, models.PairModel] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -12,8 +12,6 @@ from quern.functions.vectors import cosine
 from quern.operators import chunking, records, retrieval
 from quern.session import spread, table
 
-STORES = 20
-
 
 def _index(spark: SparkSession, sf_dir: str) -> retrieval.LexicalIndex:
     return retrieval.lexical_index(spread(table(spark, sf_dir, "documents")))
@@ -47,7 +45,7 @@ def chunk_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return retrieval.dense_topk(vectors, vectors.where("vec_id < 20"))
+    return retrieval.dense_topk(vectors, vectors.where("vec_id % 20 = 0"))
 
 
 def dense_topk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +79,8 @@ def rag_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieve, gather context, answer with the stand-in model."""
     docs, questions = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")
     found = retrieval.lexical_topk(retrieval.lexical_index(docs), questions, 1, 1, "score")
-    asked = retrieval.gather_context(found, docs).join(questions.select(F.col("item_id").alias("qid"), F.col("text").alias("question")), "qid")
+    asked = questions.select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    asked = retrieval.gather_context(found, docs, questions=asked).join(asked, "qid")
     prompt = render("answer_context", context=F.col("context"), question=F.col("question"))
     return asked.select("qid", *records.shape_answer("llm", models.column(models.echo_model, prompt)))
 
@@ -116,7 +115,7 @@ def _bm25_sql(corpus: str, k_each: int, top_k: int, order: str) -> str:
 _DOCS = "SELECT source AS store, doc_id AS doc, text FROM documents"
 _RANKED = "SELECT qid, rank, store, doc, round(score, 6) AS score FROM ranked"
 _DENSE = """WITH s AS (SELECT q.vec_id AS qid, v.label::VARCHAR AS store, v.vec_id AS doc, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])
-        / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]))) AS score FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id < 20),
+        / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]))) AS score FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id % 20 = 0),
     best AS (SELECT *, row_number() OVER (PARTITION BY qid, store ORDER BY round(score, 12) DESC, doc) AS rn FROM s QUALIFY rn <= 3),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, store, rn) AS rank FROM best QUALIFY rank <= 5)"""
 _CHUNKS = r"""SELECT 'all' AS store, doc_id || '#' || lpad(i::VARCHAR, 6, '0') AS doc, array_to_string(w[i * 118 + 1:i * 118 + 128], ' ') AS text FROM (SELECT doc_id, w, unnest(range(CASE WHEN len(w) <= 128 THEN 1 ELSE ceil((len(w) - 128) / 118.0)::INT + 1 END)) AS i

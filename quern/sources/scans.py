@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import natural_key, stem
 from quern.operators.filters import drop_blank
 from quern.operators.records import running_ids
+from quern.operators.retrieval import LexicalIndex
 
 CHUNK = "id long, source_files array<string>, md_summary string, raw_chunk string"
 QA = "id long, chunk_name string, source_files array<string>, raw_chunk string, md_summary string, question string, answer string, declarative string, ref_doc string, options array<string>"
@@ -113,3 +114,8 @@ def open_stores(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     """An index table partitioned by store, and the names of its stores."""
     table = spark.read.parquet(path)
     return table, sorted(r["store"] for r in table.select("store").distinct().collect())
+
+
+def open_lexical(spark: SparkSession, path: str) -> LexicalIndex:
+    """A BM25 index that write_lexical() wrote: searches read its tables and tokenize nothing but questions."""
+    return LexicalIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("rows", "stats", "terms")))

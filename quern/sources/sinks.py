@@ -17,9 +17,9 @@ def write_vectors(rows: DataFrame, path: str, old: DataFrame | None = None) -> N
 
 
 def write_lexical(index: LexicalIndex, path: str) -> None:
-    for name in ("docs", "stats", "terms"):
+    """The tables of an index, as open_lexical() of scans reads them."""
+    for name in ("rows", "stats", "terms"):
         getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
-    index.postings().write.mode("overwrite").parquet(f"{path}/postings")
 
 
 def chunk_records(chunks: DataFrame, order: list[str], tag: str) -> DataFrame:

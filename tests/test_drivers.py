@@ -40,6 +40,32 @@ def test_answers_and_evaluation(spark):
     assert {r["metric"]: round(r["average"], 9) for r in summary.collect()} == {m: 0.5 for m in ("recall", "mrr", "sbert", "rouge1", "rougeL", "em", "learned")} and scores.count() == 2
 
 
+def test_each_model_sees_its_rows_only(spark, tmp_path):
+    def told(name, model):
+        def run(*series):
+            with open(tmp_path / name, "a") as out:
+                out.writelines(f"{x[-12:]!r}\n" for x in series[0])
+            return model(*series)
+
+        return run
+
+    contexts = spark.createDataFrame([(1, "known", "x"), (2, "known too", None), (3, "bare", " "), (4, "off topic", "nothing here"), (5, "red cat", "red cat sat"), (6, "blue cat", "blue cat sat")], "qid long, question string, context string")
+    know = lambda a, b: a.str.startswith("known").astype(float)
+    relevance = lambda a, b: (~a.str.startswith("off")).astype(float)
+    faithful = lambda a, b: a.str.startswith("red").astype(float)
+    out = {r["qid"]: r for r in drivers.answer_batch(contexts, told("chat", models.echo_model), told("fallback", models.echo_model), told("know", know), told("relevance", relevance), told("faithful", faithful)).collect()}
+    assert {q: r["route"] for q, r in out.items()} == {1: "llm", 2: "llm", 3: "empty_context", 4: "fallback", 5: "rag", 6: "fallback"}
+    assert {q: tuple(r["judge_score"][0]) for q, r in out.items()} == {1: (1.0, None, None), 2: (1.0, None, None), 3: (0.0, None, None), 4: (0.0, 0.0, None), 5: (0.0, 1.0, 1.0), 6: (0.0, 1.0, 0.0)}
+    runs = lambda name: len((tmp_path / name).read_text().splitlines())
+    assert {n: runs(n) for n in ("know", "chat", "relevance", "faithful", "fallback")} == {"know": 6, "chat": 5, "relevance": 3, "faithful": 2, "fallback": 2}
+
+
+def test_answers_by_tokens(spark):
+    contexts = spark.createDataFrame([(1, "where is the cat", "the cat is where it was"), (2, "unrelated", None)], "qid long, question string, context string")
+    out = {r["qid"]: r for r in drivers.answer_by_tokens(contexts, models.scored_echo_model, models.echo_model).collect()}
+    assert out[1]["route"] == "rag" and out[1]["generated"].endswith("where is the cat") and len(out[1]["logprobs"]) == 4 and out[2]["route"] == "fallback" and out[2]["generated"] == "unrelated"
+
+
 def test_rerank(spark):
     found = spark.createDataFrame([(1, 1, 10), (1, 2, 20)], "qid long, rank int, doc long")
     contents = spark.createDataFrame([(10, "no match"), (20, "the red car")], "doc long, content string")

@@ -50,7 +50,10 @@ def test_sinks(spark, tmp_path):
     assert stores == ["s", "t"] and sorted(r["content"] for r in table.collect()) == ["b", "c", "new"]
     index = retrieval.lexical_index(spark.createDataFrame([("s", 1, "a a b")], "source string, doc_id long, text string"))
     sinks.write_lexical(index, str(tmp_path / "lex"))
-    assert sorted((r["term"], r["tf"]) for r in spark.read.parquet(str(tmp_path / "lex/postings")).collect()) == [("a", 2), ("b", 1)]
+    opened = scans.open_lexical(spark, str(tmp_path / "lex"))
+    assert sorted((r["term"], r["tf"]) for r in opened.postings().collect()) == [("a", 2), ("b", 1)]
+    asked = spark.createDataFrame([(1, "b a")], "item_id long, text string")
+    assert retrieval.lexical_topk(opened, asked).collect() == retrieval.lexical_topk(index, asked).collect()
     chunks = sinks.chunk_records(spark.createDataFrame([("f", 0, "x"), ("f", 1, "y")], "file string, pos int, raw_chunk string"), ["file", "pos"], "fixed")
     assert sorted((r["id"], r["file_name"]) for r in chunks.collect()) == [(1, "fixed_001.json"), (2, "fixed_002.json")]
     sinks.write_records(chunks.withColumn("none", F.lit(None).cast("string")), str(tmp_path / "rec"), "tag")

@@ -65,7 +65,7 @@ def test_greedy_matching(spark):
 
 @pytest.mark.parametrize(
     ("answer", "label", "score"),
-    [('so {"score": 0.7} x', 1, 0.7), ('{"score": 7}', 1, 1.0), ('{"label": 1}', 1, 0.0), ('{"score": -2, "label": 0}', 0, 0.0), ("0.8", 1, 0.8), ("none", 0, 0.0), (None, 0, 0.0), ('{"score": ', 0, 0.0), ("it is 1", 1, 1.0)],
+    [('so {"score": 0.7} x', 1, 0.7), ('{"score": 7}', 1, 1.0), ('{"label": 1}', 1, 0.0), ('{"score": -2, "label": 0}', 0, 0.0), ("0.8", 1, 0.8), ("none", 0, 0.0), (None, 0, 0.0), ('{"score": ', 0, 0.0), ("it is 1", 1, 1.0), ("score is 10", 1, 1.0), ('{"label": 5}', 0, 0.0), ('{"label": 5, "score": 0.9}', 0, 0.9), ('{"score": "x"} 0.6', 1, 0.6), ('{"score": "0.6"}', 1, 0.6), ('{"score": null} 1', 1, 1.0), ('{"label": "y", "score": 0.25}', 0, 0.25)],
 )
 def test_judge(spark, answer, label, score):
     assert tuple(value(spark, judging.judge(F.lit(answer).cast("string")))) == (label, score)
@@ -73,7 +73,18 @@ def test_judge(spark, answer, label, score):
 
 def test_judge_strict(spark):
     assert tuple(value(spark, judging.judge(F.lit("it is 1"), loose=False))) == (0, 0.0)
-    assert tuple(value(spark, judging.judge(F.lit("score: 0.75"), loose=False))) == (1, 0.75)
+    assert tuple(value(spark, judging.judge(F.lit("score = 0.7"), loose=False))) == (0, 0.0)
+    assert tuple(value(spark, judging.judge(F.lit('"score" : 0.75, and so on'), loose=False))) == (1, 0.75)
+    assert tuple(value(spark, judging.judge(F.lit('{"score": 0.75}'), loose=False))) == (1, 0.75)
+
+
+def test_judges_by_model(spark):
+    rows = spark.createDataFrame([("the cat sat", "cat"), (None, "dog")], "doc string, claim string")
+    model = lambda prompts: prompts.map(lambda p: '{"score": 0.9}' if "Text: the cat" in p else "0")
+    out = judging.judge_batch(rows, model, "relv", F.col("doc"), F.col("claim")).collect()
+    assert [(r["pred_label"], r["prob"], r["used_chunk"], r["support"]) for r in out] == [(1, 0.9, "the cat sat", [0.9]), (0, 0.0, None, [0.0])]
+    with pytest.raises(ValueError):
+        judging.judge_batch(rows, model, "other", F.col("doc"), F.col("claim"))
 
 
 @pytest.mark.parametrize(("answer", "useful"), [('{"is_useful": false}', False), ('```json\n{"is_useful": true}\n```', True), ("{}", False), ("not json", True), (None, True)])

@@ -101,6 +101,11 @@ def test_bm25_matches_the_definition(spark):
     got = retrieval.lexical_topk(index, asked, 4, None).collect()
     assert sorted((r["qid"], r["store"], r["doc"], round(r["score"], 9)) for r in got) == brute_bm25(docs, questions, 4)
     assert {r["rank"] for r in retrieval.lexical_topk(index, asked, 4, 5).collect()} == {1, 2, 3, 4, 5}
+    in_blocks = retrieval.lexical_topk(index, asked, 4, None, max_query_bytes=8 * 8 * 8).collect()  # a few questions at a time
+    assert sorted((r["qid"], r["store"], r["doc"], round(r["score"], 9)) for r in in_blocks) == brute_bm25(docs, questions, 4)
+    with pytest.raises(ValueError):
+        retrieval.lexical_topk(index, asked, max_query_bytes=10)
+    assert index.postings().where("store = 's0'").groupBy("doc").agg(F.sum("tf").alias("n")).join(index.docs, "doc").where("n <> length").count() == 0
 
 
 def test_dense_search_matches_the_definition(spark):
@@ -113,14 +118,17 @@ def test_dense_search_matches_the_definition(spark):
         best = [d for s in range(4) for d in sorted((i for i in sims if i % 4 == s), key=lambda i: -sims[i])[:2]]
         want = sorted(best, key=lambda d: -sims[d])[:5]
         assert [r["doc"] for r in sorted((r for r in got if r["qid"] == q), key=lambda r: r["rank"])] == want
-    with pytest.raises(ValueError):
-        retrieval.dense_topk(vectors, vectors, max_query_bytes=10)
+    plain = lambda d: sorted((r["qid"], r["rank"], r["store"], r["doc"], round(r["score"], 12)) for r in d.collect())
+    assert plain(retrieval.dense_topk(vectors, vectors.where("vec_id < 5"), 2, 5, max_query_bytes=3 * 8 * 8)) == plain(retrieval.dense_topk(vectors, vectors.where("vec_id < 5"), 2, 5))
+    assert retrieval.dense_topk(vectors, vectors.where("false")).count() == 0
 
 
 def test_context(spark):
     found = spark.createDataFrame([(1, 2, 20), (1, 1, 10), (1, 3, 30)], "qid int, rank int, doc long")
     contents = spark.createDataFrame([(10, "ten"), (20, ""), (30, "thirty")], "doc_id long, text string")
     assert tuple(retrieval.gather_context(found, contents).first()) == (1, "ten\n\nthirty", [10, 20, 30])
+    everyone = retrieval.gather_context(found, contents, questions=spark.createDataFrame([(1,), (2,)], "qid int"))
+    assert sorted(map(tuple, everyone.collect())) == [(1, "ten\n\nthirty", [10, 20, 30]), (2, "", [])]
     row = spark.range(1).select(retrieval.with_readings(F.lit("c"), env=F.lit("warm"), light=F.lit("")).alias("c")).first()
     assert row["c"] == "c\n\n[env]\nwarm"
 
@@ -189,7 +197,9 @@ def test_shapes(spark):
 def test_gates_at_their_limits(spark):
     at = lambda *v, **k: spark.range(1).select(routing.gate(*(F.lit(x) if x is not None else None for x in v), **k).alias("r")).first()["r"]
     assert at(0.7, 0.0, 0.0, True) == "llm" and at(0.69, 0.7, 1.0, True) == "fallback" and at(0.0, 0.71, 0.7, True) == "rag" and at(0.0, 0.71, 0.69, True) == "fallback"
-    assert at(1.0, 1.0, 1.0, False) == "empty_context" and at(None, 0.8, 0.8, True) == "rag"
+    assert at(1.0, 1.0, 1.0, False) == "llm" and at(0.69, 1.0, 1.0, False) == "empty_context"  # what the model knows needs no context
+    assert at(None, 0.8, 0.8, True) == "rag" and at(None, 0.8, 0.8, False) == "empty_context"
+    assert spark.range(1).select(routing.rerank_gate(F.get(F.array(F.lit(0.9), F.lit(0.1)), 0)), routing.rerank_gate(F.lit(0.1), has_fallback=False), routing.rerank_gate(F.lit(None).cast("double"))).first()[:] == ("rag", "rag", "fallback")
     branches = {"llm": lambda d: d.withColumn("generated", F.lit("m"))}
     rows = spark.createDataFrame([(1, "llm"), (2, "rag"), (3, None)], "id int, route string")
     assert sorted((r["id"], r["generated"]) for r in routing.answer_by_route(rows, "route", branches).collect()) == [(1, "m"), (2, None), (3, None)]
