@@ -1,10 +1,10 @@
 """Quality rules with thresholds that adapt to language and source. DataFrame functions only.
 
-Every document gets integer measures. Their distributions are summed up per language and source in log-linear
-histograms: a value keeps its leading six bits, so that a bucket is at most 1/32 of its values wide, and sketches merge by adding
-counts, exactly and in any order. Quantiles of the sketch give a fence, third quartile plus ``spread``
-interquartile ranges plus a slack, which takes the place of a fixed cutoff. Groups of fewer than
-``min_group`` documents use the merged sketch of their language, and small languages that of all documents.
+Every document gets integer measures. Of documents that pass the base rules, the values above zero are summed up per language and source in
+log-linear histograms: a value keeps its leading six bits, so that a bucket is at most 1/32 of its values wide, and sketches merge
+by adding counts, exactly and in any order. No measure has a cutoff of its own: a group's fence is the third quartile of its sketch
+plus ``spread`` interquartile ranges, so that it lies where that group's usual values end. Fences are shrunk towards that of the merged sketch
+of the language as if this were ``prior`` further documents, and those of languages towards that of all documents; a group without values has its language's.
 """
 
 from __future__ import annotations
@@ -18,17 +18,20 @@ from quern.workspace import materialize
 WHITE = r"[\x20\x09-\x0D]+"
 WHITE_CHARS = " \t\n\x0b\f\r"
 SYMBOLS = r"[#*$%&|<>]"
-# Slack: how far beyond its group's spread a measure may always go. Chosen so that good documents among labelled ones stay.
-MEASURES = {"symbols": 100, "repeats": 300, "lines": 500, "word_length": 300}
-SPREAD = 3
-MIN_GROUP = 200
+MARKS = r"[\p{P}\p{S}]"
+# How many interquartile ranges a fence lies above the third quartile: the smallest that kept 99.5 % of the good documents with odd ids among labelled ones
+# of sf0.1 per measure. The rates of repeats have a far longer tail than the others.
+SPREADS = {"marks": 4, "repeats": 8, "lines": 4, "word_length": 4}
+PRIOR = 100
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 GROUP_COLUMNS = ("lang", "source")
 
 
 def base_counts(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
-    """keep, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) of every row; a null text has no words.
+    """keep, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_marks, n_text (long) of every row; a null text has no words.
+
+    n_marks counts punctuation and symbols, n_text the characters of the text.
 
     n_repeat_words: 64-bit hashes of the three-word windows, their lowest bits replaced by the window's place, are
     sorted; neighbours with equal hashes are windows that occur again, which their words confirm. Repeated windows cover
@@ -38,32 +41,33 @@ def base_counts(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     rows = rows.select(*keep, "__t", F.btrim("__t", F.lit(WHITE_CHARS)).alias("__b"))
     split = F.when(F.col("__b") == "", F.array().cast("array<string>")).otherwise(F.split("__b", WHITE))
     lines = F.filter(F.split("__t", "\n"), lambda x: F.btrim(x, F.lit(WHITE_CHARS)) != "")
-    rows = rows.select(*keep, split.alias("__w"), lines.alias("__l"), F.when(F.col("__t").rlike(SYMBOLS), F.regexp_count("__t", F.lit(SYMBOLS))).otherwise(0).cast("long").alias("n_symbols"))
+    rows = rows.select(*keep, split.alias("__w"), lines.alias("__l"), F.when(F.col("__t").rlike(SYMBOLS), F.regexp_count("__t", F.lit(SYMBOLS))).otherwise(0).cast("long").alias("n_symbols"), F.regexp_count("__t", F.lit(MARKS)).cast("long").alias("n_marks"), F.length("__t").cast("long").alias("n_text"))
     rows = rows.select(
-        *keep, "__w", "n_symbols", F.size("__w").cast("long").alias("n_words"), F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
+        *keep, "__w", "n_symbols", "n_marks", "n_text", F.size("__w").cast("long").alias("n_words"), F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"), F.length(F.bin(F.size("__w"))).alias("__s"),
     )
     packed = F.expr("""
         IF(n_words < 3, CAST(array() AS array<bigint>), sort_array(transform(sequence(0, size(__w) - 3),
             i -> shiftleft(shiftright(xxhash64(get(__w, i), get(__w, i + 1), get(__w, i + 2)), __s), __s) | CAST(i AS bigint))))""")
-    rows = rows.select(*keep, "__w", "__s", "n_words", "word_chars", "n_symbols", "n_dup_lines", packed.alias("__p"), F.expr("shiftleft(1L, __s) - 1").alias("__m"))
+    rows = rows.select(*keep, "__w", "__s", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_marks", "n_text", packed.alias("__p"), F.expr("shiftleft(1L, __s) - 1").alias("__m"))
     again = F.expr("""
         sort_array(transform(filter(__p, (v, k) ->
             (shiftright(v, __s) = shiftright(get(__p, k - 1), __s) AND slice(__w, CAST(v & __m AS int) + 1, 3) = slice(__w, CAST(get(__p, k - 1) & __m AS int) + 1, 3))
             OR (shiftright(v, __s) = shiftright(get(__p, k + 1), __s) AND slice(__w, CAST(v & __m AS int) + 1, 3) = slice(__w, CAST(get(__p, k + 1) & __m AS int) + 1, 3))),
             v -> v & __m))""")
-    rows = rows.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", again.alias("__r"))
+    rows = rows.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_marks", "n_text", again.alias("__r"))
     covered = F.expr("aggregate(transform(__r, (p, k) -> least(3L, coalesce(get(__r, k + 1) - p, 3L))), 0L, (a, x) -> a + x)")
-    return rows.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"))
+    return rows.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_marks", "n_text", covered.alias("n_repeat_words"))
 
 
-def _per_word(name: str, times: int) -> Column:
-    return F.expr(f"({times} * {name}) div greatest(n_words, 1L)")
+def measures() -> dict[str, Column]:
+    """Integer measures from the columns of base_counts(): marks in a thousand characters, repeated words in a thousand, repeated lines on ten thousand words, and hundredths of characters a word."""
+    share = lambda times, part, whole: F.expr(f"({times} * {part}) div greatest({whole}, 1L)")
+    return {"marks": share(1000, "n_marks", "n_text"), "repeats": share(1000, "n_repeat_words", "n_words"), "lines": share(10000, "n_dup_lines", "n_words"), "word_length": share(100, "word_chars", "n_words")}
 
 
-def measures() -> dict[str, Column]:
-    """Integer measures from the columns of base_counts()."""
-    return {"symbols": _per_word("n_symbols", 1000), "repeats": _per_word("n_repeat_words", 1000), "lines": _per_word("n_dup_lines", 10000), "word_length": _per_word("word_chars", 100)}
+def base_failed() -> Column:
+    return F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
 
 
 def bucket(value: Column) -> Column:
@@ -74,55 +78,61 @@ def bucket(value: Column) -> Column:
 
 def sketches(counted: DataFrame) -> DataFrame:
     """(lang, source, measure, bucket, n): one mergeable sketch per language, source and measure. Null keys count as empty ones."""
-    listed = F.explode(F.array(*(F.struct(F.lit(name).alias("measure"), bucket(value).alias("bucket")) for name, value in measures().items()))).alias("m")
-    rows = counted.where("n_words > 0").select(*(F.coalesce(c, F.lit("")).alias(c) for c in GROUP_COLUMNS), listed)
-    return rows.groupBy(*GROUP_COLUMNS, "m.measure", "m.bucket").agg(F.count(F.lit(1)).alias("n"))
+    listed = F.explode(F.array(*(F.struct(F.lit(name).alias("measure"), value.alias("value")) for name, value in measures().items()))).alias("m")
+    rows = counted.where(~base_failed()).select(*_keys(), listed).where("m.value > 0")
+    return rows.groupBy(*GROUP_COLUMNS, "m.measure", bucket(F.col("m.value")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _keys() -> list[Column]:
+    return [F.coalesce(c, F.lit("")).alias(c) for c in GROUP_COLUMNS]
 
 
 def merge(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, keys: list[str], spread: int = SPREAD) -> DataFrame:
-    """(keys, measure, total, fence): from the quartiles of each sketch, whose rows are as few as its buckets."""
+def fences(sketch: DataFrame, keys: list[str], spreads: dict[str, int], name: str) -> DataFrame:
+    """(keys, measure, <name>_n, <name>_fence): from the quartiles of each sketch, whose rows are as few as its buckets."""
     group = W.partitionBy(*keys, "measure")
     ranked = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(group))
     quartile = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("total"), F.col("bucket")))
-    found = ranked.groupBy(*keys, "measure").agg(F.max("total").alias("total"), quartile(1).alias("q1"), quartile(3).alias("q3"))
-    slack = F.coalesce(*(F.when(F.col("measure") == name, F.lit(value)) for name, value in MEASURES.items()))
-    return found.select(*keys, "measure", "total", (F.col("q3") + spread * (F.col("q3") - F.col("q1")) + slack).alias("fence"))
+    found = ranked.groupBy(*keys, "measure").agg(F.max("total").alias(f"{name}_n"), quartile(1).alias("q1"), quartile(3).alias("q3"))
+    spread = F.coalesce(*(F.when(F.col("measure") == measure, F.lit(value)) for measure, value in spreads.items()))
+    return found.select(*keys, "measure", f"{name}_n", (F.col("q3") + spread * (F.col("q3") - F.col("q1"))).alias(f"{name}_fence"))
+
 
+def thresholds(counted: DataFrame, spreads: dict[str, int] = SPREADS, prior: int = PRIOR) -> DataFrame:
+    """(lang, source, fence_<measure>...): the fences that hold for each language and source. A measure that is zero everywhere has none.
 
-def thresholds(counted: DataFrame, spread: int = SPREAD, min_group: int = MIN_GROUP) -> DataFrame:
-    """(lang, source, fence_<measure>...): the fences that hold for each language and source."""
+    counted is read several times: a written table of base_counts().
+    """
     own = materialize(sketches(counted), "quality-sketch")
-    keys = list(GROUP_COLUMNS)
-    by_group = fences(own, keys, spread)
-    by_lang = fences(merge(own, ["lang"]), ["lang"], spread).select("lang", "measure", F.col("total").alias("lang_total"), F.col("fence").alias("lang_fence"))
-    overall = fences(merge(own, []), [], spread).select("measure", F.col("fence").alias("all_fence"))
-    chosen = F.when(F.col("total") >= min_group, F.col("fence")).when(F.col("lang_total") >= min_group, F.col("lang_fence")).otherwise(F.col("all_fence"))
-    joined = by_group.join(by_lang, ["lang", "measure"]).join(overall, "measure").withColumn("chosen", chosen)
-    return joined.groupBy(*keys).agg(*(F.max(F.when(F.col("measure") == name, F.col("chosen"))).alias(f"fence_{name}") for name in MEASURES))
+    groups = counted.select(*_keys()).distinct().select("*", F.explode(F.array(*map(F.lit, spreads))).alias("measure"))
+    joined = groups.join(fences(own, list(GROUP_COLUMNS), spreads, "own"), [*GROUP_COLUMNS, "measure"], "left")
+    joined = joined.join(fences(merge(own, ["lang"]), ["lang"], spreads, "lang"), ["lang", "measure"], "left").join(fences(merge(own, []), [], spreads, "all"), "measure", "left")
+    shrunk = lambda name, upper: f"coalesce(({name}_n * {name}_fence + {prior} * ({upper})) div ({name}_n + {prior}), {upper})"
+    joined = joined.withColumn("chosen", F.expr(shrunk("own", shrunk("lang", "all_fence"))))
+    return joined.groupBy(*GROUP_COLUMNS).agg(*(F.max(F.when(F.col("measure") == name, F.col("chosen"))).alias(f"fence_{name}") for name in spreads))
 
 
-def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source"), spread: int = SPREAD, min_group: int = MIN_GROUP) -> DataFrame:
+def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source"), spreads: dict[str, int] = SPREADS, prior: int = PRIOR) -> DataFrame:
     """keep, the counts of base_counts(), base_failed, failed (names of measures beyond their fences) and kept, for every row of docs.
 
-    keep must hold lang and source. Repeated rows are judged one by one; an empty table gives no rows.
+    keep must hold lang and source; null ones are groups of their own. Repeated rows are judged one by one; an empty table gives no rows; texts of
+    any length are measured whole.
     """
     counted = materialize(base_counts(docs, keep=keep), "quality-counts")
     # Written down, the thresholds have a known size: small ones are broadcast, and a hot source is not dealt to one task.
-    bounds = materialize(thresholds(counted, spread, min_group), "quality-bounds").select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *(f"fence_{name}" for name in MEASURES))
+    bounds = materialize(thresholds(counted, spreads, prior), "quality-bounds").select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *(f"fence_{name}" for name in spreads))
     same = (F.coalesce("lang", F.lit("")) == F.col("__lang")) & (F.coalesce("source", F.lit("")) == F.col("__source"))
     joined = counted.join(bounds, same, "left")
     beyond = F.array_compact(F.array(*(F.when(value > F.col(f"fence_{name}"), F.lit(name)) for name, value in measures().items())))
-    failed = F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
-    result = joined.withColumn("base_failed", failed).withColumn("failed", beyond)
-    return result.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("__lang", "__source", *(f"fence_{name}" for name in MEASURES))
+    result = joined.withColumn("base_failed", base_failed()).withColumn("failed", beyond)
+    return result.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("__lang", "__source", *(f"fence_{name}" for name in spreads))
 
 
-def keep_good(docs: DataFrame, spread: int = SPREAD, min_group: int = MIN_GROUP) -> DataFrame:
+def keep_good(docs: DataFrame, spreads: dict[str, int] = SPREADS, prior: int = PRIOR) -> DataFrame:
     """The rows of docs that pass, with all their columns. Verdicts are found by doc_id; rows that share one stay only if all of them pass."""
-    verdicts = judged(docs, spread=spread, min_group=min_group)
+    verdicts = judged(docs, spreads=spreads, prior=prior)
     rejected = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("__rejected")).distinct()
     return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("__rejected")), "left_anti")

@@ -17,30 +17,32 @@ counted AS (
     covered AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE n > 1) GROUP BY rid)
     SELECT rid, doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
-        coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+        coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(regexp_extract_all(t, '[\p{P}\p{S}]'))::BIGINT AS n_marks, length(t)::BIGINT AS n_text
     FROM split LEFT JOIN covered USING (rid)),
-measured AS (SELECT *, (1000 * n_symbols) // greatest(n_words, 1) AS symbols, (1000 * n_repeat_words) // greatest(n_words, 1) AS repeats,
+measured AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, (1000 * n_marks) // greatest(n_text, 1) AS marks, (1000 * n_repeat_words) // greatest(n_words, 1) AS repeats,
         (10000 * n_dup_lines) // greatest(n_words, 1) AS lines, (100 * word_chars) // greatest(n_words, 1) AS word_length FROM counted),
 listed AS (SELECT lang, source, measure, (value >> greatest(length(bin(value)) - 6, 0)) << greatest(length(bin(value)) - 6, 0) AS bucket
-    FROM (SELECT * FROM measured WHERE n_words > 0) UNPIVOT (value FOR measure IN (symbols, repeats, lines, word_length))),
-slack AS (SELECT * FROM (VALUES ('symbols', 100), ('repeats', 300), ('lines', 500), ('word_length', 300)) AS v(measure, slack)),
+    FROM (SELECT * FROM measured WHERE NOT base_failed) UNPIVOT (value FOR measure IN (marks, repeats, lines, word_length)) WHERE value > 0),
+spreads AS (SELECT * FROM (VALUES ('marks', 4), ('repeats', 8), ('lines', 4), ('word_length', 4)) AS v(measure, spread)),
 levels AS (SELECT 'group' AS level, lang, source, measure, bucket FROM listed UNION ALL SELECT 'lang', lang, '', measure, bucket FROM listed
     UNION ALL SELECT 'all', '', '', measure, bucket FROM listed),
 sketch AS (SELECT level, lang, source, measure, bucket, count(*) AS n FROM levels GROUP BY ALL),
 ranked AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM sketch),
-fence AS (SELECT level, lang, source, measure, max(total) AS total,
-        min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) * 4 - 3 * min(CASE WHEN 4 * upto >= total THEN bucket END) + max(slack) AS fence
-    FROM ranked JOIN slack USING (measure) GROUP BY level, lang, source, measure),
-chosen AS (SELECT g.lang, g.source, g.measure, CASE WHEN g.total >= 200 THEN g.fence WHEN l.total >= 200 THEN l.fence ELSE a.fence END AS fence
-    FROM fence g JOIN fence l ON l.level = 'lang' AND l.lang = g.lang AND l.measure = g.measure JOIN fence a ON a.level = 'all' AND a.measure = g.measure WHERE g.level = 'group'),
-bounds AS (SELECT lang, source, max(CASE WHEN measure = 'symbols' THEN fence END) AS f1, max(CASE WHEN measure = 'repeats' THEN fence END) AS f2,
+fence AS (SELECT level, lang, source, measure, max(total)::BIGINT AS n, min(CASE WHEN 4 * upto >= 3 * total THEN bucket END)
+        + max(spread) * (min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) - min(CASE WHEN 4 * upto >= total THEN bucket END)) AS fence
+    FROM ranked JOIN spreads USING (measure) GROUP BY level, lang, source, measure),
+langs AS (SELECT d.lang, a.measure, coalesce((l.n * l.fence + 100 * a.fence) // (l.n + 100), a.fence) AS fence FROM (SELECT DISTINCT lang FROM measured) d
+    JOIN fence a ON a.level = 'all' LEFT JOIN fence l ON l.level = 'lang' AND l.lang = d.lang AND l.measure = a.measure),
+chosen AS (SELECT d.lang, d.source, l.measure, coalesce((g.n * g.fence + 100 * l.fence) // (g.n + 100), l.fence) AS fence FROM (SELECT DISTINCT lang, source FROM measured) d
+    JOIN langs l USING (lang) LEFT JOIN fence g ON g.level = 'group' AND g.lang = d.lang AND g.source = d.source AND g.measure = l.measure),
+bounds AS (SELECT lang, source, max(CASE WHEN measure = 'marks' THEN fence END) AS f1, max(CASE WHEN measure = 'repeats' THEN fence END) AS f2,
         max(CASE WHEN measure = 'lines' THEN fence END) AS f3, max(CASE WHEN measure = 'word_length' THEN fence END) AS f4 FROM chosen GROUP BY lang, source),
-judged AS (SELECT m.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-        coalesce(symbols > f1, false) OR coalesce(repeats > f2, false) OR coalesce(lines > f3, false) OR coalesce(word_length > f4, false) AS beyond
+judged AS (SELECT m.*, coalesce(marks > f1, false) OR coalesce(repeats > f2, false) OR coalesce(lines > f3, false) OR coalesce(word_length > f4, false) AS beyond
     FROM measured m LEFT JOIN bounds USING (lang, source))
 """
 
 
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality.judged(table(spark, sf_dir, "documents"))
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -1,11 +1,14 @@
 import hashlib
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from quern.llm import chat, decontaminate, pii, quality, queries_pii
 from quern.llm.pii_train import TextMaker, labelled
+from quern.workspace import materialize
 
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -38,35 +41,78 @@ def brute_bucket(v):
     return v >> shift << shift
 
 
-def test_verdicts_match_brute_force(spark):
-    pick = random.Random(2)
-    rows = []
+def brute_measures(text):
+    n, chars, _, lines, repeats = brute_counts(text)
+    marks = sum(unicodedata.category(c)[0] in "PS" for c in text or "")
+    passed = n >= 50 and 100 * repeats <= 50 * n
+    return passed, {"marks": 1000 * marks // max(len(text or ""), 1), "repeats": 1000 * repeats // max(n, 1), "lines": 10000 * lines // max(n, 1), "word_length": 100 * chars // max(n, 1)}
+
+
+def brute_fences(rows):
+    """{(lang, source): {measure: fence}} of rows (id, text, lang, source)."""
+    measured, groups = [(lang or "", source or "", *brute_measures(t)) for _, t, lang, source in rows], {}
+    for lang, source, passed, values in measured:
+        for key in ((lang, source), (lang,), ()) if passed else ():
+            for name, value in values.items():
+                if value:
+                    groups.setdefault((key, name), []).append(brute_bucket(value))
+
+    def fence(key, name, upper):
+        values = sorted(groups.get((key, name), []))
+        if not values:
+            return upper
+        q1, q3 = (next(v for j, v in enumerate(values, 1) if 4 * j >= k * len(values)) for k in (1, 3))
+        own = q3 + quality.SPREADS[name] * (q3 - q1)
+        return own if upper is None else (len(values) * own + quality.PRIOR * upper) // (len(values) + quality.PRIOR)
+
+    return {(lang, source): {m: fence((lang, source), m, fence((lang,), m, fence((), m, None))) for m in quality.SPREADS} for lang, source, *_ in measured}
+
+
+def brute_kept(rows):
+    """Ids of the rows (id, text, lang, source) that pass."""
+    fences = brute_fences(rows)
+    beyond = lambda values, bounds: any(bounds[m] is not None and values[m] > bounds[m] for m in values)
+    verdicts = ((i, *brute_measures(t), fences[lang or "", source or ""]) for i, t, lang, source in rows)
+    return {i for i, passed, values, bounds in verdicts if passed and not beyond(values, bounds)}
+
+
+def quality_rows():
+    pick, rows = random.Random(2), []
     for i in range(700):
-        n = pick.randint(30, 120)
-        text = " ".join(pick.choice(["alpha", "beta", "gamma", "delta"]) + str(pick.randint(0, 40)) + "#" * (pick.random() < 0.02 * (i % 40)) for _ in range(n))
-        rows.append((i, text, pick.choice(["en", "en", None]), pick.choice(["big", "big", "big", "small", None]) if i % 50 else "tiny"))
-    measured, groups = {}, {}
-    for i, t, lang, source in rows:
-        n, chars, symbols, lines, repeats = brute_counts(t)
-        measured[i] = {"symbols": 1000 * symbols // max(n, 1), "repeats": 1000 * repeats // max(n, 1), "lines": 10000 * lines // max(n, 1), "word_length": 100 * chars // max(n, 1)}
-        if n:
-            for key in ((lang or "", source or ""), (lang or "",), ()):
-                groups.setdefault(key, []).append(measured[i])
-
-    def fence(key, name):
-        values = sorted(brute_bucket(m[name]) for m in groups[key])
-        at = lambda k: next(v for j, v in enumerate(values, 1) if 4 * j >= k * len(values))
-        return at(3) + quality.SPREAD * (at(3) - at(1)) + quality.MEASURES[name]
-
-    want = {}
-    for i, t, lang, source in rows:
-        key = next((k for k in ((lang or "", source or ""), (lang or "",)) if len(groups[k]) >= quality.MIN_GROUP), ())
-        n, _, _, _, repeats = brute_counts(t)
-        want[i] = not (n < 50 or 100 * repeats > 50 * n) and all(measured[i][m] <= fence(key, m) for m in quality.MEASURES)
+        lang, n = pick.choice(["en", "en", None]), pick.randint(30, 120)
+        mark = "," * (1 + (lang is None))
+        text = " ".join(pick.choice(["alpha", "beta", "gamma", "delta"]) + "xyz" * (lang is None) + str(pick.randint(0, 40)) + mark * (pick.random() < 0.02 * (i % 40)) for _ in range(n))
+        text = "!#" * 60 + text if i % 31 == 0 else text + "\nsame\nsame" * (i % 7 == 0)
+        rows.append((i, text, lang, pick.choice(["big", "big", "big", "small", None]) if i % 50 else "tiny"))
+    return rows
+
+
+def test_verdicts_match_brute_force(spark):
+    rows = quality_rows()
+    want = brute_kept(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    assert {r["doc_id"]: r["kept"] for r in quality.judged(docs).collect()} == want
-    assert {r["doc_id"] for r in quality.keep_good(docs).collect()} == {i for i, k in want.items() if k}
-    assert 0 < sum(want.values()) < len(rows)
+    assert {r["doc_id"] for r in quality.judged(docs).collect() if r["kept"]} == want
+    assert {r["doc_id"] for r in quality.keep_good(docs).collect()} == want and 0 < len(want) < len(rows)
+
+
+def test_fences_differ_by_group(spark):
+    docs = spark.createDataFrame(quality_rows(), "doc_id long, text string, lang string, source string")
+    found = {(r["lang"], r["source"]): r for r in quality.thresholds(materialize(quality.base_counts(docs), "counts")).collect()}
+    want = brute_fences(quality_rows())
+    assert {k: {m: r[f"fence_{m}"] for m in quality.SPREADS} for k, r in found.items()} == want
+    assert all(len({bounds[m] for bounds in want.values()}) > 1 for m in ("marks", "word_length"))
+
+
+def test_labelled_documents(spark):
+    """Documents with even ids: the spreads were chosen on those with odd ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("doc_id % 2 = 0")
+    counts = {r["quality"]: (r["n"], r["kept"]) for r in quality.judged(docs).where("not base_failed").join(labels, "doc_id").groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("kept")).collect()}
+    assert counts[0][1] == 0 < counts[0][0] and counts[1][1] >= 0.98 * counts[1][0]
+    failed = {name for r in quality.judged(docs).collect() for name in r["failed"]}
+    assert failed == set(quality.SPREADS)  # every measure turns something down
+    bounds = quality.thresholds(materialize(quality.base_counts(docs), "counts")).collect()
+    assert len(bounds) == 80 and all(len({r[f"fence_{m}"] for r in bounds}) >= 8 for m in quality.SPREADS)
 
 
 def test_empty_quality(spark):
@@ -234,6 +280,5 @@ def test_redaction_matches_brute_force(spark):
 
 @pytest.mark.parametrize("value", [0, 1, 63, 64, 65, 1000, 123456])
 def test_buckets_keep_six_bits(spark, value):
-    from pyspark.sql import functions as F
 
     assert spark.range(1).select(quality.bucket(F.lit(value).cast("long"))).first()[0] == brute_bucket(value)

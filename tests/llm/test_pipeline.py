@@ -1,15 +1,15 @@
 import corpus_pipeline
 import public_tokenizers
 import sentencepiece
-from quern.llm import pii, quality
-from test_native import brute_overlaps, brute_redact
+from quern.llm import pii
+from test_native import brute_kept, brute_overlaps, brute_redact
 from test_simhash import brute_components
 
 
 def test_pipeline_matches_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    kept = {r["doc_id"] for r in quality.judged(docs).collect() if r["kept"]}
+    kept = brute_kept([(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()])
     texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] in kept}
     texts = {d: texts[d] for d, _, c in brute_components(sorted(texts.items()), n=5) if d == c}
     leaked = {o[0] for o in brute_overlaps(sorted(texts.items()), items)}
