@@ -23,7 +23,7 @@ measured AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS ba
         (10000 * n_dup_lines) // greatest(n_words, 1) AS lines, (100 * word_chars) // greatest(n_words, 1) AS word_length FROM counted),
 listed AS (SELECT lang, source, measure, (value >> greatest(length(bin(value)) - 6, 0)) << greatest(length(bin(value)) - 6, 0) AS bucket
     FROM (SELECT * FROM measured WHERE NOT base_failed) UNPIVOT (value FOR measure IN (marks, repeats, lines, word_length)) WHERE value > 0),
-spreads AS (SELECT * FROM (VALUES ('marks', 4), ('repeats', 8), ('lines', 4), ('word_length', 4)) AS v(measure, spread)),
+spreads AS (SELECT * FROM (VALUES ('marks', 4), ('repeats', 7), ('lines', 3), ('word_length', 6)) AS v(measure, spread)),
 levels AS (SELECT 'group' AS level, lang, source, measure, bucket FROM listed UNION ALL SELECT 'lang', lang, '', measure, bucket FROM listed
     UNION ALL SELECT 'all', '', '', measure, bucket FROM listed),
 sketch AS (SELECT level, lang, source, measure, bucket, count(*) AS n FROM levels GROUP BY ALL),
