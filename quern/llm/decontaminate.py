@@ -3,12 +3,15 @@
 Texts become lower-case words without punctuation, hashed to 64 bits. Every window of SPAN words gives one key per mask, the hash of
 the words at the mask's positions; words elsewhere may differ. Keys of documents and benchmark items are joined, and each
 hit is compared at all its positions. The item's words that equal the document's in some hit are its covered words;
-a document holds an item when they make up ``min_share`` of it. Items shorter than a window are matched as
-wholes. Documents are read once and not shuffled as long as the benchmark's keys are few enough to be sent to all executors.
+a document holds an item when they make up ``min_share`` of it. Items shorter than SPAN are one window of their own length with masks
+of their own (short_masks), under the same rule. Documents are read once and not shuffled as long as the benchmark's keys are few
+enough to be sent to all executors; beyond, only places and keys of windows are shuffled, and words are looked up for hits.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,16 @@ MIN_SHARE = 0.6
 BROADCAST_KEYS = 200_000  # about 30 MB
 
 
+def short_masks(n: int, min_share: float = MIN_SHARE) -> list[str]:
+    """Masks for items of n < SPAN words. With s words that may differ (n less min_share of it), every q-th position is ignored, q = n / s rounded up: each
+    position is ignored by one mask, none ignores more than s, so any one substitution is found and any whose positions lie q apart."""
+    free = n - math.ceil(min_share * n - 1e-9)
+    if not free:
+        return ["1" * n]
+    step = math.ceil(n / free)
+    return ["".join("0" if i % step == r else "1" for i in range(n)) for r in range(step)]
+
+
 def _tokens(rows: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
     """(name, h): hashes of the words of every text, null texts as empty."""
     words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
@@ -28,15 +41,16 @@ def _tokens(rows: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame
     return rows.select(name, F.transform("__w", lambda w: F.xxhash64(w)).alias("h"))
 
 
-def _windows(tokens: DataFrame, name: str, place: str, letter: str, whole_lengths: list[int]) -> DataFrame:
-    """(name, place, length, key, letter0...): one row per window and key; length is that of a whole item, 0 for masks. Windows over a text's end have no masks."""
+def _windows(tokens: DataFrame, name: str, place: str, letter: str, masks: dict[int, list[str]]) -> DataFrame:
+    """(name, place, length, key, letter0...): one row per window and key; length is that of a short item's window, 0 for SPAN. Windows over a text's end have no key."""
     zipped = F.expr("arrays_zip(" + ", ".join(f"slice(h, {k + 1}, size(h))" for k in range(SPAN)) + ")")
     rows = tokens.select(name, F.posexplode(zipped).alias(place, "d"))
-    rows = rows.select(name, place, *(F.col(f"d.`{k}`").alias(f"{letter}{k}") for k in range(SPAN)))
     cells = [f"{letter}{k}" for k in range(SPAN)]
-    full = F.col(cells[-1]).isNotNull()
-    keys = [F.struct(F.lit(0).alias("length"), F.when(full, F.xxhash64(F.lit(m), *(c for c, bit in zip(cells, mask) if bit == "1"))).alias("key")) for m, mask in enumerate(MASKS)]
-    keys += [F.struct(F.lit(n).alias("length"), F.when(F.col(cells[n - 1]).isNotNull(), F.xxhash64(F.lit(SPAN + n), *cells[:n])).alias("key")) for n in whole_lengths]
+    rows = rows.select(name, place, *(F.col(f"d.`{k}`").alias(cells[k]) for k in range(SPAN)))
+    keys = []
+    for length, family in masks.items():
+        last = F.col(cells[(length or SPAN) - 1])
+        keys += [F.struct(F.lit(length).alias("length"), F.when(last.isNotNull(), F.xxhash64(F.lit(SPAN * length + m), *(c for c, bit in zip(cells, mask) if bit == "1"))).alias("key")) for m, mask in enumerate(family)]
     return rows.select(name, place, *cells, F.inline(F.array(*keys))).where("key is not null")
 
 
@@ -46,20 +60,36 @@ def item_classes(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     return tokens.groupBy("h").agg(F.min("item_id").alias("item_id")).select("item_id", F.size("h").alias("n_item"), "h")
 
 
+def item_members(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item_id, class_id): every item with words, and the id that stands for its words in overlaps()."""
+    tokens = _tokens(benchmark, id_col, text_col, "member").where(F.size("h") > 0)
+    classes = materialize(item_classes(benchmark, id_col, text_col).select("h", "item_id"), "bench-classes")
+    return tokens.join(classes, "h").select(F.col("member").alias("item_id"), F.col("item_id").alias("class_id"))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_share: float = MIN_SHARE) -> DataFrame:
-    """(doc_id, item_id, n_item, n_covered): each document with each benchmark item it holds.
+    """(doc_id, item_id, n_item, n_covered): each document with each benchmark item it holds; of items with equal words the one that stands for them.
 
     n_covered counts the item's words that a hit confirms in the document. Rows that share an id count as one document, rows without one
-    as one more. An empty table on either side gives no rows.
+    as one more. Null and empty texts hold nothing. An empty table on either side gives no rows.
     """
     items = materialize(item_classes(benchmark), "bench-items")
-    lengths = sorted(r["n_item"] for r in items.where(F.col("n_item") < SPAN).select("n_item").distinct().collect())  # fewer than SPAN numbers
-    keyed = _windows(items.select("item_id", "h"), "item_id", "item_at", "b", lengths).join(items.select("item_id", "n_item"), "item_id")
+    short = sorted(r["n_item"] for r in items.where(F.col("n_item") < SPAN).select("n_item").distinct().collect())  # fewer than SPAN numbers
+    masks = {0: list(MASKS)} | {n: short_masks(n, min_share) for n in short}
+    keyed = _windows(items.select("item_id", "h"), "item_id", "item_at", "b", masks).join(items.select("item_id", "n_item"), "item_id")
     own = F.when(F.col("n_item") < SPAN, (F.col("item_at") == 0) & (F.col("length") == F.col("n_item"))).otherwise(F.col("length") == 0)
     keyed = materialize(keyed.where(own).drop("length"), "bench-keys")
-    if keyed.count() <= BROADCAST_KEYS:
-        keyed = F.broadcast(keyed)
-    hits = _windows(_tokens(docs, id_col, text_col, "doc_id"), "doc_id", "doc_at", "d", lengths).join(keyed, "key")
+    few = keyed.count() <= BROADCAST_KEYS
+    tokens = _tokens(docs, id_col, text_col, "doc_id")
+    if few:
+        hits = _windows(tokens, "doc_id", "doc_at", "d", masks).join(F.broadcast(keyed), "key")
+    else:
+        rows = materialize(tokens.withColumn("row", F.monotonically_increasing_id()), "bench-words")
+        places = _windows(rows, "row", "doc_at", "d", masks).select("row", "doc_at", "key").join(keyed.select("key", "item_id", "item_at"), "key").select("row", "doc_at", "item_id", "item_at").distinct()
+        places = materialize(places, "bench-places")
+        words = lambda place, letter: [F.get("h", F.col(place) + k).alias(f"{letter}{k}") for k in range(SPAN)]
+        hits = places.join(items, "item_id").select("row", "doc_at", "item_id", "item_at", "n_item", *words("item_at", "b"))
+        hits = hits.join(rows, "row").select("doc_id", "item_id", "item_at", "n_item", *(f"b{k}" for k in range(SPAN)), *words("doc_at", "d"))
     bits = sum((F.when(F.col(f"d{k}") == F.col(f"b{k}"), 1 << k).otherwise(0) for k in range(SPAN)), F.lit(0))
     seen = hits.select("doc_id", "item_id", "n_item", F.struct("item_at", bits.alias("bits")).alias("hit")).groupBy("doc_id", "item_id", "n_item").agg(F.collect_set("hit").alias("hits"))
     covered = F.expr(f"size(array_distinct(flatten(transform(hits, x -> transform(filter(sequence(0, {SPAN - 1}), k -> (x.bits & shiftleft(1, k)) != 0), k -> x.item_at + k)))))")

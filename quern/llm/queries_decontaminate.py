@@ -3,30 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm.decontaminate import MASKS, MIN_SHARE, SPAN, overlaps
+from quern.llm.decontaminate import MASKS, MIN_SHARE, SPAN, item_members, overlaps, short_masks
 from quern.session import table
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """Pairs of documents and items, and for items whose words another has (no document) that one's id as class_id."""
+    benchmark = table(spark, sf_dir, "benchmark")
+    pairs = overlaps(table(spark, sf_dir, "documents"), benchmark).withColumn("class_id", F.col("item_id"))
+    copies = item_members(benchmark).where("item_id is null or item_id <> class_id")
+    return pairs.unionByName(copies, allowMissingColumns=True).select("doc_id", "item_id", "class_id", "n_item", "n_covered")
 
 
-def _keys(cells: str) -> str:
+def _keys(cells: str, masks: list[str]) -> str:
     """SQL for a list with one (mask number, selected words) per mask."""
-    return "[" + ", ".join(f"{{'m': {m}, 'k': [" + ", ".join(f"{cells}[{i + 1}]" for i, bit in enumerate(mask) if bit == "1") + "]}" for m, mask in enumerate(MASKS)) + "]"
+    return "[" + ", ".join(f"{{'m': {m}, 'k': [" + ", ".join(f"{cells}[{i + 1}]" for i, bit in enumerate(mask) if bit == "1") + "]}" for m, mask in enumerate(masks)) + "]"
 
 
-#: For benchmarks whose items have SPAN words or more.
+#: Windows of every length that items have, SPAN at most.
+_BY_LENGTH = " ".join(f"WHEN {n} THEN {_keys('c', list(MASKS) if n == SPAN else short_masks(n))}" for n in range(1, SPAN + 1))
+
 ORACLE = rf"""
 WITH words AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
 split AS (SELECT side, id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM words),
-classes AS (SELECT side, id, w FROM split WHERE side = 'd' UNION ALL SELECT side, min(id), w FROM split WHERE side = 'b' GROUP BY side, w),
-windows AS (SELECT side, id, len(w) AS n, i, w[i:i + {SPAN - 1}] AS c FROM (SELECT *, unnest(range(1, len(w) - {SPAN - 2})) AS i FROM classes WHERE len(w) >= {SPAN})),
-keyed AS (SELECT side, id, n, i, c, unnest({_keys("c")}) AS key FROM windows),
-hits AS (SELECT DISTINCT d.id AS doc_id, b.id AS item_id, b.n AS n_item, b.i, d.c AS dc, b.c AS bc FROM keyed d JOIN keyed b ON d.key = b.key WHERE d.side = 'd' AND b.side = 'b'),
-covered AS (SELECT doc_id, item_id, n_item, i + k AS spot FROM (SELECT *, unnest(range(1, {SPAN + 1})) AS k FROM hits) WHERE dc[k] = bc[k])
-SELECT doc_id, item_id, n_item::BIGINT AS n_item, count(DISTINCT spot)::BIGINT AS n_covered FROM covered GROUP BY doc_id, item_id, n_item HAVING count(DISTINCT spot) >= {MIN_SHARE} * n_item
+members AS (SELECT id AS item_id, min(id) OVER (PARTITION BY w) AS class_id, w FROM split WHERE side = 'b' AND len(w) > 0),
+lengths AS (SELECT DISTINCT least(len(w), {SPAN}) AS span FROM members),
+classes AS (SELECT side, id, w, span FROM split CROSS JOIN lengths WHERE side = 'd' UNION ALL SELECT DISTINCT 'b', class_id, w, least(len(w), {SPAN}) FROM members),
+windows AS (SELECT side, id, len(w) AS n, span, i, w[i:i + span - 1] AS c FROM (SELECT *, unnest(range(1, len(w) - span + 2)) AS i FROM classes WHERE len(w) >= span)),
+keyed AS (SELECT side, id, n, span, i, c, unnest(CASE span {_BY_LENGTH} END) AS key FROM windows),
+hits AS (SELECT DISTINCT d.id AS doc_id, b.id AS item_id, b.n AS n_item, b.i, d.c AS dc, b.c AS bc FROM keyed d JOIN keyed b ON d.key = b.key AND d.span = b.span WHERE d.side = 'd' AND b.side = 'b'),
+covered AS (SELECT doc_id, item_id, n_item, i + k AS spot FROM (SELECT *, unnest(range(1, len(bc) + 1)) AS k FROM hits) WHERE dc[k] = bc[k])
+SELECT doc_id, item_id, item_id AS class_id, n_item::BIGINT AS n_item, count(DISTINCT spot)::BIGINT AS n_covered FROM covered GROUP BY doc_id, item_id, n_item HAVING count(DISTINCT spot) >= {MIN_SHARE} * n_item
+UNION ALL SELECT NULL, item_id, class_id, NULL, NULL FROM members WHERE item_id IS NULL OR item_id <> class_id
 """
 
 QUERIES = {"op4_decontaminate": op4_decontaminate}

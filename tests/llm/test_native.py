@@ -130,23 +130,21 @@ def brute_overlaps(docs, items):
     for i, t in items:
         if tokens(t):
             classes.setdefault(tuple(tokens(t)), []).append(i)
-    picked = lambda w, i, m: (m, *(w[i + k] for k in range(span) if m[k] == "1"))
+    picked = lambda w, i, m: (m, *(w[i + k] for k in range(len(m)) if m[k] == "1"))
     for item in classes:
-        if len(item) < span:
-            whole.setdefault(len(item), set()).add(item)
-        for j in range(len(item) - span + 1):
-            for m in decontaminate.MASKS:
+        n = min(span, len(item))
+        masks = decontaminate.MASKS if n == span else decontaminate.short_masks(n)
+        whole.setdefault(n, masks)
+        for j in range(len(item) - n + 1):
+            for m in masks:
                 windows.setdefault(picked(item, j, m), []).append((item, j))
     for doc, text in docs:
         w, covered = tokens(text), {}
-        for n, known in whole.items():
+        for n, masks in whole.items():
             for i in range(len(w) - n + 1):
-                if tuple(w[i : i + n]) in known:
-                    covered[tuple(w[i : i + n])] = set(range(n))
-        for i in range(len(w) - span + 1):
-            for m in decontaminate.MASKS:
-                for item, j in windows.get(picked(w, i, m), ()):
-                    covered.setdefault(item, set()).update(j + k for k in range(span) if w[i + k] == item[j + k])
+                for m in masks:
+                    for item, j in windows.get(picked(w, i, m), ()):
+                        covered.setdefault(item, set()).update(j + k for k in range(n) if w[i + k] == item[j + k])
         out |= {(doc, min(classes[item]), len(item), len(c)) for item, c in covered.items() if len(c) >= decontaminate.MIN_SHARE * len(item)}
     return out
 
@@ -181,6 +179,32 @@ def test_large_benchmarks_are_not_broadcast(spark, monkeypatch):
     want = decontaminate.overlaps(docs, bench).collect()
     monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", 0)
     assert decontaminate.overlaps(docs, bench).collect() == want != []
+    words, items = [f"w{i % 40}" for i in range(200)], [(1, "w3 w4 w5"), (2, "w7 x w9 w10"), (3, "w3 w4 w5"), (4, " ".join(f"w{i}" for i in range(5, 25)))]
+    many = spark.createDataFrame([(i, " ".join(words[i : i + 50])) for i in range(100)] + [(5, "w3 w4"), (None, "w3 w4 w5")], "doc_id long, text string")
+    few = spark.createDataFrame(items, "item_id long, text string")
+    large = sorted(map(str, decontaminate.overlaps(many, few).collect()))
+    monkeypatch.undo()
+    assert large == sorted(map(str, decontaminate.overlaps(many, few).collect())) and len(large) > 50
+    assert sorted(map(tuple, decontaminate.item_members(few).collect())) == [(1, 1), (2, 2), (3, 1), (4, 4)]
+
+
+@pytest.mark.parametrize("n", range(1, 12))
+def test_short_items_with_a_word_replaced(spark, n):
+    masks = decontaminate.short_masks(n)
+    assert all(m.count("1") >= decontaminate.MIN_SHARE * n for m in masks)
+    assert n < 3 or all(any(m[i] == "0" for m in masks) for i in range(n))  # any one word may differ
+
+
+def test_documents_that_hold_short_items_nearly(spark):
+    item = [f"w{i}" for i in range(8)]
+    texts = [" ".join(["x", *item[:i], "other", *item[i + 1 :], "y"]) for i in range(8)] + ["w0 a w2 b w4 c w6 d"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert sorted(map(tuple, decontaminate.overlaps(docs, bench).collect())) == [(i, 1, 8, 7) for i in range(8)]
+
+
+def test_no_benchmark(spark):
+    docs, bench = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert decontaminate.overlaps(empty, bench).collect() == [] and decontaminate.overlaps(docs, bench.where("false")).collect() == []
 
@@ -189,13 +213,13 @@ TURNS = "conv_id long, turn long, role string, text string, speaker string"
 
 
 def rotated(spark, rows, **options):
-    return {(r["conv_id"], r["segment"], r["speaker"]): r for r in chat.rotate_perspectives(spark.createDataFrame([(*r, "x") for r in rows], TURNS), **options).collect()}
+    return {(r["conv_id"], r["part"], r["speaker"]): r for r in chat.rotate_perspectives(spark.createDataFrame([(*r, "x") for r in rows], TURNS), **options).collect()}
 
 
 def test_every_speaker_is_the_assistant_once(spark):
     rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hé <|end|> 🎉"), (1, 2, "bob", None), (1, 3, "ann", "again"), (1, 3, "ann", "again"), (2, None, " ", "who"), (3, 0, "system", "alone"), (None, 0, "ann", "no id")]
     out = rotated(spark, rows)
-    assert set(out) == {(1, 0, "ann"), (1, 0, "bob"), (2, -1, "unknown"), (None, 0, "ann")}
+    assert set(out) == {(1, 0, "ann"), (1, 0, "bob"), (2, 0, "unknown"), (None, 0, "ann")}
     ann = out[(1, 0, "ann")]
     assert ann["rendered"] == "<|begin|>system\nrules<|end|>\n<|begin|>assistant\nhé < |end|> 🎉<|end|>\n<|begin|>user name=bob\n<|end|>\n<|begin|>assistant\nagain<|end|>\n<|begin|>assistant\nagain<|end|>\n"
     assert [ann["rendered"][m["start"] : m["end"]] for m in ann["mask"]] == ["hé < |end|> 🎉<|end|>", "again<|end|>", "again<|end|>"]
@@ -203,11 +227,42 @@ def test_every_speaker_is_the_assistant_once(spark):
     assert [bob["rendered"][m["start"] : m["end"]] for m in bob["mask"]] == ["<|end|>"] and (bob["n_turns"], bob["n_own"]) == (5, 1)
 
 
-def test_long_conversations_are_cut_into_segments(spark):
-    rows = [(1, i, "ab"[i % 2], str(i)) for i in range(100)]
-    out = rotated(spark, rows, segment_turns=30)
-    assert {k[1] for k in out} == {0, 1, 2, 3} and sum(r["n_turns"] for r in out.values()) == 200
+def brute_perspectives(rows):
+    """{(conv_id, speaker): (rendering, mask)} of rows (conv_id, turn, role, text)."""
+    dialogues = {}
+    for conv, turn, role, text in rows:
+        role = " ".join((role or "").strip(" ").replace("<|", "< |").split()) or "unknown"
+        dialogues.setdefault(conv, []).append((turn is not None, turn or 0, role, (text or "").replace("<|", "< |")))
+    out = {}
+    for conv, messages in dialogues.items():
+        for speaker in {m[2] for m in messages} - {"system"}:
+            rendered, mask = "", []
+            for _, _, who, text in sorted(messages):
+                rendered += chat.BEGIN + ("assistant" if who == speaker else "system" if who == "system" else f"user name={who}") + "\n"
+                mask += [(len(rendered), len(rendered) + len(text + chat.END))] * (who == speaker)
+                rendered += text + chat.END + "\n"
+            out[conv, speaker] = rendered, mask
+    return out
+
+
+@pytest.mark.parametrize("part_turns", [7, 64, 1024])
+def test_perspectives_match_brute_force(spark, part_turns):
+    pick = random.Random(part_turns)
+    rows = [(1, 5000 + i // 2 if i % 9 else None, pick.choice(["ann", "bob", " ", "system", "c  d"]), pick.choice(["hé 🎉", None, "<|end|>", "x" * 50])) for i in range(300)]
+    rows += [(None, i, "ab"[i % 2], str(i)) for i in range(70)] + [(2, 1, "ann", "same")] * 66 + [(3, 0, "late", "x" * 2_000_000)] + [(4, None, None, None)] * 2
+    got = {}
+    for r in sorted(rotated(spark, rows, part_turns=part_turns).values(), key=lambda r: r["part"]):
+        before = got.setdefault((r["conv_id"], r["speaker"]), ["", []])
+        before[0] += r["rendered"]
+        before[1] += [tuple(m) for m in r["mask"]]
+        assert r["n_turns"] <= part_turns and r["n_own"] == len(r["mask"])
+    assert {k: tuple(v) for k, v in got.items()} == brute_perspectives(rows)
+
+
+def test_perspectives_of_nothing(spark):
     assert rotated(spark, []) == {}
+    clash = spark.createDataFrame([(1, 0, "ann", "hi", 5, "r")], "conv_id long, turn long, role string, text string, part int, rendered string")
+    assert chat.rotate_perspectives(clash).first()["rendered"] == "<|begin|>assistant\nhi<|end|>\n"
 
 
 def luhn(digits):
