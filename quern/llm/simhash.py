@@ -128,7 +128,7 @@ def fingerprint_links(distinct: DataFrame, max_distance: int = 2, bucket_limit:
     if max_distance == 1:
         return _dense_links(distinct, 1)
     keyed = materialize(_keyed(distinct, max_distance), "simhash-keys")
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "simhash-sizes")  # a written side lets a crowded key be split
     shared = materialize(keyed.join(sizes, "key"), "simhash-shared")
     left = shared.where(F.col("size") <= bucket_limit).select("key", F.col("fp").alias("src"))
     right = left.select("key", F.col("src").alias("dst"))
@@ -139,9 +139,9 @@ def fingerprint_links(distinct: DataFrame, max_distance: int = 2, bucket_limit:
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_distance: int = 2, bucket_limit: int = 64) -> DataFrame:
-    """(id, fp, component_id, is_kept, n_links) for every row of docs.
+    """(id, fp, component_id, n_copies) for every row of docs.
 
-    component_id is the smallest id that chains of links reach from the row, itself included; n_links is the
+    component_id is the smallest id that chains of links reach from the row, itself included; n_copies is the
     number of other rows with the same fingerprint. Null ids form part of classes but never name one:
     component_id is null only where a class has no other id. Repeated ids give repeated rows.
     An empty table gives no rows.
@@ -156,8 +156,10 @@ def named_classes(prints: DataFrame, distinct: DataFrame, links: DataFrame) -> D
     """(id, fp, component_id, n_copies) of prints (id, fp), from distinct (fp, first_id, copies) and links (src, dst) of fp."""
     components = connected_components(links)
     joined = distinct.join(components.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = joined.join(joined.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("fp", "component_id", F.col("copies") - 1)
-    named = named.toDF("fp", "component_id", "n_copies")
+    joined = materialize(joined, "simhash-components")
+    names = materialize(joined.groupBy("component").agg(F.min("first_id").alias("component_id")), "simhash-names")  # a giant component is split, too
+    named = joined.join(names, "component").select("fp", "component_id", F.col("copies") - 1)
+    named = materialize(named.toDF("fp", "component_id", "n_copies"), "simhash-named")
     return prints.join(named, "fp").select("id", "fp", "component_id", "n_copies")
 
 

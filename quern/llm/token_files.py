@@ -3,8 +3,8 @@
 Layout of a shard, all numbers little-endian:
 
     ids of all its documents, 2 or 4 bytes each
-    Elias-Fano code of the n + 1 document boundaries (in ids), from 0
-    Elias-Fano code of the document ids, less the smallest; the first documents may have none
+    Elias-Fano code of the n + 1 document boundaries (in ids), from 0, with its directory for select
+    the same of the document ids, less the smallest; the first documents may have none
     trailer: id width, number of null document ids, smallest document id, place of the codes, magic
 
 Shards are written in ascending order of document id, nulls first. Each task names its files anew and reports them in a
@@ -18,6 +18,7 @@ import os
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm.elias_fano import EliasFano
-from quern.llm.workers import no_cycles
+from quern.llm.workers import no_cycles, tasks_for
 from quern.sources.files import open_output, open_random
 from quern.workspace import fresh_path, materialize
 
@@ -46,6 +47,8 @@ ROWS_AT_ONCE = 256
 SHARD_IDS = 1 << 26
 SHARD_DOCS = 1 << 18
 BATCH_BYTES = 8 << 20
+SELECT_AT_ONCE = 256
+SHARDS_PER_TASK = 4
 
 
 class WordEncoder:
@@ -55,7 +58,8 @@ class WordEncoder:
     marked as a word's end. Texts within Latin-1, where normalization changes nothing but case, are cut here;
     each distinct cut goes through the tokenizer once, many in one call, and the marks show where each ends. Cuts seen before come
     from a bounded memory of two generations: when the younger one is full it becomes the older, and what is used
-    again moves on to the next. All other texts, and all texts of other tokenizers, are encoded whole.
+    again moves on to the next. All other texts, all texts of other tokenizers, and batches with words that the tokenizer does not end as expected
+    are encoded whole.
     """
 
     def __init__(self, tokenizer_path: str, dtype: str):
@@ -79,19 +83,21 @@ class WordEncoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, cuts: set[str]) -> None:
+    def _learn(self, cuts: set[str]) -> bool:
+        """Whether the tokenizer cuts these words as expected; their ids are known then."""
         known, older = self.known, self.older
         again = cuts & older.keys()
         known.update(zip(again, map(older.get, again)))
         new = list(cuts - again)
         if not new:
-            return
+            return True
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype=self.dtype)
         ends = ((np.flatnonzero(self.is_end[ids]) + 1) * ids.itemsize).tolist()
         if len(ends) != len(new):
-            raise ValueError("the tokenizer cuts words in another way")
+            return False
         coded = ids.tobytes()
         known.update(zip(new, [coded[a:b] for a, b in zip([0, *ends], ends)]))
+        return True
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > MEMORY_WORDS:
@@ -109,7 +115,8 @@ class WordEncoder:
                 continue
             rows.append(row)
             cut.append(find(text.lower()))
-        self._learn(set().union(*cut).difference(self.known))
+        if not self._learn(set().union(*cut).difference(self.known)):
+            return self._whole(texts)
         for row, words in zip(rows, cut):
             coded[row] = b"".join(map(get, words))
         for row, ids in zip(whole, self._whole([texts[row] for row in whole])):
@@ -129,7 +136,7 @@ class ShardWriter:
         self._begin()
 
     def _begin(self) -> None:
-        self.out, self.ends, self.doc_ids, self.nulls, self.total = None, [0], [], 0, 0
+        self.out, self.ends, self.doc_ids, self.nulls, self.total = None, array("Q", [0]), array("q"), 0, 0
 
     def add(self, doc_id: int | None, ids: bytes) -> Iterator[dict]:
         if self.out is None:
@@ -149,7 +156,7 @@ class ShardWriter:
         if self.out is None:
             return
         least = self.doc_ids[0] if self.doc_ids else 0
-        ids = np.array([d - least for d in self.doc_ids], dtype=np.uint64)
+        ids = np.array(self.doc_ids, dtype=np.int64).view(np.uint64) - np.uint64(least % (1 << 64))
         self.out.write(EliasFano.encode(np.array(self.ends, dtype=np.uint64)).to_bytes())
         self.out.write(EliasFano.encode(ids).to_bytes())
         self.out.write(TRAILER.pack(self.width, self.nulls, least, self.total * self.width, MAGIC))
@@ -161,7 +168,10 @@ class ShardWriter:
 
 
 def read_shard(path: str) -> Iterator[tuple[int | None, int, bytes]]:
-    """(document id, place of its first id in the shard, ids as unsigned 32-bit bytes) of every document."""
+    """(document id, place of its first id in the shard, ids as unsigned 32-bit bytes) of every document.
+
+    Boundaries and document ids stay coded; select gives those of SELECT_AT_ONCE documents at a time.
+    """
     with open_random(path) as file:
         size = file.size()
         file.seek(size - TRAILER.size)
@@ -172,13 +182,30 @@ def read_shard(path: str) -> Iterator[tuple[int | None, int, bytes]]:
         codes = file.read(size - TRAILER.size - codes_at)
         ends, at = EliasFano.from_bytes(codes)
         doc_ids, _ = EliasFano.from_bytes(codes, at)
-        bounds = ends.decode().astype(np.int64)
-        if ends.n and int(bounds[-1]) * width != codes_at:
-            raise ValueError(f"{path}: boundaries end at {bounds[-1]} ids, the file holds {codes_at // width}")
-        names = [None] * nulls + [int(d) + least for d in doc_ids.decode()]
+        n_docs = max(0, ends.n - 1)
+        if n_docs and ends.select(n_docs) * width != codes_at:
+            raise ValueError(f"{path}: boundaries end at {ends.select(n_docs)} ids, the file holds {codes_at // width}")
         file.seek(0)
-        for name, start, end in zip(names, bounds[:-1].tolist(), bounds[1:].tolist()):
-            yield name, start, np.frombuffer(file.read((end - start) * width), dtype=f"<u{width}").astype("<u4").tobytes()
+        for at in range(0, n_docs, SELECT_AT_ONCE):
+            upto = min(at + SELECT_AT_ONCE, n_docs)
+            bounds = ends.select_range(at, upto + 1 - at).tolist()
+            named = max(at, nulls)
+            names = [None] * (min(named, upto) - at) + [d + least for d in doc_ids.select_range(named - nulls, max(0, upto - named)).tolist()]
+            for name, start, end in zip(names, bounds, bounds[1:]):
+                yield name, start, np.frombuffer(file.read((end - start) * width), dtype=f"<u{width}").astype("<u4").tobytes()
+
+
+def read_document(path: str, i: int) -> bytes:
+    """The ids of one document, as unsigned 32-bit bytes: two selects and one read."""
+    with open_random(path) as file:
+        size = file.size()
+        file.seek(size - TRAILER.size)
+        width, _, _, codes_at, _ = TRAILER.unpack(file.read(TRAILER.size))
+        file.seek(codes_at)
+        ends, _ = EliasFano.from_bytes(file.read(size - TRAILER.size - codes_at))
+        start, end = ends.select_range(i, 2).tolist()
+        file.seek(start * width)
+        return np.frombuffer(file.read((end - start) * width), dtype=f"<u{width}").astype("<u4").tobytes()
 
 
 def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", id_bytes: int = 2) -> DataFrame:
@@ -232,8 +259,7 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
                         rows, held = [], 0
                 yield packed(rows)
 
-    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("path", "base").repartition(tasks).mapInArrow(read, ROWS)
+    return manifest.select("path", "base").repartition(tasks_for(manifest, SHARDS_PER_TASK)).mapInArrow(read, ROWS)
 
 
 def shard_folder(spark: SparkSession) -> str:

@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.workers import tasks_for
 from quern.sources.files import open_input, open_output
 from quern.workspace import fresh_path, materialize
 
@@ -33,6 +34,7 @@ DATE = "2000-01-01T00:00:00Z"  # pages carry no time of capture
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REQUIRED = ("warc-record-id", "content-length", "warc-date", "warc-type")
 ARCHIVE_BYTES = 32 << 20
+ARCHIVES_PER_TASK = 16
 READ_BYTES = 1 << 16
 BATCH_BYTES = 8 << 20
 ROWS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, error string, archive string, position long"
@@ -143,10 +145,15 @@ class FrameReader:
 
 
 def train_dictionary(pages: DataFrame, html_col: str, sample_rows: int = 256, sample_chars: int = 16384, size: int = 32768) -> bytes:
-    """A dictionary fitted on a bounded sample: the first sample_chars of sample_rows pages in order of a hash. Empty if they are too few."""
-    rows = pages.where(F.length(html_col) > 0).select(F.substring(html_col, 1, sample_chars).alias("h")).orderBy(F.xxhash64("h"), "h").limit(sample_rows).collect()
+    """A dictionary fitted on a bounded sample: the first sample_chars of about sample_rows pages whose hashes are below a threshold, set by the number of pages.
+
+    Four times sample_rows at most come to the driver. Empty if they are too few.
+    """
+    share = min(1.0, sample_rows / max(1, pages.count()))
+    drawn = F.pmod(F.xxhash64(html_col), F.lit(1 << 30)) < int(share * (1 << 30))
+    rows = pages.where((F.length(html_col) > 0) & drawn).select(F.substring(html_col, 1, sample_chars).alias("h")).limit(4 * sample_rows).collect()
     try:
-        return zstandard.train_dictionary(size, [r["h"].encode("utf-8", "surrogatepass") for r in rows]).as_bytes()
+        return zstandard.train_dictionary(size, sorted(r["h"].encode("utf-8", "surrogatepass") for r in rows)).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
 
@@ -241,13 +248,17 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                         rows, held = [], 0
                 yield packed(rows)
 
-    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("path").repartition(tasks).mapInArrow(read, ROWS)
+    return manifest.select("path").repartition(tasks_for(manifest, ARCHIVES_PER_TASK)).mapInArrow(read, ROWS)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """records with payload_bytes of revisits taken from the response they name; an error if there is none or its digest differs."""
+    """records (a written table) with payload_bytes of revisits taken from the response they name; an error if there is none or its digest differs.
+
+    The lengths of responses that revisits name are written first, so that a page that very many revisits name is not dealt to one task.
+    """
+    named = records.where("record_type = 'revisit' and refers_to is not null").select(F.col("refers_to").alias("page_id")).distinct()
     lengths = records.where("record_type = 'response' and page_id is not null").groupBy("page_id", "payload_digest").agg(F.max("payload_bytes").alias("__bytes"))
+    lengths = materialize(lengths.join(named, "page_id", "left_semi"), "warc-lengths")
     lengths = lengths.select(F.col("page_id").alias("__page"), F.col("payload_digest").alias("__digest"), "__bytes")
     joined = records.join(lengths, (F.col("refers_to") == F.col("__page")) & (F.col("payload_digest") == F.col("__digest")), "left")
     lost = F.when((F.col("record_type") == "revisit") & F.col("__page").isNull(), F.lit("the record named is missing or has another payload"))

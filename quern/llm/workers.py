@@ -6,6 +6,8 @@ import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.sql import DataFrame
+
 
 @contextmanager
 def no_cycles() -> Iterator[None]:
@@ -17,3 +19,9 @@ def no_cycles() -> Iterator[None]:
     finally:
         if was:
             gc.enable()
+
+
+def tasks_for(manifest: DataFrame, per_task: int) -> int:
+    """Into how many tasks the files of a written manifest are dealt: per_task each, and no fewer tasks than shuffles have unless files are fewer."""
+    files = manifest.count()
+    return max(1, min(files, max(-(-files // per_task), int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))))

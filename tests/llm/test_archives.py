@@ -27,6 +27,7 @@ def test_elias_fano_round_trip(values):
     coded, end = EliasFano.from_bytes(b"xx" + EliasFano.encode(values).to_bytes(), 2)
     assert coded.decode().tolist() == values.tolist()
     assert [coded.select(i) for i in range(len(values))] == values.tolist()
+    assert all(coded.select_range(i, j).tolist() == values[i : i + j].tolist() for i, j in ((0, len(values)), (len(values) // 3, len(values) // 2), (len(values), 0)))
     assert end == len(EliasFano.encode(values).to_bytes()) + 2
 
 
@@ -37,6 +38,31 @@ def test_elias_fano_is_small_and_strict():
         EliasFano.encode(np.array([2, 1]))
 
 
+def test_select_over_many_blocks():
+    values = np.cumsum(np.random.default_rng(2).choice([0, 1, 5000], 20000)).astype(np.uint64)
+    coded, _ = EliasFano.from_bytes(EliasFano.encode(values).to_bytes())
+    assert [coded.select(i) for i in range(0, 20000, 997)] == values[::997].tolist() and coded.select_range(255, 258).tolist() == values[255:513].tolist()
+    with pytest.raises(IndexError):
+        coded.select(20000)
+
+
+def test_readers_select(spark, monkeypatch):
+    """Neither reader decodes a shard's codes as a whole."""
+    docs = spark.createDataFrame([(i - 300, f"text number {i}") for i in range(600)] + [(None, "none")] * 300, "doc_id long, text string").coalesce(1)
+    path = token_files.write_token_shards(docs, fresh_path(spark, "t"), WORDS, 2).first()["path"]
+    monkeypatch.setattr(EliasFano, "decode", None)
+    rows = list(token_files.read_shard(path))
+    assert [r[0] for r in rows] == [None] * 300 + list(range(-300, 300))
+    assert all(token_files.read_document(path, i) == rows[i][2] for i in (0, 299, 300, 899))
+
+
+def test_other_cuts_fall_back_to_whole_texts():
+    coder = token_files.WordEncoder(WORDS, "<u2")
+    want = coder.encode_batch(["one two", "three"])
+    coder.known, coder.is_end = {}, coder.is_end & False
+    assert coder.encode_batch(["one two", "three"]) == want
+
+
 def test_word_encoder_equals_the_library():
     pick = random.Random(1)
     texts = [t or "" for t in ODD] + ["".join(chr(pick.randint(1, 255)) for _ in range(60)) for _ in range(2000)] + ["".join(pick.choice("aB'sstremvld. 12éΣ́") for _ in range(40)) for _ in range(1000)]
