@@ -32,8 +32,23 @@ class PageMaker:
     def links(self, n: int) -> str:
         return "".join(f'<li><a href="/{self.word()}">{DROP}{self.words(1, 3)}</a></li>' for _ in range(n))
 
+    def nested(self, inner: str) -> str:
+        """inner within up to three more elements, whose names may be those that articles have, too."""
+        for _ in range(self.pick.choice([0, 0, 0, 1, 2, 3])):
+            inner = f'<div class="{self.pick.choice(["inner", "content", "body", "text", "x2", "comment-body", "row"])}">{inner}</div>'
+        return inner
+
     def junk(self) -> str:
-        p, text = self.pick, self.sentences(1, 3) if self.pick.random() < 0.6 else self.words(2, 8)
+        p = self.pick
+        if p.random() < 0.1:
+            body = "".join(f'<article class="{p.choice(["comment", "comment depth-2", "reply"])}">' + self.nested(f"<p>{DROP}{self.sentences(1, 5)}</p>") + "</article>" for _ in range(p.randint(1, 4)))
+            return f'<{p.choice(["section", "div"])} class="{p.choice(["comments", "comments-area", "replies"])}"><h2>{DROP}{self.words(1, 3)}</h2>{body}</div></section>'
+        if p.random() < 0.15:
+            name = p.choice(["sidebar", "ad", "related-posts", "widget", "cookie-notice", "promo", "share", "newsletter"])
+            return f'<div class="{name}">' + self.nested(f"<p>{DROP}{self.sentences(1, 4)}</p>" + f"<ul>{self.links(p.randint(1, 4))}</ul>" * p.randint(0, 1)) + "</div>"
+        if p.random() < 0.05:
+            return f"<button>{self.words(1, 2)}" + "</button>" * p.randint(0, 1)
+        text = self.pick, self.sentences(1, 3) if self.pick.random() < 0.6 else self.words(2, 8)
         kind = p.randrange(13)
         if kind == 0:
             return f"<nav><ul>{self.links(p.randint(3, 9))}</ul></nav>"
@@ -65,7 +80,12 @@ class PageMaker:
         p, parts = self.pick, [f"<h1>{KEEP}{self.words(2, 12)}</h1>"]
         for _ in range(p.randint(1, 10)):
             draw = p.random()
-            if draw < 0.72:
+            if draw < 0.06:
+                link = f'<a href="/{self.word()}">{KEEP}{self.sentences(1, 2)}</a>'
+                parts.append(f"<p>{link}</p>" if p.random() < 0.5 else f"<p>{self.words(1, 4).capitalize()} {link} {self.words(0, 3)}</p>")
+            elif draw < 0.1:
+                parts.append(p.choice(["<p>{} <math><mi>{}</mi></math> {}</p>", "<p>{} <svg><text>{}</text></svg> {}</p>", "<object><p>{} {} {}</p></object>", "<xmp>{} <b> {} {}</xmp>"]).format(KEEP + self.words(2, 8), self.word(), self.sentences(1, 3)))
+            elif draw < 0.72:
                 bold = "<b>" * (p.random() < 0.15)
                 parts.append(f"<p>{bold}{KEEP}{self.sentences(1, 9) if p.random() < 0.85 else self.words(1, 4)}" + p.choice(["</p>", "</p>", "<br>"]))
             elif draw < 0.8:
@@ -77,16 +97,23 @@ class PageMaker:
             else:
                 parts.append(self.junk())
         draw = p.random()
+        named = f' class="{p.choice(["post", "post category-tags has-comments", "hentry sticky comments", "with-share entry", "single ad-free"])}"' * p.randint(0, 1)
         if draw < 0.5:
-            return f"<article>{''.join(parts)}</article>"
+            return f"<article{named}>{''.join(parts)}</article>"
         if draw < 0.7:
-            return f"<main>{''.join(parts)}</main>"
+            return f"<main{named}>{''.join(parts)}</main>"
         return f'<div class="{p.choice(["content", "entry-content", "post", "story", "x1", "wrap"])}">{"".join(parts)}</div>'
 
     def page(self) -> str:
         p = self.pick
         above, below = "".join(self.junk() for _ in range(p.randint(1, 4))), "".join(self.junk() for _ in range(p.randint(1, 4)))
-        return f"<!DOCTYPE html><html><head><title>{self.word()}</title></head><body>{above}{self.article()}{below}</body></html>"
+        names = f' class="{p.choice(["page right-sidebar", "has-sidebar", "home", "single comments-open", "with-ads menu-top"])}"' * p.randint(0, 1)
+        content = f"{above}{self.article()}{below}"
+        if p.random() < 0.3:
+            content = f'<div class="{p.choice(["wrap", "container has-sidebar", "layout with-sidebar", "site", "right-sidebar", "page"])}">{content}</div>'
+        if p.random() < 0.1:
+            content = f'<form action="/all">{content}</form>'
+        return f"<!DOCTYPE html><html><head><title>{self.word()}</title></head><body{names}>{content}</body></html>"
 
 
 def labelled(seed: int, pages: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,24 +1,25 @@
 """Weights of the block classifier, as html_train prints them, in the order of html_blocks.FEATURES."""
 
 WEIGHTS = [
-    1.315,  # bias
-    -8.163,  # menu
-    -8.228,  # foot
-    -8.165,  # head
-    -8.898,  # side
-    -6.428,  # form
-    -8.142,  # notice
-    -9.583,  # named_bad
-    2.241,  # named_good
-    2.396,  # article
-    2.744,  # heading
-    2.601,  # item
-    1.504,  # paragraph
-    -5.537,  # link_share
-    -5.537,  # mostly_links
-    -0.200,  # short
-    1.690,  # long
-    0.344,  # sentences
-    -0.302,  # sentence_end
-    0.364,  # headed_article
+    2.959,  # bias
+    -9.289,  # menu
+    -9.300,  # foot
+    -9.264,  # head
+    -9.634,  # side
+    -6.131,  # form
+    -9.263,  # notice
+    -23.250,  # bad_near
+    0.293,  # good_near
+    1.865,  # article
+    3.527,  # heading
+    0.391,  # item
+    2.213,  # paragraph
+    -5.325,  # link_share
+    -0.309,  # mostly_links
+    1.326,  # article_links
+    -2.231,  # short
+    0.150,  # long
+    -1.426,  # sentences
+    0.555,  # sentence_end
+    0.331,  # headed_article
 ]

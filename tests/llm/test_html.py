@@ -4,6 +4,7 @@ import re
 from itertools import product
 
 import numpy as np
+import pytest
 from quern.llm.html_blocks import blocks_of
 from quern.llm.html_cut import main_text, min_cut
 from quern.llm.html_train import labelled
@@ -39,6 +40,45 @@ def test_pages_of_the_table(spark, sf_dir):
         assert r["text"] == "\n".join(p for p in parts if p) and r["n_chars"] == len(r["text"])
 
 
+PLAIN = "<h1>A title of it</h1><p>The first paragraph has some words in it, and they go on for a while until it ends.</p><p>The second one follows it and says a little more about the same.</p>"
+LINES = "A title of it\nThe first paragraph has some words in it, and they go on for a while until it ends.\nThe second one follows it and says a little more about the same."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body class="page right-sidebar"><article>{PLAIN}</article><div class="sidebar"><p>Buy more of it. It is good.</p></div></body>',
+        f'<body class="page right-sidebar">{PLAIN}</body>',
+        f'<body><article class="post category-tags has-comments">{PLAIN}</article></body>',
+        f'<body><main class="with-share">{PLAIN}</main><footer>Foot of the page.</footer></body>',
+        f'<body><div class="right-sidebar"><div class="wrap"><div class="content">{PLAIN}</div></div></div></body>',
+        f'<body><form action="/all"><div class="content">{PLAIN}</div><label>Your name</label></form></body>',
+        f"<body><button>Menu<article>{PLAIN}</article><button>Top</button></body>",
+        f"<body><select><option>one<article>{PLAIN}</article></body>",
+        f'<body><article>{PLAIN}</article><section class="comments"><article class="comment"><div class="comment-body"><p>I see it in another way. It is quite wrong, as far as I can tell.</p></div></article></section></body>',
+        f'<body><article>{PLAIN}</article><div class="comments-area"><div class="entry"><div class="text"><p>I see it in another way. It is quite wrong.</p></div></div></div></body>',
+        f"<body><noscript><p>Please turn on scripts to see this page.</p></noscript><article>{PLAIN}</article><template><p>Never shown to anyone.</p></template></body>",
+    ],
+)
+def test_messy_pages(page):
+    assert main_text(page) == LINES
+
+
+@pytest.mark.parametrize(
+    ("inside", "line"),
+    [
+        ('<p><a href="/x">All of this paragraph leads to another page of the site.</a></p>', "All of this paragraph leads to another page of the site."),
+        ('<p>See <a href="/x">this linked story about the thing that happened</a></p>', "See this linked story about the thing that happened"),
+        ("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds for all of them.</p>", "So x=2 holds for all of them."),
+        ("<p>Look: <svg><text>a label</text></svg> stands here.</p>", "Look: a label stands here."),
+        ("<object data=x><p>What is shown where the object cannot be.</p></object>", "What is shown where the object cannot be."),
+        ("<xmp>if (a < b) <b>not bold</b> &amp; so</xmp>", "if (a < b) <b>not bold</b> &amp; so"),
+    ],
+)
+def test_nothing_of_the_article_is_left_out(inside, line):
+    assert main_text(f"<body><article>{PLAIN}{inside}</article></body>") == f"{LINES}\n{line}"
+
+
 def test_cut_is_minimal():
     pick = random.Random(1)
     for _ in range(300):
