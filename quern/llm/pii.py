@@ -3,7 +3,7 @@
 Four base kinds follow fixed patterns with checks and are always redacted. Three high-recall generators propose
 further spans, which may overlap base spans and one another; features of a candidate's format and context go
 through boosted trees, and a threshold per kind, calibrated on held-out candidates, selects what is redacted. Candidates that
-overlap base spans are left out.
+lie within base spans are left out.
 
 Positions come from splitting a text at the same pattern: what stands between matches, and the matches, are as long
 as the text, so running sums of their lengths are places. The sums are taken in blocks, so that a text with very many
@@ -27,7 +27,7 @@ PATTERNS = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "contains({t}, '+')"),
     "address": (rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++\x20?(?:[(\[]\x20?at\x20?[)\]]|@)\x20?[A-Za-z0-9-]++\x20?(?:[(\[]\x20?dot\x20?[)\]]|\.)\x20?[A-Za-z]{{2,24}}+", "{t} rlike '@|[(\\\\[]\\\\x20?at\\\\x20?[)\\\\]]'"),
     "number": (r"(?<![0-9A-Za-z.+,-])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,17}(?![\x20().-]{0,2}[0-9])(?![A-Za-z])", "{t} rlike '[0-9][\\\\x20().-]{{0,2}}[0-9]'"),
-    "secret": (r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z])[A-Za-z0-9_+/=-]{16,}+", "{t} rlike '[0-9]'"),
+    "secret": (r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,}+={0,2}+", "{t} rlike '[0-9]'"),
 }
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("address", "number", "secret")
@@ -51,7 +51,15 @@ FEATURES = {
     "secret_cue": "IF(c.before rlike '(?i)(token|secret|passw|pwd|api|key|auth|bearer|credential)[^\\\\n]{0,12}$', 1, 0)",
     "number_cue": "IF(c.before rlike '(?i)(tel|phone|call|mobile|fax|contact|ssn|social|dial|reach)[^\\\\n]{0,14}$', 1, 0)",
     "opened": "IF(c.before rlike '[=:\"\\'] ?$', 1, 0)",
-    "grouping": "IF(c.match rlike '^\\\\(?[0-9]{3}[). -]{1,2}[0-9]{2,4}[ .-][0-9]{4}$', 1, 0)",
+    "other_cue": "IF(c.before rlike '(?i)(order|invoice|isbn|item|ref|page|year|version|serial|lot|part|id|no[.:]?|nr[.:]?|#)[^A-Za-z0-9\\\\n]{0,4}$', 1, 0)",
+    "first_group": "length(regexp_extract(c.match, '[0-9]+', 0))",
+    "second_group": "length(regexp_extract(c.match, '[0-9]+[^0-9]+([0-9]+)', 1))",
+    "last_group": "length(regexp_extract(c.match, '([0-9]+)[^0-9]*$', 1))",
+    "zero_first": "IF(c.match rlike '^[^0-9]?0', 1, 0)",
+    "dots": "length(regexp_replace(c.match, '[^.]', ''))",
+    "hyphens": "length(regexp_replace(c.match, '[^-]', ''))",
+    "stop_inside": "IF(c.match rlike '[.] ', 1, 0)",
+    "last_label": "length(regexp_extract(c.match, '([A-Za-z]+)$', 1))",
     "at_sign": "IF(contains(c.match, '@'), 1, 0)",
 }
 
@@ -83,7 +91,7 @@ def candidates(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     checked = ", ".join(f"filter({k}, s -> {CHECKS[k]})" for k in BASE)
     rows = rows.select(*keep, "__text", F.expr(f"concat({checked})").alias("base"), F.expr(f"concat({', '.join(EXTRA)})").alias("__extra"))
     values = ", ".join(f"CAST({f} AS int)" for f in FEATURES.values())
-    free = "filter(__extra, c -> NOT exists(base, s -> s.start < c.end AND c.start < s.end))"
+    free = "filter(__extra, c -> NOT exists(base, s -> s.start <= c.start AND c.end <= s.end))"
     rows = rows.select(*keep, "__text", "base", F.expr(free).alias("__extra"))
     return rows.select(*keep, "__text", "base", F.expr(f"transform(__extra, c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end, 'f', array({values})))").alias("extra"))
 

@@ -2,7 +2,7 @@
 
 Texts are drawn with secrets, numbers to call and disguised addresses, and with things that look alike (long words, names of
 variables, dates, amounts, codes); features come from the operator's own SQL. Gradient boosting with logistic loss fits
-trees of depth two, whose leaves are rounded to thousandths; thresholds are the lowest scores at which at least 98 % of held-out candidates
+trees of depth three, whose leaves are rounded to thousandths; thresholds are the lowest scores at which at least 99.5 % of held-out candidates
 above are true.
 """
 
@@ -16,7 +16,10 @@ from pyspark.sql import SparkSession
 from quern.llm import pii
 from quern.session import build_session
 
-N_TREES, RATE, MIN_LEAF, PRECISION = 12, 0.5, 8, 0.98
+N_TREES, DEPTH, RATE, MIN_LEAF, PRECISION = 16, 3, 0.5, 8, 0.995
+# Forms in which people write numbers to call and of persons, a 9 for each digit.
+NUMBERS = ["(999) 999-9999", "999-999-9999", "999.999.9999", "999 999 9999", "999-99-9999", "09999 999999", "0999 999 9999", "(099) 9999 9999", "09 99 99 99 99", "09.99.99.99.99", "099 9999999", "0999-9999999", "09999 99999", "1-999-999-9999", "099 999 99 99"]
+BARE_NUMBERS = ["9999999999", "9999999", "09999999999"]
 ALNUM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
 
@@ -34,35 +37,45 @@ class TextMaker:
     def digits(self, n: int) -> str:
         return "".join(self.pick.choice("0123456789") for _ in range(n))
 
+    def filled(self, form: str) -> str:
+        """form with every 9 replaced by a digit."""
+        return "".join(self.pick.choice("0123456789") if c == "9" else c for c in form)
+
     def personal(self) -> tuple[str, str, str]:
         """(text before, span, text after)."""
-        p, kind = self.pick, self.pick.randrange(7)
+        p, kind = self.pick, self.pick.randrange(3)
         if kind == 0:
-            secret = "".join(p.choice("0123456789abcdef") for _ in range(p.choice([20, 32, 40, 64])))
-        elif kind == 1:
-            secret = p.choice(["sk-", "ghp_", "AKIA", ""]) + "".join(p.choice(ALNUM) for _ in range(p.randint(20, 40)))
-        if kind < 2:
-            cue = p.choice(['token = "', "api_key: ", 'secret="', "password=", "Authorization: Bearer ", "key ", ""])
+            if p.random() < 0.4:
+                secret = "".join(p.choice("0123456789abcdef") for _ in range(p.choice([20, 32, 40, 64])))
+            else:
+                secret = p.choice(["sk-", "ghp_", "AKIA", ""]) + "".join(p.choice(ALNUM) for _ in range(p.randint(20, 40)))
+            cue = p.choice(['token = "', "api_key: ", 'secret="', "password=", "TOKEN=", "the key is ", "pwd: ", "Authorization: Bearer ", "key ", ""])
             return cue, secret, '"' if cue.endswith('"') else ""
-        if kind < 5:
-            number = p.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}"]).format(self.digits(3), self.digits(3), self.digits(4)) if kind < 4 else f"{self.digits(3)}-{self.digits(2)}-{self.digits(4)}"
-            return p.choice(["call ", "tel: ", "phone ", "SSN ", "contact us at ", "reach me on "]) if p.random() < 0.7 else "", number, ""
-        at, dot = p.choice([(" (at) ", " (dot) "), ("(at)", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" @ ", ".")])
-        return "", f"{self.word()}.{self.word()}{at}{self.word(2, 4)}{dot}{p.choice(['com', 'org', 'net', 'de'])}", ""
+        if kind == 1:
+            cue = p.choice(["call ", "tel: ", "phone ", "SSN ", "contact us at ", "reach me on ", "mobile ", "fax: ", "dial "])
+            bare = p.random() < 0.15
+            number = self.filled(p.choice(BARE_NUMBERS if bare else NUMBERS))
+            return cue if bare or p.random() < 0.65 else "", number, ""
+        at, dot = p.choice([(" (at) ", " (dot) "), ("(at)", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" @ ", "."), (" (at) ", ".")])
+        name = f"{self.word()}{p.choice(['.', '_', ''])}{self.word()}{self.digits(p.choice([0, 0, 2]))}"
+        return "", f"{name}{at}{self.word(1, 5)}{dot}{p.choice(['com', 'org', 'net', 'de', 'io', 'co', 'info'])}", ""
 
     def harmless(self) -> str:
-        p, kind = self.pick, self.pick.randrange(10)
+        p, kind = self.pick, self.pick.randrange(13)
         return [
             lambda: self.word(9, 14) + self.digits(p.randint(1, 2)),
             lambda: "_".join([self.word(2, 3), self.word(2, 4), self.word(2, 3)]) + "_" + self.digits(1),
-            lambda: f"{p.randint(1900, 2030)}-{p.randint(10, 12)}-{p.randint(10, 28)}",
+            lambda: f"{p.randint(1900, 2030)}{p.choice('-. ')}{p.randint(10, 12)}{p.choice('-. ')}{p.randint(10, 28)}",
             lambda: " ".join(str(p.randint(1, 99)) for _ in range(p.randint(4, 9))),
             lambda: f"{p.randint(1, 999)}.{self.digits(3)}.{self.digits(3)}.{self.digits(3)}0",
-            lambda: self.digits(p.randint(7, 12)),
+            lambda: p.choice(["", "order ", "invoice ", "id ", "item no. ", "ref: ", "serial "]) + self.digits(p.randint(7, 18)),
             lambda: f"ISBN 978-{self.digits(1)}-{self.digits(4)}-{self.digits(4)}-{self.digits(1)}",
             lambda: f"{p.randint(1900, 2030)}-{p.randint(1900, 2030)}",
             lambda: "/".join(self.word(2, 4) for _ in range(4)) + "/" + self.digits(2),
-            lambda: f"{self.word()} @ {self.word()}. {self.word()}",
+            lambda: f"{self.word()}{p.choice([' @ ', ' @ ', ' (at) '])}{self.word()}. {self.word()}",
+            lambda: f"{self.word()}{p.choice([' @ ', ' [at] '])}{self.word()}.{self.word(2, 4)}",  # a stop without a space
+            lambda: f"{p.randint(1, 999)} {self.digits(3)} {self.digits(3)}" + f" {self.digits(3)}" * p.randint(0, 1),
+            lambda: f"{p.randint(0, 9)}.{self.digits(p.randint(6, 9))}",
         ][kind]()
 
     def text(self) -> tuple[str, list[tuple[int, int]]]:
@@ -121,7 +134,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> list[tuple]:
     for _ in range(N_TREES):
         chance = 1 / (1 + np.exp(-score))
         slope, curve = y - chance, chance * (1 - chance)
-        trees.append(grow(np.arange(len(y)), 2))
+        trees.append(grow(np.arange(len(y)), DEPTH))
     return trees
 
 

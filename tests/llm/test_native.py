@@ -5,6 +5,7 @@ import unicodedata
 from collections import Counter
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 from quern.llm import chat, decontaminate, pii, quality, queries_pii
 from quern.llm.pii_train import TextMaker, labelled
@@ -294,17 +295,111 @@ def test_base_spans_match_brute_force(spark):
         text = rows[r["doc_id"]][1]
         assert [(s["kind"], s["start"], s["end"]) for s in r["base"]] == brute_base(text)
         assert all(s["kind"] in pii.EXTRA and 0 <= s["start"] < s["end"] <= len(text) for s in r["added"])
-        assert not any(a["start"] < b["end"] and b["start"] < a["end"] for a in r["added"] for b in r["base"])
+        assert not any(b["start"] <= a["start"] and a["end"] <= b["end"] for a in r["added"] for b in r["base"])
     assert pii.detect(docs.where("false")).collect() == []
 
 
+def brute_features(match, before):
+    digits, letters = re.findall("[0-9]", match), re.findall("[A-Za-z]", match)
+    groups = re.findall("[0-9]+", match)
+    cue = lambda words, tail: int(bool(re.search(f"(?i)({words}){tail}$", before)))
+    return {
+        "length": len(match), "digits": len(digits), "upper": sum(c.isupper() for c in letters), "lower": sum(c.islower() for c in letters), "hex_share": 100 * len(re.findall("[0-9a-fA-F]", match)) // len(match),
+        "separators": len(match) - len(digits) - len(letters), "distinct": len(set(match)), "changes": len(groups), "bracket": int("(" in match or "[" in match),
+        "secret_cue": cue("token|secret|passw|pwd|api|key|auth|bearer|credential", "[^\\n]{0,12}"), "number_cue": cue("tel|phone|call|mobile|fax|contact|ssn|social|dial|reach", "[^\\n]{0,14}"),
+        "opened": int(bool(re.search("[=:\"'] ?$", before))), "other_cue": cue("order|invoice|isbn|item|ref|page|year|version|serial|lot|part|id|no[.:]?|nr[.:]?|#", "[^A-Za-z0-9\\n]{0,4}"),
+        "first_group": len(groups[0]) if groups else 0, "second_group": len(groups[1]) if len(groups) > 1 else 0, "last_group": len(groups[-1]) if groups else 0,
+        "zero_first": int(match[0] == "0" or not match[0].isdecimal() and match[1:2] == "0"), "dots": match.count("."), "hyphens": match.count("-"), "stop_inside": int(". " in match), "last_label": len(re.search("[A-Za-z]*$", match)[0]), "at_sign": int("@" in match),
+    }
+
+
+def brute_added(text):
+    text, out = text or "", []
+    base = brute_base(text)
+    for kind in pii.EXTRA:
+        end = 0
+        for m in regex.finditer(pii.PATTERNS[kind][0], text):
+            found, end = brute_features(m[0], text[end : m.start()][-24:]), m.end()
+
+            def leaf(node, found=found):
+                while not isinstance(node, int):
+                    node = node[2] if found[node[0]] <= node[1] else node[3]
+                return node
+
+            if not any(a <= m.start() and m.end() <= b for _, a, b in base) and sum(map(leaf, pii.TREES[kind])) > pii.THRESHOLDS[kind]:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+class OtherTexts:
+    """Texts with personal data, made in another way than those that the trees are fitted on."""
+
+    def __init__(self, seed):
+        self.pick = random.Random(seed)
+
+    def some(self, alphabet, n):
+        return "".join(self.pick.choice(alphabet) for _ in range(n))
+
+    def prose(self):
+        words = "we went there in the morning and nobody had asked about it until she wrote again last week with another idea of hers".split()
+        return " ".join(self.pick.choice(words) for _ in range(self.pick.randint(5, 25)))
+
+    def planted(self):
+        p, d = self.pick, lambda n: self.some("0123456789", n)
+        number = p.choice(["Please phone {} after six", "Our number is {} these days", "tel. {}", "Mobile: {}", "you can reach him at {}", "her SSN, {}, was known", "Fax {}"])
+        form = p.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(4)} {d(6)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(1)}.{d(2)}.{d(2)}.{d(2)}.{d(2)}", f"0{d(2)} {d(7)}", f"{d(3)}.{d(3)}.{d(4)}"])
+        name = self.some("abcdefghijklmnopqrstuvwxyz", p.randint(3, 8))
+        at, dot = p.choice([(" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" (at) ", ".")])
+        secret = p.choice([self.some("0123456789abcdef", 40), self.some("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", p.randint(24, 44)), "ghp_" + self.some("abcdefghijABCDEFGHIJ0123456789", 36)])
+        return p.choice([("number", number, form), ("address", "write to {} soon", f"{name}.{name[::-1]}{at}{name}mail{dot}{p.choice(['com', 'org', 'de'])}"), ("secret", p.choice(["export API_KEY={}", 'auth_token: "{}"', "the password was {}", "Bearer {}"]), secret)])
+
+    def text(self):
+        parts, spans = [self.prose()], []
+        for _ in range(3):
+            kind, frame, span = self.planted()
+            at = len(" ".join(parts)) + 1 + frame.index("{}")
+            spans.append((kind, at, at + len(span)))
+            parts += [frame.format(span), self.prose()]
+        return " ".join(parts), spans
+
+
+def test_added_spans_match_brute_force(spark):
+    texts = pii_texts() + [TextMaker(i).text()[0] for i in range(200)] + [OtherTexts(i).text()[0] for i in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["added"]] for r in pii.detect(docs).collect()}
+    assert got == {i: brute_added(t) for i, t in enumerate(texts)} and sum(map(len, got.values())) > 100
+
+
+def test_planted_spans_of_another_generator_are_found(spark):
+    made = [OtherTexts(1000 + i).text() for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made)], "doc_id long, text string")
+    found, planted, wrong = Counter(), Counter(), 0
+    for r in pii.detect(docs).collect():
+        got = {(s["start"], s["end"]) for s in [*r["base"], *r["added"]]}
+        for kind, start, end in made[r["doc_id"]][1]:
+            planted[kind] += 1
+            found[kind] += any(a <= start and end <= b for a, b in got)
+        wrong += sum(not any(a < end and start < b for _, start, end in made[r["doc_id"]][1]) for a, b in got)
+    assert all(found[k] >= 0.9 * planted[k] for k in pii.EXTRA), (found, planted)
+    assert wrong <= 0.02 * sum(planted.values())
+
+
+def test_numbers_by_several_features():
+    def used(node):
+        return set() if isinstance(node, int) else {node[0]} | used(node[2]) | used(node[3])
+
+    for kind in pii.EXTRA:
+        assert len(set().union(*map(used, pii.TREES[kind]))) >= 4, kind
+
+
 def test_op9_digests(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in queries_pii.op9_pii(spark, sf_dir).collect():
         spans = brute_base(texts[r["doc_id"]])
         assert [r[f"n_{k}"] for k in BASE] == [sum(s[0] == k for s in spans) for k in BASE]
         joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
-        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest() and r["spans"].startswith(joined)
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in spans + brute_added(texts[r["doc_id"]]))
 
 
 def test_added_spans_hold_out(spark):
