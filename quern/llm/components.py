@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.workspace import materialize
+from quern.workspace import discard, materialize
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -22,8 +22,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         heard = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("heard"))
         hooked = labels.join(heard, "node").select("node", F.col("component").alias("before"), F.least("component", "heard").alias("hook"))
         jump = hooked.select(F.col("node").alias("hook"), F.col("hook").alias("jumped"))
+        before = labels
         moved = materialize(hooked.join(jump, "hook").select("node", F.col("jumped").alias("component"), (F.col("jumped") != F.col("before")).alias("moved")), "cc-labels")
-        labels = moved.select("node", "component")
-        if moved.where("moved").isEmpty():
+        labels, done = moved.select("node", "component"), moved.where("moved").isEmpty()
+        labels.written_at = moved.written_at
+        discard(before)
+        if done:
+            discard(both)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

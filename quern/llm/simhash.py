@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.components import connected_components
 from quern.llm.golay import near_indices
-from quern.workspace import materialize
+from quern.workspace import discard, materialize
 
 HASH_SEED = 42
 CHUNK = 1 << 16
@@ -157,9 +157,11 @@ def named_classes(prints: DataFrame, distinct: DataFrame, links: DataFrame) -> D
     components = connected_components(links)
     joined = distinct.join(components.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     joined = materialize(joined, "simhash-components")
+    discard(components)
     names = materialize(joined.groupBy("component").agg(F.min("first_id").alias("component_id")), "simhash-names")  # a giant component is split, too
     named = joined.join(names, "component").select("fp", "component_id", F.col("copies") - 1)
     named = materialize(named.toDF("fp", "component_id", "n_copies"), "simhash-named")
+    discard(joined, names)
     return prints.join(named, "fp").select("id", "fp", "component_id", "n_copies")
 
 
