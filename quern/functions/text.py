@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,3 +72,13 @@ def unfence(x: Column) -> Column:
 def bag(x: Column) -> Column:
     """Lower-case word characters for lexical indexes."""
     return F.array_remove(F.split(F.lower(F.coalesce(x, F.lit(""))), r"[^\p{L}\p{N}_]+"), "")
+
+
+#: Tokenizers by name: functions from a text column to an array of words. A deployment adds its own, morphological ones as Arrow UDFs.
+TOKENIZERS: dict[str, Callable[[Column], Column]] = {"bag": bag, "words": words}
+
+
+def tokenizer(name: str) -> Callable[[Column], Column]:
+    if name not in TOKENIZERS:
+        raise ValueError(f"unknown tokenizer: {name}; there are {', '.join(sorted(TOKENIZERS))}")
+    return TOKENIZERS[name]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import let, sentences, strip, words
 from quern.functions.vectors import argmax
+from quern.workspace import materialize
 
 CLASSES = ("entailment", "neutral", "contradiction")
 
@@ -17,6 +18,18 @@ def drop_blank(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.where(F.length(strip(F.coalesce(F.col(text_col), F.lit("")))) > 0)
 
 
+class FilteredPages:
+    """Results of a costly filter by key, written down once: flows over the same pages ask a model only the first time."""
+
+    def __init__(self, keep: Callable[[DataFrame], DataFrame]):
+        self.keep, self.known = keep, {}
+
+    def of(self, key: str, pages: DataFrame) -> DataFrame:
+        if key not in self.known:
+            self.known[key] = materialize(self.keep(pages), "filtered-pages")
+        return self.known[key]
+
+
 def looks_useful(text: Column, min_words: int = 5, max_repeats: int = 10, max_symbols: float = 0.5) -> Column:
     """A deterministic stand-in for a usefulness model: no mere title, no sentence repeated ten times, not mostly symbols or unreadable."""
     again = lambda ordered: F.transform(ordered, lambda s, i: F.get(ordered, i + (max_repeats - 1)) == s)

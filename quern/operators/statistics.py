@@ -90,6 +90,12 @@ def box_stats(long: DataFrame, keys: Sequence[str] = ("metric", "method"), score
     )
 
 
+def box_table(boxes: DataFrame, tests: DataFrame, digits: int = 4) -> DataFrame:
+    """box_stats() with the Holm columns of the test of each metric (one small row each), summary values rounded; metrics without a test keep their boxes."""
+    rounded = {c: F.round(c, digits) for c in ("whisker_low", "q1", "median", "q3", "whisker_high")}
+    return boxes.join(tests.select("metric", "p_holm", "sig_label", "significant_holm"), "metric", "left").withColumns(rounded)
+
+
 def separate_rows(df: DataFrame, column: str, sep: str = ";") -> DataFrame:
     """One row per number in a joined column; what is no number goes."""
     return df.withColumn(column, F.explode(F.split(column, sep))).withColumn(column, F.col(column).try_cast("double")).where(F.col(column).isNotNull())

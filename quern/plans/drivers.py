@@ -113,14 +113,24 @@ def answer_by_tokens(contexts: DataFrame, chat: models.ScoredModel, fallback: mo
     return kept.unionByName(asked).withColumn("logprobs", F.col("__c.logprobs")).drop("__c")
 
 
-def evaluate(results: DataFrame, embed: Callable[[Column], Column] = models.hashed_embedding, extra: Mapping[str, models.PairModel] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(scores per row, summary) of results (id, reference, generated, ref_docs, gen_docs): all metrics in one pass. ``extra`` names further models of pairs."""
+METRICS = ("recall", "mrr", "sbert", "rouge1", "rougeL", "em")
+
+
+def evaluate(results: DataFrame, embed: Callable[[Column], Column] = models.hashed_embedding, extra: Mapping[str, models.PairModel] | None = None, names: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(scores per row, summary) of results (id, reference, generated, ref_docs, gen_docs): all metrics, or those named, in one pass.
+
+    ``extra`` names further models of pairs. A name of no metric is an error.
+    """
+    unknown = set(names or ()) - {*METRICS, *(extra or {})}
+    if unknown:
+        raise ValueError(f"unknown metrics: {', '.join(sorted(unknown))}")
     a, b = F.col("reference"), F.col("generated")
     rows = results.withColumn("__a", embed(a)).withColumn("__b", embed(b))
     scores = {
         "recall": metrics.recall_hit(F.col("ref_docs"), F.col("gen_docs")), "mrr": metrics.reciprocal_rank(F.col("ref_docs"), F.col("gen_docs")), "sbert": metrics.embedding_similarity(a, b, F.col("__a"), F.col("__b")),
         "rouge1": metrics.rouge1(a, b), "rougeL": metrics.rouge_l(a, b), "em": metrics.exact_match(a, b),
     } | {name: models.pair_column(model, a, b) for name, model in (extra or {}).items()}
+    scores = {k: v for k, v in scores.items() if names is None or k in names}
     scored = rows.select("id", *(v.alias(k) for k, v in scores.items()))
     return scored, statistics.summarize(scored, list(scores))
 

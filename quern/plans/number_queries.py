@@ -51,6 +51,13 @@ def wilcoxon_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tests.select("metric", "n", F.round("p", 6).alias("p"), F.round("p_holm", 6).alias("p_holm"), "sig_label", "significant_holm")
 
 
+def box_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Box statistics of each metric and setting with the Holm labels of the paired tests between settings."""
+    tests = statistics.holm(statistics.with_p_value(statistics.wilcoxon(paired_wide(spark, sf_dir), METRICS, "A", "R")))
+    table = statistics.box_table(statistics.box_stats(_long(spark, sf_dir)), tests)
+    return table.select("metric", "method", "n", "whisker_low", "q1", "median", "q3", "whisker_high", F.col("n_outliers").cast("long").alias("n_outliers"), F.round("p_holm", 6).alias("p_holm"), "sig_label", "significant_holm")
+
+
 def holm_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     tests = table(spark, sf_dir, "nation").select(F.col("n_name").alias("metric"), (F.col("n_nationkey") * F.col("n_nationkey") / F.lit(4000.0) + 0.0003).alias("p"))
     return statistics.holm(tests).select("metric", F.round("p", 6).alias("p"), F.round("p_holm", 6).alias("p_holm"), "sig_label", "significant_holm")
@@ -84,7 +91,7 @@ def recode_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.groupBy("setting").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (latest_row, series_size, rate_limit, request_route, paired_wide, wilcoxon_stat, wilcoxon_p, holm_labels, pivot_longer, box_stats, separate_rows, label_height, recode_settings)}
+QUERIES = {f.__name__: f for f in (latest_row, series_size, rate_limit, request_route, paired_wide, wilcoxon_stat, wilcoxon_p, box_significance, holm_labels, pivot_longer, box_stats, separate_rows, label_height, recode_settings)}
 
 _CENTS = "round(avg(round({c} * 100)::BIGINT) + 1e-9, 4)"
 _SETTINGS = "st AS (SELECT l_partkey, l_returnflag, " + ", ".join(f"{_CENTS.format(c=c)} AS {m}" for c, m in (("l_quantity", "qty"), ("l_extendedprice", "price"), ("l_discount", "disc"), ("l_tax", "tax"))) + " FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL)"
@@ -96,6 +103,15 @@ _BOX = f"""{_LONG}, o AS (SELECT *, row_number() OVER (PARTITION BY metric, meth
         (max(score) FILTER (i = floor(n + 1 - d)) + max(score) FILTER (i = ceil(n + 1 - d))) / 2 AS q3 FROM d GROUP BY metric, method, n),
     f AS (SELECT long.*, n, q1, median, q3, score BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM long JOIN h USING (metric, method))"""
 
+_WILCOXON = f"""{_WIDE}, x AS (""" + " UNION ALL ".join(f"SELECT '{m}' AS metric, {m}_A - {m}_R AS d FROM wide WHERE {m}_A IS NOT NULL AND {m}_R IS NOT NULL" for m in METRICS) + """),
+    k AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY abs(d)) + (count(*) OVER (PARTITION BY metric, abs(d)) - 1) / 2 AS r FROM x WHERE d <> 0),
+    s AS (SELECT metric, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS v, count(*)::DOUBLE AS m FROM k GROUP BY metric), t AS (SELECT metric, sum(c::DOUBLE * c * c - c) AS ties FROM (SELECT metric, abs(d), count(*) AS c FROM k GROUP BY ALL) GROUP BY metric),
+    w AS (SELECT metric, n, v::DOUBLE AS v, (v - m * (m + 1) / 4 - sign(v - m * (m + 1) / 4) * 0.5) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48) AS z FROM s JOIN t USING (metric) JOIN (SELECT metric, count(*) AS n FROM x GROUP BY metric) USING (metric))"""
+# The normal distribution's tail by Simpson's rule over 2,000 steps from 0 to |z|.
+_HOLM = """p AS (SELECT metric, n, greatest(0.0, 2 * (0.5 - abs(z) / 6000 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-power(i * z / 2000, 2) / 2))))) AS p FROM w),
+    ordered AS (SELECT *, row_number() OVER (ORDER BY p, metric) AS i, count(*) OVER () AS m FROM p), stepped AS (SELECT metric, n, p, least(1.0, max((m - i + 1) * p) OVER (ORDER BY i)) AS h FROM ordered),
+    labelled AS (SELECT *, CASE WHEN h < 0.001 THEN '***' WHEN h < 0.01 THEN '**' WHEN h < 0.05 THEN '*' ELSE 'n.s.' END AS sig_label, h < 0.05 AS significant_holm FROM stepped)"""
+
 ORACLES = {
     "latest_row": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "series_size": "SELECT user_id, count(*) AS n_rows, sum(length(props))::BIGINT AS n_chars, arg_min(event_id, (ts, event_id)) AS first_id, arg_max(event_id, (ts, event_id)) AS last_id FROM events GROUP BY user_id",
@@ -106,10 +122,10 @@ ORACLES = {
     "request_route": """SELECT conv_id, turn, CASE WHEN fault IS NULL THEN 'S' ELSE 'E' END AS status, CASE WHEN fault IS NULL THEN CASE WHEN conv_id % 2 > 0 AND conv_id % 3 > 0 AND conv_id % 5 > 0 THEN 'readings' ELSE 'documents' END END AS mode, coalesce(fault, 'ok') AS message
         FROM (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 OR trim(text) = '' THEN 'empty question' WHEN length(text) > 200 THEN 'question too long' END AS fault FROM conversations)""",
     "paired_wide": f"WITH {_WIDE} SELECT * FROM wide",
-    "wilcoxon_stat": f"""WITH {_WIDE}, x AS (""" + " UNION ALL ".join(f"SELECT '{m}' AS metric, {m}_A - {m}_R AS d FROM wide WHERE {m}_A IS NOT NULL AND {m}_R IS NOT NULL" for m in METRICS) + """),
-        k AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY abs(d)) + (count(*) OVER (PARTITION BY metric, abs(d)) - 1) / 2 AS r FROM x WHERE d <> 0),
-        s AS (SELECT metric, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS v, count(*)::DOUBLE AS m FROM k GROUP BY metric), t AS (SELECT metric, sum(c::DOUBLE * c * c - c) AS ties FROM (SELECT metric, abs(d), count(*) AS c FROM k GROUP BY ALL) GROUP BY metric)
-        SELECT metric, n, v::DOUBLE AS v, round((v - m * (m + 1) / 4 - sign(v - m * (m + 1) / 4) * 0.5) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48), 6) AS z FROM s JOIN t USING (metric) JOIN (SELECT metric, count(*) AS n FROM x GROUP BY metric) USING (metric)""",
+    "wilcoxon_stat": f"WITH {_WILCOXON} SELECT metric, n, v, round(z, 6) AS z FROM w",
+    "wilcoxon_p": f"WITH {_WILCOXON}, {_HOLM} SELECT metric, n, round(p, 6) AS p, round(h, 6)::DOUBLE AS p_holm, sig_label, significant_holm FROM labelled",
+    "box_significance": f"""WITH {_BOX}, {_WILCOXON.removeprefix(_SETTINGS + ", ")}, {_HOLM}, b AS (SELECT metric, method, n, min(score) FILTER (inside) AS lo, q1, median, q3, max(score) FILTER (inside) AS hi, count(*) FILTER (NOT inside) AS n_outliers FROM f GROUP BY metric, method, n, q1, median, q3)
+        SELECT metric, method, b.n, round(lo, 4) AS whisker_low, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3, round(hi, 4) AS whisker_high, n_outliers, round(h, 6)::DOUBLE AS p_holm, sig_label, significant_holm FROM b LEFT JOIN labelled USING (metric)""",
     "holm_labels": """WITH t AS (SELECT n_name AS metric, n_nationkey * n_nationkey / 4000.0::DOUBLE + 0.0003::DOUBLE AS p FROM nation), r AS (SELECT *, row_number() OVER (ORDER BY p, metric) AS i, count(*) OVER () AS m FROM t),
         h AS (SELECT metric, p, least(1.0, max((m - i + 1) * p) OVER (ORDER BY i)) AS h FROM r)
         SELECT metric, round(p, 6) AS p, round(h, 6)::DOUBLE AS p_holm, CASE WHEN h < 0.001 THEN '***' WHEN h < 0.01 THEN '**' WHEN h < 0.05 THEN '*' ELSE 'n.s.' END AS sig_label, h < 0.05 AS significant_holm FROM h""",

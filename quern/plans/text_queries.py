@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quern.functions import text as t
 from quern.operators import chunking, filters, records
 from quern.session import spread, table
+from quern.sources import scans, sinks
+from quern.workspace import fresh_path
 
 HEADERS = ("The.", "And.", "Of.", "In.", "La.", "De.", "Die.")
 WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '')"
@@ -91,7 +93,16 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.size(lines).alias("n_lines"), F.array_join(F.slice(lines, 1, 2), "|").alias("head"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_fixed, chunk_sentences, chunk_lumber_cap, chunk_recursive, chunk_semantic, page_merge, html_to_text, header_trim, header_trim_counts, useful_filter, drop_blank, natural_sort_pages, sanitize_store, path_parts, doc_lines)}
+def prose_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' prose written as files beside where their sources stood, and read again."""
+    pages = table(spark, sf_dir, "documents").select(F.concat_ws("/", "lang", "source", F.format_string("doc_%06d.md", "doc_id")).alias("rel_path"), F.col("text").alias("prose"))
+    folder = fresh_path(spark, "prose")
+    sinks.write_files(sinks.prose_files(pages), folder)
+    found = scans.markdown_pages(spark, [folder])
+    return found.select("rel_path", "stem", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+
+
+QUERIES = {f.__name__: f for f in (chunk_fixed, chunk_sentences, chunk_lumber_cap, chunk_recursive, chunk_semantic, page_merge, html_to_text, header_trim, header_trim_counts, useful_filter, drop_blank, natural_sort_pages, sanitize_store, path_parts, doc_lines, prose_layout)}
 
 _HEADER_LIST = "[" + ", ".join(f"'{h}'" for h in HEADERS) + "]"
 _TRIM_SQL = f"""SELECT doc_id, CASE WHEN spot IS NOT NULL THEN array_to_string(l[spot:], chr(10)) END AS trimmed
@@ -100,6 +111,8 @@ _SENTENCES_SQL = r"list_filter(string_split(regexp_replace(text, '([.!?。])\s+'
 _COSINE = "list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[])) * sqrt(list_dot_product({b}::DOUBLE[], {b}::DOUBLE[])))"
 
 ORACLES = {
+    "prose_layout": """SELECT lang || '/' || source || '/doc_' || lpad(doc_id::VARCHAR, 6, '0') || '_prose.md' AS rel_path, 'doc_' || lpad(doc_id::VARCHAR, 6, '0') || '_prose' AS stem, sha256(trim(text, ' ')) AS sha
+        FROM documents WHERE regexp_matches(text, '[^\\s]')""",
     "chunk_fixed": f"""WITH w AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents), k AS (SELECT *, CASE WHEN len(w) <= 64 THEN 1 ELSE ceil((len(w) - 64) / 14.0)::INT + 1 END AS k FROM w WHERE len(w) > 0)
         SELECT doc_id, i::INT AS pos, array_to_string(w[i * 14 + 1:i * 14 + 64], ' ') AS chunk FROM (SELECT doc_id, w, unnest(range(k)) AS i FROM k)""",
     "chunk_sentences": f"SELECT doc_id, (i - 1)::INT AS pos, trim(s[i]) AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {_SENTENCES_SQL} AS s FROM documents))",

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import group_of
 from quern.operators.retrieval import LexicalIndex, upsert
 from quern.operators.records import running_ids
+from quern.sources.files import open_output
+from quern.workspace import materialize
 
 
 def write_vectors(rows: DataFrame, path: str, old: DataFrame | None = None) -> None:
@@ -51,6 +56,37 @@ def write_trimmed(pages: DataFrame, path: str) -> None:
     pages.withColumn("group", group_of(F.col("stem"))).select("group", "text").write.mode("overwrite").partitionBy("group").text(path)
 
 
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """One file per row of rows (rel_path, text) under folder, written by the tasks. Returns the manifest (path, n_bytes) when all are written.
+
+    A task that runs again writes the same files again.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, sizes = [], []
+            for rel_path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                content = (text or "").encode("utf-8", "surrogatepass")
+                with open_output(f"{folder}/{rel_path}") as out:
+                    out.write(content)
+                paths.append(f"{folder}/{rel_path}")
+                sizes.append(len(content))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["path", "n_bytes"])
+
+    return materialize(rows.select("rel_path", "text").mapInArrow(write, "path string, n_bytes long"), "files-manifest")
+
+
+def prose_files(pages: DataFrame) -> DataFrame:
+    """(rel_path, text, source_file) of pages (rel_path, prose): "<folder>/<stem>_prose.md" beside where the source stood; blank ones go."""
+    kept = pages.where(F.length(F.trim(F.coalesce("prose", F.lit("")))) > 0)
+    return kept.select(F.regexp_replace("rel_path", r"\.[^./]*$", "_prose.md").alias("rel_path"), F.trim("prose").alias("text"), F.element_at(F.split("rel_path", "/"), -1).alias("source_file"))
+
+
+def metric_rows(scored: DataFrame, results: DataFrame, metric: str, fields: Sequence[str] = ("reference", "generated")) -> DataFrame:
+    """The rows of a metric's file: its score beside the fields it was taken from."""
+    return scored.select("id", metric).join(results.select("id", *fields), "id").select(metric, "id", *fields)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """One CSV file with a header; for small results."""
     rows.coalesce(1).write.mode("overwrite").csv(path, header=True)

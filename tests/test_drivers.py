@@ -1,10 +1,13 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern import config, models
-from quern.operators import chunking, retrieval
+from quern.functions import text
+from quern.operators import chunking, filters, retrieval
 from quern.plans import drivers
+from quern.sources import sinks
 
 
 def test_settings(tmp_path, monkeypatch):
@@ -66,6 +69,26 @@ def test_answers_by_tokens(spark):
     assert out[1]["route"] == "rag" and out[1]["generated"].endswith("where is the cat") and len(out[1]["logprobs"]) == 4 and out[2]["route"] == "fallback" and out[2]["generated"] == "unrelated"
 
 
+def test_names_that_nothing_has(spark):
+    results = spark.createDataFrame([(1, "a b", "a b", ["x"], [(1, "x", None)])], "id long, reference string, generated string, ref_docs array<string>, gen_docs array<struct<rank:int,filename:string,rel_path:string>>")
+    scores, summary = drivers.evaluate(results, names=["em", "mrr"])
+    assert scores.columns == ["id", "mrr", "em"] and {r["metric"] for r in summary.collect()} == {"em", "mrr"}
+    assert sinks.metric_rows(scores, results, "em").first().asDict() == {"em": 1.0, "id": 1, "reference": "a b", "generated": "a b"}
+    with pytest.raises(ValueError):
+        drivers.evaluate(results, names=["em", "other"])
+    with pytest.raises(ValueError):
+        text.tokenizer("other")
+    assert spark.range(1).select(text.tokenizer("words")(F.lit("a  B"))).first()[0] == ["a", "B"]
+
+
+def test_filters_run_once_per_key(spark):
+    asked = []
+    keep = filters.FilteredPages(lambda pages: asked.append(1) or pages.where("text <> ''"))
+    pages = spark.createDataFrame([("a",), ("",)], "text string")
+    assert keep.of("x", pages).count() == keep.of("x", pages).count() == 1 and len(asked) == 1
+    assert keep.of("y", pages).count() == 1 and len(asked) == 2
+
+
 def test_rerank(spark):
     found = spark.createDataFrame([(1, 1, 10), (1, 2, 20)], "qid long, rank int, doc long")
     contents = spark.createDataFrame([(10, "no match"), (20, "the red car")], "doc long, content string")
