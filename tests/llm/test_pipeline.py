@@ -3,7 +3,7 @@ import public_tokenizers
 import sentencepiece
 from quern.llm import pii
 from test_native import brute_kept, brute_overlaps, brute_redact
-from test_simhash import brute_components
+from test_similar import brute_kept as brute_similar
 
 
 def test_pipeline_matches_brute_force(spark, sf_dir):
@@ -11,7 +11,7 @@ def test_pipeline_matches_brute_force(spark, sf_dir):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     kept = brute_kept([(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()])
     texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] in kept}
-    texts = {d: texts[d] for d, _, c in brute_components(sorted(texts.items()), n=5) if d == c}
+    texts = {d: texts[d] for d in brute_similar(sorted(texts.items()))}
     leaked = {o[0] for o in brute_overlaps(sorted(texts.items()), items)}
     texts = {d: t for d, t in texts.items() if d not in leaked}
     spans = {r["doc_id"]: [*r["base"], *r["added"]] for r in pii.detect(docs).collect()}
