@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("queries_simhash", "queries_files", "queries_pieces", "queries_html", "queries_quality", "queries_pii", "queries_decontaminate", "queries_chat", "queries_chains", "queries_urls", "queries_merkle")
+MODULES = ("queries_simhash", "queries_files", "queries_pieces", "queries_html", "queries_quality", "queries_pii", "queries_decontaminate", "queries_chat", "queries_chains", "queries_urls", "queries_merkle", "queries_divergence")
 
 
 def _gather(attribute: str) -> dict:
