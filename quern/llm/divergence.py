@@ -16,6 +16,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -26,10 +28,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm.workers import no_cycles
-from quern.workspace import discard, materialize
+from quern.workspace import materialize
 
 MIN_DOCS, PRIOR, SCALE, TERM_RANKS = 30, 5, 1_000_000_000, 50
-BLOCK_CHARS = 1 << 21
+BLOCK_CHARS = 1 << 23  # some 500 MB of automata at most
 HELD = 1 << 19
 TILE = 256
 
@@ -42,10 +44,12 @@ def padded_terms(text: str | None) -> bytes:
     return b" %s " % _BETWEEN.sub(b" ", (text or "").encode("utf-8", "surrogatepass").lower()).strip(b" ")
 
 
-def _flush(counts: dict[tuple, Counter], names: list[str]) -> pa.RecordBatch:
-    rows = [(*key, term, n) for key, terms in counts.items() for term, n in terms.items()]
-    columns = list(zip(*rows)) if rows else [()] * (len(names) + 2)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns[:-1]] + [pa.array(columns[-1], pa.int64())], names=[*names, "term", "n"])
+def _flush(counts: dict[tuple, dict], names: list[str], kind: pa.DataType) -> pa.RecordBatch:
+    """A row per key and counted thing."""
+    sizes = [len(found) for found in counts.values()]
+    columns = [pa.array([key[i] for key in counts], pa.string()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))) for i in range(len(names) - 2)]
+    things = pa.array([thing for found in counts.values() for thing in found], kind)
+    return pa.RecordBatch.from_arrays([*columns, things, pa.array([n for found in counts.values() for n in found.values()], pa.int64())], names=names)
 
 
 def document_frequencies(texts: DataFrame) -> DataFrame:
@@ -53,7 +57,7 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple, Counter] = {}
-        held = 0
+        held, names = 0, ["lang", "term", "n"]
         with no_cycles():
             for batch in batches:
                 for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -62,31 +66,27 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
                     found.update(set(padded_terms(text.as_py()).split()))
                     held += len(found)
                     if held > HELD:
-                        yield _flush({key: _decoded(terms) for key, terms in counts.items()}, ["lang"])
+                        yield _flush(counts, names, pa.binary())
                         counts, held = {}, 0
-            yield _flush({key: _decoded(terms) for key, terms in counts.items()}, ["lang"])
+            yield _flush(counts, names, pa.binary())
 
-    found = texts.select("lang", "text").mapInArrow(count, "lang string, term string, n long")
-    return found.groupBy("lang", "term").agg(F.sum("n").alias("n_docs"))
-
-
-def _decoded(terms: Counter) -> Counter:
-    return Counter({term.decode("utf-8", "surrogatepass"): n for term, n in terms.items()})
+    found = texts.select("lang", "text").mapInArrow(count, "lang string, term binary, n long")
+    return found.groupBy("lang", "term").agg(F.sum("n").alias("n_docs")).withColumn("term", F.decode("term", "UTF-8"))
 
 
 def vocabulary(texts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(lang, term) of the terms that at least min_docs documents of the language have, written down."""
-    return materialize(document_frequencies(texts).where(F.col("n_docs") >= min_docs).select("lang", "term"), "divergence-terms")
+    """(lang, term, id) of the terms that at least min_docs documents of the language have, written down; ids ascend with lang and term."""
+    kept = document_frequencies(texts).where(F.col("n_docs") >= min_docs).select("lang", "term")
+    return materialize(kept.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").withColumn("id", F.monotonically_increasing_id()), "divergence-terms")
 
 
-def _automata(terms: pd.DataFrame) -> dict[str, tuple[ahocorasick.Automaton, list[str]]]:
+def _automata(terms: pd.DataFrame) -> dict[str, ahocorasick.Automaton]:
     built = {}
     for lang, group in terms.groupby("lang"):
-        automaton, names = ahocorasick.Automaton(ahocorasick.STORE_INTS), group["term"].tolist()
-        for i, term in enumerate(names):
-            automaton.add_word(f" {term} ", i)
-        automaton.make_automaton()
-        built[lang] = (automaton, names)
+        built[lang] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for term, number in zip(group["term"], group["id"].tolist()):
+            built[lang].add_word(f" {term} ", number)
+        built[lang].make_automaton()
     return built
 
 
@@ -95,9 +95,9 @@ _BUILT: dict[int, dict] = {}
 
 
 def _count_block(texts: DataFrame, terms: pd.DataFrame) -> DataFrame:
-    """(lang, source, term, n) of the occurrences of one block of terms, as many rows as tasks found sums."""
+    """(lang, source, id, n) of the occurrences of one block of terms, as many rows as tasks found sums."""
     sent = texts.sparkSession.sparkContext.broadcast(terms)
-    number = sent._jbroadcast.id() if sent._jbroadcast is not None else id(sent)
+    number, second = sent._jbroadcast.id(), itemgetter(1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if number not in _BUILT:
@@ -105,11 +105,7 @@ def _count_block(texts: DataFrame, terms: pd.DataFrame) -> DataFrame:
             _BUILT[number] = _automata(sent.value)
         automata = _BUILT[number]
         counts: dict[tuple, Counter] = {}
-        held = 0
-
-        def named() -> dict[tuple, Counter]:
-            return {key: Counter({automata[key[0]][1][i]: n for i, n in found.items()}) for key, found in counts.items()}
-
+        held, names = 0, ["lang", "source", "id", "n"]
         with no_cycles():
             for batch in batches:
                 for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -117,34 +113,25 @@ def _count_block(texts: DataFrame, terms: pd.DataFrame) -> DataFrame:
                         continue
                     found = counts.setdefault((lang, source), Counter())
                     held -= len(found)
-                    found.update(i for _, i in automata[lang][0].iter(padded_terms(text.as_py()).decode("utf-8", "surrogatepass")))
+                    found.update(map(second, automata[lang].iter(padded_terms(text.as_py()).decode("utf-8", "surrogatepass"))))
                     held += len(found)
                     if held > HELD:
-                        yield _flush(named(), ["lang", "source"])
+                        yield _flush(counts, names, pa.int64())
                         counts, held = {}, 0
-            yield _flush(named(), ["lang", "source"])
+            yield _flush(counts, names, pa.int64())
 
-    return texts.select("lang", "source", "text").mapInArrow(count, "lang string, source string, term string, n long")
+    return texts.select("lang", "source", "text").mapInArrow(count, "lang string, source string, id long, n long")
 
 
 def occurrences(texts: DataFrame, terms: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(lang, source, term, n) with n > 0 of the terms (lang, term, written down), written down."""
+    """(lang, source, id, n) with n > 0 of the terms (lang, term, id, written down), written down."""
     chars = terms.agg(F.sum(F.length("term") + F.length("lang") + 2)).first()[0] or 0
     blocks = max(1, -(-chars * 5 // (4 * block_chars)))  # hashed blocks are not quite equal
     found = []
     for block in range(blocks):
         some = terms.where(F.pmod(F.xxhash64("lang", "term"), F.lit(blocks)) == block).toPandas()
-        found.append(materialize(_count_block(texts, some).groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "divergence-counts"))
-    return found[0] if blocks == 1 else _union_written(found)
-
-
-def _union_written(parts: list[DataFrame]) -> DataFrame:
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    written = materialize(whole, "divergence-counts")
-    discard(*parts)
-    return written
+        found.append(materialize(_count_block(texts, some).groupBy("lang", "source", "id").agg(F.sum("n").alias("n")), "divergence-counts"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def share(count: str, total: str, kept: str) -> Column:
@@ -169,14 +156,14 @@ def group_table(texts: DataFrame, terms: DataFrame, counts: DataFrame) -> DataFr
 
 
 def _tile_sums(postings: pa.Table, sources: pa.Table) -> pa.Table:
-    """Sums of |p - q| over the terms of some postings (sid, term, p) for all pairs of the tile's sources (v_sid, v_zero, v_side), both ways round."""
+    """Sums of |p - q| over the terms of some postings (sid, id, p) for all pairs of the tile's sources (v_sid, v_zero, v_side), both ways round."""
     sides, sids, zeros = (sources[c].to_numpy() for c in ("v_side", "v_sid", "v_zero"))
     order = np.lexsort((sids, sides))
     sides, sids, zeros = sides[order], sids[order], zeros[order]
     names = ["lang", "sid", "other", "part", "seen"]
     if not postings.num_rows or not len(sids):
         return pa.table([pa.array([], pa.string())] + [pa.array([], pa.int64())] * 4, names=names)
-    row = np.unique(postings["term"].to_numpy(), return_inverse=True)[1]
+    row = np.unique(postings["id"].to_numpy(), return_inverse=True)[1]
     ranked = np.argsort(sids, kind="stable")
     column = ranked[np.searchsorted(sids[ranked], postings["sid"].to_numpy())]
     shares = np.repeat(zeros[None, :].astype(np.int64), row.max() + 1, axis=0)
@@ -198,8 +185,8 @@ def pair_sums(counts: DataFrame, groups: DataFrame, tile: int = TILE) -> DataFra
     known = known.withColumn("salts", F.expr(f"(kept + {TILE} - 1) div {TILE}"))
     tiles = F.explode(F.expr("transform(sequence(0L, blocks - 1), o -> struct(least(block, o) as low, greatest(block, o) as high))"))
     dealt = known.withColumn("tile", tiles).select("lang", "source", "sid", "total", "kept", "zero", "salts", "tile.low", "tile.high", (F.col("block") > F.col("tile.low")).cast("int").alias("side"))
-    postings = counts.join(dealt, ["lang", "source"]).withColumn("p", share("n", "total", "kept")).withColumn("salt", F.pmod(F.xxhash64("term"), F.col("salts")))
-    postings = postings.select("lang", "low", "high", "salt", "sid", "term", "p")
+    postings = counts.join(dealt, ["lang", "source"]).withColumn("p", share("n", "total", "kept")).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")))
+    postings = postings.select("lang", "low", "high", "salt", "sid", "id", "p")
     vectors = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
     vectors = vectors.select(*[F.col(c).alias(f"v_{c}") for c in ("lang", "low", "high", "salt", "sid", "zero", "side")])
     key = ["lang", "low", "high", "salt"]
@@ -211,12 +198,13 @@ def pair_sums(counts: DataFrame, groups: DataFrame, tile: int = TILE) -> DataFra
     return pairs.select("lang", "source", "item", (F.coalesce("part", F.lit(0)) + rest).alias("value"))
 
 
-def term_gains(counts: DataFrame, groups: DataFrame) -> DataFrame:
-    """(lang, source, item, value): terms of a group with a larger share there than in the language, and by how much."""
-    overall = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
-    known = counts.join(groups, ["lang", "source"]).join(overall, ["lang", "term"])
-    gains = known.withColumn("value", share("n", "total", "kept") - share("lang_n", "lang_total", "kept"))
-    return gains.where("value > 0").select("lang", "source", F.col("term").alias("item"), "value")
+def term_gains(counts: DataFrame, groups: DataFrame, ranks: int) -> DataFrame:
+    """(lang, source, id, value, rank): terms of a group with a larger share there than in the language, and by how much, the first ``ranks`` of them."""
+    overall = counts.groupBy("lang", "id").agg(F.sum("n").alias("lang_n"))
+    known = counts.join(groups, ["lang", "source"]).join(overall, ["lang", "id"])
+    gains = known.withColumn("value", share("n", "total", "kept") - share("lang_n", "lang_total", "kept")).where("value > 0")
+    best = F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), "id"))
+    return gains.select("lang", "source", "id", "value").withColumn("rank", best).where(F.col("rank") <= ranks)
 
 
 def audit_sources(docs: DataFrame, min_docs: int = MIN_DOCS, term_ranks: int = TERM_RANKS, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", block_chars: int = BLOCK_CHARS, tile: int = TILE) -> DataFrame:
@@ -232,7 +220,7 @@ def audit_sources(docs: DataFrame, min_docs: int = MIN_DOCS, term_ranks: int = T
     terms = vocabulary(texts, min_docs)
     counts = occurrences(texts, terms, block_chars)
     groups = group_table(texts, terms, counts)
-    best = F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
-    pairs = pair_sums(counts, groups, tile).withColumn("rank", best).withColumn("part", F.lit("pair"))
-    gains = term_gains(counts, groups).withColumn("rank", best).where(F.col("rank") <= term_ranks).withColumn("part", F.lit("term"))
-    return pairs.unionByName(gains).select("lang", "source", "part", "item", "value", "rank")
+    farthest = F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
+    pairs = pair_sums(counts, groups, tile).withColumn("rank", farthest).withColumn("part", F.lit("pair"))
+    gains = term_gains(counts, groups, term_ranks).join(terms.select("id", F.col("term").alias("item")), "id").withColumn("part", F.lit("term"))
+    return pairs.unionByName(gains.drop("id")).select("lang", "source", "part", "item", "value", "rank")
