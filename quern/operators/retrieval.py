@@ -50,15 +50,34 @@ def lexical_index(docs: DataFrame, store_col: str = "source", doc_col: str = "do
 
     Texts are tokenized once; a null text has no terms. Document frequencies are counted before they are shuffled.
     """
+    rows = materialize(lexical_rows(docs, store_col, doc_col, text_col, tokenize), "lexical-rows")
+    terms = materialize(term_counts(rows), "lexical-terms")
+    return LexicalIndex(rows, materialize(lexical_stats(store_sizes(rows), terms), "lexical-stats"), terms)
+
+
+def lexical_rows(docs: DataFrame, store_col: str = "source", doc_col: str = "doc_id", text_col: str = "text", tokenize: Callable[[Column], Column] = bag) -> DataFrame:
+    """(store, doc, length, terms, tfs) of every document."""
     tokens = docs.select(F.col(store_col).alias("store"), F.col(doc_col).alias("doc"), F.sort_array(F.coalesce(tokenize(F.col(text_col)), F.array().cast("array<string>"))).alias("t"))
     starts = "IF(size(t) = 0, CAST(array() AS array<int>), filter(sequence(0, greatest(size(t) - 1, 0)), i -> i = 0 OR get(t, i) <> get(t, i - 1)))"
     placed = tokens.select("store", "doc", "t", F.expr(starts).alias("s"))
-    rows = placed.select("store", "doc", F.size("t").cast("long").alias("length"), F.expr("transform(s, i -> get(t, i))").alias("terms"), F.expr("transform(s, (p, k) -> coalesce(get(s, k + 1), size(t)) - p)").alias("tfs"))
-    rows = materialize(rows, "lexical-rows")
-    sizes = rows.groupBy("store").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
-    terms = materialize(rows.select("store", F.explode("terms").alias("term")).groupBy("store", "term").agg(F.count(F.lit(1)).alias("df")), "lexical-terms")
-    floors = terms.join(sizes, "store").groupBy("store").agg((FLOOR * F.avg(idf(F.col("n_docs"), F.col("df")))).alias("floor"))
-    return LexicalIndex(rows, materialize(sizes.join(floors, "store", "left"), "lexical-stats"), terms)
+    return placed.select("store", "doc", F.size("t").cast("long").alias("length"), F.expr("transform(s, i -> get(t, i))").alias("terms"), F.expr("transform(s, (p, k) -> coalesce(get(s, k + 1), size(t)) - p)").alias("tfs"))
+
+
+def term_counts(rows: DataFrame) -> DataFrame:
+    """(store, term, df)."""
+    return rows.select("store", F.explode("terms").alias("term")).groupBy("store", "term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def store_sizes(rows: DataFrame) -> DataFrame:
+    """(store, n_docs, total_length)."""
+    return rows.groupBy("store").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("length").alias("total_length"))
+
+
+def lexical_stats(sizes: DataFrame, terms: DataFrame) -> DataFrame:
+    """(store, n_docs, avg_length, floor)."""
+    sized = sizes.select("store", "n_docs", (F.col("total_length") / F.col("n_docs")).alias("avg_length"))
+    floors = terms.join(sized, "store").groupBy("store").agg((FLOOR * F.avg(idf(F.col("n_docs"), F.col("df")))).alias("floor"))
+    return sized.join(floors, "store", "left")
 
 
 def _weights(index: LexicalIndex, wanted: DataFrame) -> DataFrame:
