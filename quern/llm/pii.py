@@ -69,7 +69,7 @@ def _literal(pattern: str) -> str:
 
 
 def _spans(rows: DataFrame, kinds: tuple[str, ...], text: str, passed: list[str]) -> DataFrame:
-    """passed, and for each kind an array of (kind, start, end, match, before): all matches of its pattern, in order."""
+    """passed, and for each kind k an array __k_k of (kind, start, end, match, before): all matches of its pattern, in order."""
     conditions = {k: PATTERNS[k][1].format(t=text) for k in kinds}
     rows = rows.select(*passed, *(F.expr(f"IF({conditions[k]}, regexp_extract_all({text}, {_literal(PATTERNS[k][0])}, 0), CAST(array() AS array<string>))").alias(f"__m_{k}") for k in kinds))
     have = [f"__m_{k}" for k in kinds]
@@ -81,19 +81,26 @@ def _spans(rows: DataFrame, kinds: tuple[str, ...], text: str, passed: list[str]
     rows = rows.select(*passed, *have, *(F.expr(blocks.format(k=k, b=BLOCK)).alias(f"__b_{k}") for k in kinds))
     end = f"get(__b_{{k}}, CAST(i div {BLOCK} AS int)) + aggregate(slice(__s_{{k}}, CAST(i div {BLOCK} AS int) * {BLOCK} + 1, i % {BLOCK} + 1), 0L, (a, x) -> a + x)"
     span = f"transform(__m_{{k}}, (m, i) -> named_struct('kind', '{{k}}', 'start', {end} - length(m), 'end', {end}, 'match', m, 'before', right(get(__p_{{k}}, i), 24)))"
-    return rows.select(*passed, *(F.expr(span.format(k=k)).alias(k) for k in kinds))
+    return rows.select(*passed, *(F.expr(span.format(k=k)).alias(f"__k_{k}") for k in kinds))
 
 
 def candidates(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """keep, base (array of checked spans) and extra (array of candidates with their features as field ``f``, an array of int)."""
-    rows = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    rows = _spans(rows, (*BASE, *EXTRA), "__text", [*keep, "__text"])
-    checked = ", ".join(f"filter({k}, s -> {CHECKS[k]})" for k in BASE)
-    rows = rows.select(*keep, "__text", F.expr(f"concat({checked})").alias("base"), F.expr(f"concat({', '.join(EXTRA)})").alias("__extra"))
+    """keep, __text, base (array of checked spans) and extra (array of candidates with their features as field ``f``, an array of int).
+
+    What is kept travels in one struct, so its columns may have any names but those three.
+    """
+    taken = {"__text", "base", "extra", "added"} & set(keep)
+    if taken:
+        raise ValueError(f"names of the result: {sorted(taken)}")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__keep"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    rows = _spans(rows, (*BASE, *EXTRA), "__text", ["__keep", "__text"])
+    checked = ", ".join(f"filter(__k_{k}, s -> {CHECKS[k]})" for k in BASE)
+    rows = rows.select("__keep", "__text", F.expr(f"concat({checked})").alias("base"), F.expr(f"concat({', '.join(f'__k_{k}' for k in EXTRA)})").alias("__extra"))
     values = ", ".join(f"CAST({f} AS int)" for f in FEATURES.values())
     free = "filter(__extra, c -> NOT exists(base, s -> s.start <= c.start AND c.end <= s.end))"
-    rows = rows.select(*keep, "__text", "base", F.expr(free).alias("__extra"))
-    return rows.select(*keep, "__text", "base", F.expr(f"transform(__extra, c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end, 'f', array({values})))").alias("extra"))
+    rows = rows.select("__keep", "__text", "base", F.expr(free).alias("__extra"))
+    featured = F.expr(f"transform(__extra, c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end, 'f', array({values})))").alias("extra")
+    return rows.select(*[F.col(f"__keep.`{c}`").alias(c) for c in keep], "__text", "base", featured)
 
 
 def score_sql(trees: list[tuple], features: str) -> str:
@@ -118,7 +125,7 @@ def detect(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
     rows = candidates(docs, text_col, keep)
     chosen = " OR ".join(f"(c.kind = '{k}' AND {score_sql(TREES[k], 'c.f')} > {THRESHOLDS[k]})" for k in EXTRA)
     plain = "named_struct('kind', s.kind, 'start', s.start, 'end', s.end)"
-    return rows.select(*keep, "__text", F.expr(f"transform(base, s -> {plain})").alias("base"), F.expr(f"transform(filter(extra, c -> {chosen}), s -> {plain})").alias("added"))
+    return rows.select(*[F.col(f"`{c}`") for c in keep], "__text", F.expr(f"transform(base, s -> {plain})").alias("base"), F.expr(f"transform(filter(extra, c -> {chosen}), s -> {plain})").alias("added"))
 
 
 def listed(spans: str) -> str:
@@ -127,16 +134,19 @@ def listed(spans: str) -> str:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with every span of text_col replaced by its kind in brackets, spans that touch the same characters by the first of them. Null texts stay null."""
-    columns = docs.columns
-    rows = detect(docs.withColumn("__null", F.col(text_col).isNull()), text_col, [*columns, "__null"])
-    rows = rows.select(*columns, "__null", "__text", F.expr("array_sort(transform(concat(base, added), s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind)))").alias("__all"))
-    ends = F.expr("transform(__all, s -> s.end)")
-    rows = rows.select(*columns, "__null", "__text", "__all", ends.alias("__ends"))
+    """docs with every span of text_col replaced by its kind in brackets, spans that touch the same characters by the first of them.
+
+    Null texts stay null, and all other columns, whatever their names, stay as they are; every row is judged by itself.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    packed = docs.select(F.struct(F.col(f"`{text_col}`").isNull().alias("null"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("__row"), F.col(f"`{text_col}`").alias("__source"))
+    rows = detect(packed, "__source", ["__row"])
+    rows = rows.select("__row", "__text", F.expr("array_sort(transform(concat(base, added), s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind)))").alias("__all"))
+    rows = rows.select("__row", "__text", "__all", F.expr("transform(__all, s -> s.end)").alias("__ends"))
     blocks = f"transform(sequence(0, CAST(size(__ends) div {BLOCK} AS int)), b -> coalesce(array_max(slice(__ends, 1, b * {BLOCK})), 0L))"
-    rows = rows.select(*columns, "__null", "__text", "__all", "__ends", F.expr(blocks).alias("__tops"))
+    rows = rows.select("__row", "__text", "__all", "__ends", F.expr(blocks).alias("__tops"))
     upto = f"transform(__all, (s, i) -> greatest(get(__tops, CAST(i div {BLOCK} AS int)), coalesce(array_max(slice(__ends, CAST(i div {BLOCK} AS int) * {BLOCK} + 1, i % {BLOCK})), 0L)))"
-    rows = rows.select(*columns, "__null", "__text", "__all", "__ends", F.expr(upto).alias("__upto"))
+    rows = rows.select("__row", "__text", "__all", "__ends", F.expr(upto).alias("__upto"))
     parts = "transform(__all, (s, i) -> IF(s.start >= get(__upto, i), concat(substring(__text, CAST(get(__upto, i) + 1 AS int), CAST(s.start - get(__upto, i) AS int)), '[', upper(s.kind), ']'), ''))"
-    done = f"IF(__null, NULL, IF(size(__all) = 0, __text, concat(array_join({parts}, ''), substring(__text, CAST(array_max(__ends) + 1 AS int)))))"
-    return rows.select(*(F.expr(done).alias(c) if c == text_col else F.col(c) for c in columns))
+    done = F.expr(f"IF(__row.null, NULL, IF(size(__all) = 0, __text, concat(array_join({parts}, ''), substring(__text, CAST(array_max(__ends) + 1 AS int)))))")
+    return rows.select(*(done.alias(c) if c == text_col else F.col(f"__row.c{others.index(c)}").alias(c) for c in docs.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.decontaminate import MASKS, MIN_SHARE, SPAN, item_members, overlaps, short_masks
+from quern.llm.decontaminate import MIN_SHARE, SLIP, SPAN, item_members, overlaps, share_of
 from quern.session import table
 
 
@@ -17,25 +17,18 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.unionByName(copies, allowMissingColumns=True).select("doc_id", "item_id", "class_id", "n_item", "n_covered")
 
 
-def _keys(cells: str, masks: list[str]) -> str:
-    """SQL for a list with one (mask number, selected words) per mask."""
-    return "[" + ", ".join(f"{{'m': {m}, 'k': [" + ", ".join(f"{cells}[{i + 1}]" for i, bit in enumerate(mask) if bit == "1") + "]}" for m, mask in enumerate(masks)) + "]"
-
-
-#: Windows of every length that items have, SPAN at most.
-_BY_LENGTH = " ".join(f"WHEN {n} THEN {_keys('c', list(MASKS) if n == SPAN else short_masks(n))}" for n in range(1, SPAN + 1))
+_NEED = " ".join(f"WHEN {n} THEN {share_of(n)}" for n in range(1, SPAN))
 
 ORACLE = rf"""
-WITH words AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
-split AS (SELECT side, id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM words),
+WITH words AS (SELECT 'd' AS side, row_number() OVER () AS row, doc_id AS id, text FROM documents UNION ALL SELECT 'b', 0, item_id, text FROM benchmark),
+split AS (SELECT side, row, id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM words),
 members AS (SELECT id AS item_id, min(id) OVER (PARTITION BY w) AS class_id, w FROM split WHERE side = 'b' AND len(w) > 0),
-lengths AS (SELECT DISTINCT least(len(w), {SPAN}) AS span FROM members),
-classes AS (SELECT side, id, w, span FROM split CROSS JOIN lengths WHERE side = 'd' UNION ALL SELECT DISTINCT 'b', class_id, w, least(len(w), {SPAN}) FROM members),
-windows AS (SELECT side, id, len(w) AS n, span, i, w[i:i + span - 1] AS c FROM (SELECT *, unnest(range(1, len(w) - span + 2)) AS i FROM classes WHERE len(w) >= span)),
-keyed AS (SELECT side, id, n, span, i, c, unnest(CASE span {_BY_LENGTH} END) AS key FROM windows),
-hits AS (SELECT DISTINCT d.id AS doc_id, b.id AS item_id, b.n AS n_item, b.i, d.c AS dc, b.c AS bc FROM keyed d JOIN keyed b ON d.key = b.key AND d.span = b.span WHERE d.side = 'd' AND b.side = 'b'),
-covered AS (SELECT doc_id, item_id, n_item, i + k AS spot FROM (SELECT *, unnest(range(1, len(bc) + 1)) AS k FROM hits) WHERE dc[k] = bc[k])
-SELECT doc_id, item_id, item_id AS class_id, n_item::BIGINT AS n_item, count(DISTINCT spot)::BIGINT AS n_covered FROM covered GROUP BY doc_id, item_id, n_item HAVING count(DISTINCT spot) >= {MIN_SHARE} * n_item
+items AS (SELECT class_id AS item_id, len(w) AS n, CASE len(w) {_NEED} ELSE {share_of(SPAN)} END AS need, unnest(w) AS word, unnest(range(len(w))) AS k FROM (SELECT DISTINCT class_id, w FROM members)),
+places AS (SELECT row, id AS doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM split WHERE side = 'd'),
+same AS (SELECT row, doc_id, item_id, n, need, k, p - k AS place FROM places JOIN items USING (word)),
+dense AS (SELECT DISTINCT row, doc_id, item_id, n, place FROM (SELECT *, count(*) OVER (PARTITION BY row, item_id, place ORDER BY k RANGE BETWEEN CURRENT ROW AND {SPAN - 1} FOLLOWING) AS near FROM same) WHERE near >= need),
+covered AS (SELECT d.doc_id, d.item_id, d.n, count(DISTINCT s.k) AS c FROM dense d JOIN same s ON s.row = d.row AND s.item_id = d.item_id AND s.place BETWEEN d.place - {SLIP} AND d.place + {SLIP} GROUP BY d.row, d.doc_id, d.item_id, d.n, d.place)
+SELECT doc_id, item_id, item_id AS class_id, n::BIGINT AS n_item, max(c)::BIGINT AS n_covered FROM covered GROUP BY doc_id, item_id, n HAVING max(c) >= {MIN_SHARE} * n
 UNION ALL SELECT NULL, item_id, class_id, NULL, NULL FROM members WHERE item_id IS NULL OR item_id <> class_id
 """
 

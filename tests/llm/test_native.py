@@ -3,6 +3,7 @@ import random
 import re
 import unicodedata
 from collections import Counter
+from itertools import combinations
 
 import pytest
 import regex
@@ -126,28 +127,25 @@ def tokens(text):
 
 
 def brute_overlaps(docs, items):
-    """Windows of documents against windows of items, those that agree at a mask's positions being looked up."""
-    span, out, classes, whole, windows = decontaminate.SPAN, set(), {}, {}, {}
+    """Every item laid beside every text at every place: where as many words of a stretch agree as the share asks for, those that stand there or SLIP beside count."""
+    span, slip, share = decontaminate.SPAN, decontaminate.SLIP, decontaminate.share_of
+    classes, out = {}, {}
     for i, t in items:
         if tokens(t):
             classes.setdefault(tuple(tokens(t)), []).append(i)
-    picked = lambda w, i, m: (m, *(w[i + k] for k in range(len(m)) if m[k] == "1"))
-    for item in classes:
-        n = min(span, len(item))
-        masks = decontaminate.MASKS if n == span else decontaminate.short_masks(n)
-        whole.setdefault(n, masks)
-        for j in range(len(item) - n + 1):
-            for m in masks:
-                windows.setdefault(picked(item, j, m), []).append((item, j))
     for doc, text in docs:
-        w, covered = tokens(text), {}
-        for n, masks in whole.items():
-            for i in range(len(w) - n + 1):
-                for m in masks:
-                    for item, j in windows.get(picked(w, i, m), ()):
-                        covered.setdefault(item, set()).update(j + k for k in range(n) if w[i + k] == item[j + k])
-        out |= {(doc, min(classes[item]), len(item), len(c)) for item, c in covered.items() if len(c) >= decontaminate.MIN_SHARE * len(item)}
-    return out
+        w = tokens(text)
+        at = lambda p: w[p] if 0 <= p < len(w) else None
+        for item, ids in classes.items():
+            n, need = len(item), share(min(len(item), span))
+            for d in range(-n, len(w)):
+                agree = [at(d + k) == item[k] for k in range(n)]
+                if any(agree[k] and sum(agree[k : k + span]) >= need for k in range(n)):
+                    c = sum(any(at(d + k + j) == item[k] for j in range(-slip, slip + 1)) for k in range(n))
+                    if c >= decontaminate.MIN_SHARE * n:
+                        key = doc, min(ids), n
+                        out[key] = max(c, out.get(key, 0))
+    return {(*key, c) for key, c in out.items()}
 
 
 def test_overlaps_match_brute_force(spark):
@@ -189,19 +187,45 @@ def test_large_benchmarks_are_not_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, decontaminate.item_members(few).collect())) == [(1, 1), (2, 2), (3, 1), (4, 4)]
 
 
-@pytest.mark.parametrize("n", range(1, 12))
-def test_short_items_with_a_word_replaced(spark, n):
-    masks = decontaminate.short_masks(n)
-    assert all(m.count("1") >= decontaminate.MIN_SHARE * n for m in masks)
-    assert n < 3 or all(any(m[i] == "0" for m in masks) for i in range(n))  # any one word may differ
+@pytest.mark.parametrize("share", [0.6, 0.8])
+def test_masks_miss_nothing(share):
+    """All ways to keep a share of up to fourteen words: some mask finds words that were kept. Longer items: see the module."""
+    for n in range(1, 15):
+        masks = decontaminate.masks_for(n, share)
+        for kept in combinations(range(n), decontaminate.share_of(n, share)):
+            there = set(kept)
+            assert any(at + mask[-1] < n and all(at + k in there for k in mask) for at in range(n) for mask in masks)
 
 
-def test_documents_that_hold_short_items_nearly(spark):
-    item = [f"w{i}" for i in range(8)]
-    texts = [" ".join(["x", *item[:i], "other", *item[i + 1 :], "y"]) for i in range(8)] + ["w0 a w2 b w4 c w6 d"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
-    assert sorted(map(tuple, decontaminate.overlaps(docs, bench).collect())) == [(i, 1, 8, 7) for i in range(8)]
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 8, 11, 12, 13, 20, 25, 40, 60])
+def test_substitutions_are_found(spark, n):
+    """Words replaced at random up to what the share allows, at the ends as well: all of these documents hold the item."""
+    pick, item = random.Random(n), [f"w{i}" for i in range(n)]
+    most = n - decontaminate.share_of(n)
+    texts = []
+    for i in range(60):
+        gone = {0, n - 1} if i < 10 and most > 1 else {i % n} if i < 30 and most else set(pick.sample(range(n), pick.randint(0, most)))
+        texts.append((i, len(gone), " ".join(["x", *(f"o{k}" if k in gone else w for k, w in enumerate(item)), "y"])))
+    docs = spark.createDataFrame([(i, t) for i, _, t in texts], "doc_id long, text string")
+    found = {r["doc_id"]: r["n_covered"] for r in decontaminate.overlaps(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert found == {i: n - gone for i, gone, _ in texts}
+
+
+def test_words_put_in_and_left_out(spark):
+    item = [f"w{i}" for i in range(20)]
+    texts = [item[:9] + ["new"] + item[9:], item[:9] + item[10:], item[:6] + ["new", "new"] + item[6:14] + ["more"] + item[14:], item[:12], item[:11]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = decontaminate.overlaps(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_covered"] for r in found} == {0: 20, 1: 19, 2: 20, 3: 12}
+
+
+def test_rows_without_ids_and_repeated_rows(spark):
+    """Rows without an id are one document, each looked at by its own text; columns that clash with the operator's own are left alone."""
+    rows = [(None, "a b c d e f g", 1, "k"), (None, "g f e d c b a", 2, "k"), (None, None, 3, "k"), (4, "a b c d e f g", 4, "k"), (4, "a b c d e f g", 4, "k"), (4, "other", 5, "k"), (5, "other", 6, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hash int, key string")
+    bench = spark.createDataFrame([(1, "A, b c d; e f g!", 0), (2, "a b c d e f g", 0), (3, None, 0)], "item_id long, text string, n_item int")
+    assert sorted(map(tuple, decontaminate.overlaps(docs, bench).collect()), key=str) == [(4, 1, 7, 7), (None, 1, 7, 7)]
+    assert [tuple(r) for r in decontaminate.drop_contaminated(docs, bench).collect()] == [(5, "other", 6, "k")]
 
 
 def test_no_benchmark(spark):
