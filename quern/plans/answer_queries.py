@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import models
-from quern.functions import judging, metrics
+from quern.functions import judging, matching, metrics
 from quern.functions.vectors import argmax, softmax
 from quern.operators import filters, records, routing, statistics
 from quern.session import table
@@ -34,6 +34,14 @@ def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(metrics.rouge_l(F.col("reference"), F.col("generated")), 6).alias("rougeL"))
 
 
+def token_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-matching F1 of pairs, tokens weighted by how few references have them."""
+    pairs = _pairs(spark, sf_dir).select(F.struct("conv_id", "turn").alias("at"), "reference", "generated")
+    weights, unseen = matching.inverse_frequencies(pairs, "reference")
+    scored = matching.token_match(pairs, "at", "reference", "generated", weights=weights, unseen=unseen)
+    return scored.select("at.conv_id", "at.turn", F.round("f1", 6).alias("f1"))
+
+
 def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _pairs(spark, sf_dir).select(metrics.exact_match(F.col("reference"), F.col("generated")).alias("em"), metrics.rouge1(F.col("reference"), F.col("generated")).alias("rouge1"))
     return statistics.summarize(scored, ["em", "rouge1"]).select("metric", F.round("average", 6).alias("average"), F.round("std", 6).alias("std"))
@@ -146,7 +154,7 @@ def iterative_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.iterate(questions, lambda d: d.withColumn("generated", F.reverse("asked")), lambda d: d.withColumn("critique", critique)).select("qid", "rounds", "asked", "generated")
 
 
-QUERIES = {f.__name__: f for f in (exact_match, rouge1, rouge_l, metric_summary, metric_driver, nli_select, nli_reject, nli_final_intersect, nli_three_way, nli_ratio, qa_merge_ids, qa_group_number, pair_hash, mcq_format, qa_generate, json_defaults, useful_flags, gate_route, token_gate, iterative_answers)}
+QUERIES = {f.__name__: f for f in (exact_match, rouge1, rouge_l, token_match, metric_summary, metric_driver, nli_select, nli_reject, nli_final_intersect, nli_three_way, nli_ratio, qa_merge_ids, qa_group_number, pair_hash, mcq_format, qa_generate, json_defaults, useful_flags, gate_route, token_gate, iterative_answers)}
 
 _PAIRS = """pairs AS (SELECT a.conv_id, a.turn, a.text AS r, b.text AS g FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')"""
 _ROUGE = rf"""{_PAIRS}, numbered AS (SELECT *, row_number() OVER () AS id FROM pairs),
@@ -158,9 +166,24 @@ _ROUGE = rf"""{_PAIRS}, numbered AS (SELECT *, row_number() OVER () AS id FROM p
 _SCORED = """s AS (SELECT doc_id, 'c' || (doc_id % 50) AS chunk_name, CASE WHEN doc_id % 11 > 0 THEN 'q' || doc_id END AS question, quality::VARCHAR AS answer,
     ((doc_id * 7919) % 20011) / 20011.0::DOUBLE AS se, ((doc_id * 104729) % 20011) / 20011.0::DOUBLE AS sn, ((doc_id * 1299709) % 20011) / 20011.0::DOUBLE AS sc FROM labels)"""
 
+_TOKEN_MATCH = rf"""WITH {_PAIRS}, clipped AS (SELECT row_number() OVER () AS id, conv_id, turn, substr(regexp_replace(r, '^\s+|\s+$', '', 'g'), 1, 3000) AS r, substr(regexp_replace(g, '^\s+|\s+$', '', 'g'), 1, 3000) AS g FROM pairs),
+    sides AS (SELECT id, 'r' AS side, r AS text FROM clipped UNION ALL SELECT id, 'g', g FROM clipped),
+    tokens AS (SELECT id, side, unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '')) AS token FROM sides),
+    idf AS (SELECT token, ln(((SELECT count(*) FROM clipped) + 1) / (count(DISTINCT id) + 1.0)) AS idf FROM tokens WHERE side = 'r' GROUP BY token),
+    counted AS (SELECT id, side, token, count(*) AS n, coalesce(max(idf), ln((SELECT count(*) FROM clipped) + 1.0)) AS w FROM tokens LEFT JOIN idf USING (token) GROUP BY id, side, token),
+    vectors AS (SELECT token, list_transform(range(16), lambda i: len(list_filter(string_split(token, ''), lambda c: unicode(c) % 16 = i))::DOUBLE) AS v FROM (SELECT DISTINCT token FROM tokens)),
+    units AS (SELECT token, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM vectors),
+    placed AS (SELECT counted.*, u FROM counted JOIN units USING (token)),
+    best AS (SELECT a.id, a.side, a.token, a.n * a.w AS w, max(list_dot_product(a.u, b.u)) AS m FROM placed a JOIN placed b ON a.id = b.id AND a.side <> b.side GROUP BY a.id, a.side, a.token, a.n, a.w),
+    scores AS (SELECT id, sum(CASE WHEN side = 'g' THEN w * m END) / sum(CASE WHEN side = 'g' THEN w END) AS p, sum(CASE WHEN side = 'r' THEN w * m END) / sum(CASE WHEN side = 'r' THEN w END) AS r FROM best GROUP BY id),
+    sizes AS (SELECT id, count(*) FILTER (side = 'r') AS nr, count(*) FILTER (side = 'g') AS ng FROM tokens GROUP BY id)
+    SELECT conv_id, turn, round(CASE WHEN coalesce(nr, 0) = 0 AND coalesce(ng, 0) = 0 THEN 1 WHEN coalesce(nr, 0) = 0 OR coalesce(ng, 0) = 0 THEN 0 ELSE 2 * s.p * s.r / (s.p + s.r) END, 6)::DOUBLE AS f1
+    FROM clipped c LEFT JOIN sizes USING (id) LEFT JOIN scores s USING (id)"""
+
 ORACLES = {
     "exact_match": r"""SELECT conv_id, turn, (replace(trim(text, chr(10) || chr(9) || ' '), ' ', '') = replace(trim(CASE WHEN turn % 2 = 0 THEN ' ' || replace(text, ' ', '  ') || chr(10) ELSE role END, chr(10) || chr(9) || ' '), ' ', ''))::INT::DOUBLE AS em FROM conversations""",
     "rouge1": f"WITH {_ROUGE} SELECT conv_id, turn, round(rouge1, 6) AS rouge1 FROM scored",
+    "token_match": _TOKEN_MATCH,
     "metric_summary": f"""WITH {_ROUGE}, v AS (SELECT (replace(trim(r), ' ', '') = replace(trim(g), ' ', ''))::INT::DOUBLE AS em, rouge1 FROM scored)
         SELECT 'em' AS metric, round(avg(em), 6) AS average, round(stddev_samp(em), 6) AS std FROM v UNION ALL SELECT 'rouge1', round(avg(rouge1), 6), round(stddev_samp(rouge1), 6) FROM v""",
     "nli_select": f"WITH {_SCORED} SELECT doc_id, round(se, 6) AS score FROM s WHERE round(se, 4) >= 0.6",

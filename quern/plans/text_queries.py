@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as t
-from quern.operators import chunking, filters, records
+from quern.functions.table_functions import register_chunkers
+from quern.operators import chunking, cohesion, filters, records
 from quern.session import spread, table
 from quern.sources import scans, sinks
 from quern.workspace import fresh_path
@@ -40,10 +41,22 @@ def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.groupBy("label", "chunk_no").agg(F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id"), F.count(F.lit(1)).alias("n"))
 
 
+def chunk_cohesive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of each document in the cheapest cut by their words."""
+    return cohesion.cohesive_chunks(_docs(spark, sf_dir))
+
+
+def chunk_words_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunk_fixed through a table function in SQL."""
+    register_chunkers(spark)
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    return spark.sql("SELECT * FROM chunk_words(TABLE({docs}), 'text', 64, 50)", docs=docs)
+
+
 def page_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a source as its pages, without a model: one chunk each; of sources of any size, so only spans are formed."""
+    """Eight documents of a source after the other as the pages of one: cut where their words change, three pages at least."""
     pages = _docs(spark, sf_dir).select(F.concat_ws("/", "source", F.expr("doc_id div 8").cast("string")).alias("doc"), "doc_id", "text")
-    merged = chunking.merge_pages(pages, "doc", "doc_id", "text", is_boundary=lambda tail, page: len(page) > len(tail))
+    merged = cohesion.cohesive_pages(pages, "doc", "doc_id", "text")
     return merged.select("doc", "pos", "start_idx", "end_idx", F.length("chunk").alias("n_chars"))
 
 
@@ -102,7 +115,7 @@ def prose_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rel_path", "stem", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_fixed, chunk_sentences, chunk_lumber_cap, chunk_recursive, chunk_semantic, page_merge, html_to_text, header_trim, header_trim_counts, useful_filter, drop_blank, natural_sort_pages, sanitize_store, path_parts, doc_lines, prose_layout)}
+QUERIES = {f.__name__: f for f in (chunk_fixed, chunk_sentences, chunk_lumber_cap, chunk_recursive, chunk_semantic, chunk_cohesive, chunk_words_sql, page_merge, html_to_text, header_trim, header_trim_counts, useful_filter, drop_blank, natural_sort_pages, sanitize_store, path_parts, doc_lines, prose_layout)}
 
 _HEADER_LIST = "[" + ", ".join(f"'{h}'" for h in HEADERS) + "]"
 _TRIM_SQL = f"""SELECT doc_id, CASE WHEN spot IS NOT NULL THEN array_to_string(l[spot:], chr(10)) END AS trimmed
@@ -110,11 +123,14 @@ _TRIM_SQL = f"""SELECT doc_id, CASE WHEN spot IS NOT NULL THEN array_to_string(l
 _SENTENCES_SQL = r"list_filter(string_split(regexp_replace(text, '([.!?。])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')"
 _COSINE = "list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[])) * sqrt(list_dot_product({b}::DOUBLE[], {b}::DOUBLE[])))"
 
+_FIXED_SQL = f"""WITH w AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents), k AS (SELECT *, CASE WHEN len(w) <= 64 THEN 1 ELSE ceil((len(w) - 64) / 14.0)::INT + 1 END AS k FROM w WHERE len(w) > 0)
+        SELECT doc_id, i::INT AS pos, array_to_string(w[i * 14 + 1:i * 14 + 64], ' ') AS chunk FROM (SELECT doc_id, w, unnest(range(k)) AS i FROM k)"""
+
 ORACLES = {
+    "chunk_words_sql": _FIXED_SQL,
     "prose_layout": """SELECT lang || '/' || source || '/doc_' || lpad(doc_id::VARCHAR, 6, '0') || '_prose.md' AS rel_path, 'doc_' || lpad(doc_id::VARCHAR, 6, '0') || '_prose' AS stem, sha256(trim(text, ' ')) AS sha
         FROM documents WHERE regexp_matches(text, '[^\\s]')""",
-    "chunk_fixed": f"""WITH w AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents), k AS (SELECT *, CASE WHEN len(w) <= 64 THEN 1 ELSE ceil((len(w) - 64) / 14.0)::INT + 1 END AS k FROM w WHERE len(w) > 0)
-        SELECT doc_id, i::INT AS pos, array_to_string(w[i * 14 + 1:i * 14 + 64], ' ') AS chunk FROM (SELECT doc_id, w, unnest(range(k)) AS i FROM k)""",
+    "chunk_fixed": _FIXED_SQL,
     "chunk_sentences": f"SELECT doc_id, (i - 1)::INT AS pos, trim(s[i]) AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {_SENTENCES_SQL} AS s FROM documents))",
     "chunk_lumber_cap": rf"""WITH RECURSIVE p AS (SELECT doc_id, i, trim(l[i]) AS t, len(list_filter(string_split_regex(l[i], '\s+'), lambda x: x <> '')) AS w
             FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents))),

@@ -50,7 +50,6 @@ def test_semantic_groups(spark):
     assert [found["d", i] for i in range(12)] == [0] * 6 + [1] * 6 and found["one", 0] == 0 and {found["z", i] for i in range(3)} == {0}
     text = chunking.semantic(spark.createDataFrame([(*r, f"s{r[1]}") for r in rows], "doc string, i int, v array<double>, t string"), "doc", "i", "t", "v")
     assert {r["chunk"] for r in text.where("doc = 'd'").collect()} == {"s0 s1 s2 s3 s4 s5", "s6 s7 s8 s9 s10 s11"}
-    assert chunking.numpy_percentile([1, 2, 3, 4], 0.9) == float(np.percentile([1, 2, 3, 4], 90))
 
 
 def test_page_merge_and_failures(spark):
