@@ -19,9 +19,8 @@ WHITE = r"[\x20\x09-\x0D]+"
 WHITE_CHARS = " \t\n\x0b\f\r"
 SYMBOLS = r"[#*$%&|<>]"
 MARKS = r"[\p{P}\p{S}]"
-# How many interquartile ranges a fence lies above the third quartile: for each measure the smallest number that turned down no good document with an odd id
-# among the labelled ones of sf0.1 (those with even ids are held out).
-SPREADS = {"marks": 4, "repeats": 7, "lines": 3, "word_length": 6}
+#: How many interquartile ranges a fence lies above the third quartile: what fit_spreads() gives for labelled documents of sf0.1 with odd ids (those with even ids are held out).
+SPREADS = {"marks": 4, "word_length": 6}
 PRIOR = 100
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -61,9 +60,12 @@ def base_counts(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
 
 
 def measures() -> dict[str, Column]:
-    """Integer measures from the columns of base_counts(): marks in a thousand characters, repeated words in a thousand, repeated lines on ten thousand words, and hundredths of characters a word."""
+    """Integer measures from the columns of base_counts(): marks in a thousand characters, and hundredths of characters a word.
+
+    Repeated words and lines have no fence: what the base rule leaves of them no group's fence turned down.
+    """
     share = lambda times, part, whole: F.expr(f"({times} * {part}) div greatest({whole}, 1L)")
-    return {"marks": share(1000, "n_marks", "n_text"), "repeats": share(1000, "n_repeat_words", "n_words"), "lines": share(10000, "n_dup_lines", "n_words"), "word_length": share(100, "word_chars", "n_words")}
+    return {"marks": share(1000, "n_marks", "n_text"), "word_length": share(100, "word_chars", "n_words")}
 
 
 def base_failed() -> Column:
@@ -115,6 +117,22 @@ def thresholds(counted: DataFrame, spreads: dict[str, int] = SPREADS, prior: int
     return joined.groupBy(*GROUP_COLUMNS).agg(*(F.max(F.when(F.col("measure") == name, F.col("chosen"))).alias(f"fence_{name}") for name in spreads))
 
 
+def fit_spreads(docs: DataFrame, labels: DataFrame, most: int = 64) -> dict[str, int]:
+    """For each measure the smallest whole spread whose fences turn down no document of labels (doc_id, quality) with quality 1 that passes the base rule."""
+    counted = materialize(base_counts(docs), "quality-counts")
+    good = counted.where(~base_failed()).join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id")
+    good = materialize(good.withColumns({c: F.coalesce(c, F.lit("")) for c in GROUP_COLUMNS}), "quality-good")
+    found: dict[str, int] = {}
+    for spread in range(most + 1):
+        open_ = [name for name in measures() if name not in found]
+        if not open_:
+            break
+        bounds = good.join(thresholds(counted, {name: spread for name in open_}), list(GROUP_COLUMNS), "left")
+        beyond = bounds.agg(*(F.count_if(measures()[name] > F.col(f"fence_{name}")).alias(name) for name in open_)).first()
+        found |= {name: spread for name in open_ if not beyond[name]}
+    return found
+
+
 def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source"), spreads: dict[str, int] = SPREADS, prior: int = PRIOR) -> DataFrame:
     """keep, the counts of base_counts(), base_failed, failed (names of measures beyond their fences) and kept, for every row of docs.
 

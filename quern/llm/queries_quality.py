@@ -19,11 +19,11 @@ counted AS (
         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(regexp_extract_all(t, '[\p{P}\p{S}]'))::BIGINT AS n_marks, length(t)::BIGINT AS n_text
     FROM split LEFT JOIN covered USING (rid)),
-measured AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, (1000 * n_marks) // greatest(n_text, 1) AS marks, (1000 * n_repeat_words) // greatest(n_words, 1) AS repeats,
-        (10000 * n_dup_lines) // greatest(n_words, 1) AS lines, (100 * word_chars) // greatest(n_words, 1) AS word_length FROM counted),
+measured AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, (1000 * n_marks) // greatest(n_text, 1) AS marks,
+        (100 * word_chars) // greatest(n_words, 1) AS word_length FROM counted),
 listed AS (SELECT lang, source, measure, (value >> greatest(length(bin(value)) - 6, 0)) << greatest(length(bin(value)) - 6, 0) AS bucket
-    FROM (SELECT * FROM measured WHERE NOT base_failed) UNPIVOT (value FOR measure IN (marks, repeats, lines, word_length)) WHERE value > 0),
-spreads AS (SELECT * FROM (VALUES ('marks', 4), ('repeats', 7), ('lines', 3), ('word_length', 6)) AS v(measure, spread)),
+    FROM (SELECT * FROM measured WHERE NOT base_failed) UNPIVOT (value FOR measure IN (marks, word_length)) WHERE value > 0),
+spreads AS (SELECT * FROM (VALUES ('marks', 4), ('word_length', 6)) AS v(measure, spread)),
 levels AS (SELECT 'group' AS level, lang, source, measure, bucket FROM listed UNION ALL SELECT 'lang', lang, '', measure, bucket FROM listed
     UNION ALL SELECT 'all', '', '', measure, bucket FROM listed),
 sketch AS (SELECT level, lang, source, measure, bucket, count(*) AS n FROM levels GROUP BY ALL),
@@ -35,9 +35,8 @@ langs AS (SELECT d.lang, a.measure, coalesce((l.n * l.fence + 100 * a.fence) //
     JOIN fence a ON a.level = 'all' LEFT JOIN fence l ON l.level = 'lang' AND l.lang = d.lang AND l.measure = a.measure),
 chosen AS (SELECT d.lang, d.source, l.measure, coalesce((g.n * g.fence + 100 * l.fence) // (g.n + 100), l.fence) AS fence FROM (SELECT DISTINCT lang, source FROM measured) d
     JOIN langs l USING (lang) LEFT JOIN fence g ON g.level = 'group' AND g.lang = d.lang AND g.source = d.source AND g.measure = l.measure),
-bounds AS (SELECT lang, source, max(CASE WHEN measure = 'marks' THEN fence END) AS f1, max(CASE WHEN measure = 'repeats' THEN fence END) AS f2,
-        max(CASE WHEN measure = 'lines' THEN fence END) AS f3, max(CASE WHEN measure = 'word_length' THEN fence END) AS f4 FROM chosen GROUP BY lang, source),
-judged AS (SELECT m.*, coalesce(marks > f1, false) OR coalesce(repeats > f2, false) OR coalesce(lines > f3, false) OR coalesce(word_length > f4, false) AS beyond
+bounds AS (SELECT lang, source, max(CASE WHEN measure = 'marks' THEN fence END) AS f1, max(CASE WHEN measure = 'word_length' THEN fence END) AS f2 FROM chosen GROUP BY lang, source),
+judged AS (SELECT m.*, coalesce(marks > f1, false) OR coalesce(word_length > f2, false) AS beyond
     FROM measured m LEFT JOIN bounds USING (lang, source))
 """
 
