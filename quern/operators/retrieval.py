@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions.text import bag
-from quern.workspace import materialize
+from quern.workspace import fresh_path, materialize
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 MAX_QUERY_BYTES = 64 << 20  # a block of questions, sent to every task
@@ -45,14 +46,16 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.ln((n_docs - df + 0.5) / (df + 0.5))
 
 
-def lexical_index(docs: DataFrame, store_col: str = "source", doc_col: str = "doc_id", text_col: str = "text", tokenize: Callable[[Column], Column] = bag) -> LexicalIndex:
+def lexical_index(docs: DataFrame, store_col: str = "source", doc_col: str = "doc_id", text_col: str = "text", tokenize: Callable[[Column], Column] = bag, folder: str | None = None) -> LexicalIndex:
     """Statistics are of each store by itself. ``floor`` is what terms with a negative idf get: a share of the mean idf of the store's vocabulary.
 
-    Texts are tokenized once; a null text has no terms. Document frequencies are counted before they are shuffled.
+    Texts are tokenized once; a null text has no terms. Document frequencies are counted before they are shuffled. The tables are written to
+    ``folder``, or to one of their own under the shared folder.
     """
-    rows = materialize(lexical_rows(docs, store_col, doc_col, text_col, tokenize), "lexical-rows")
-    terms = materialize(term_counts(rows), "lexical-terms")
-    return LexicalIndex(rows, materialize(lexical_stats(store_sizes(rows), terms), "lexical-stats"), terms)
+    folder = folder or fresh_path(docs.sparkSession, "lexical")
+    rows = materialize(lexical_rows(docs, store_col, doc_col, text_col, tokenize), "", f"{folder}/rows")
+    terms = materialize(term_counts(rows), "", f"{folder}/terms")
+    return LexicalIndex(rows, materialize(lexical_stats(store_sizes(rows), terms), "", f"{folder}/stats"), terms)
 
 
 def lexical_rows(docs: DataFrame, store_col: str = "source", doc_col: str = "doc_id", text_col: str = "text", tokenize: Callable[[Column], Column] = bag) -> DataFrame:
@@ -99,6 +102,22 @@ def _members(stores: list) -> dict:
     return {store: np.array(rows) for store, rows in found.items()}
 
 
+def _summed(n_rows: int, n_questions: int, owner: np.ndarray, number: np.ndarray, gains: np.ndarray, begins: np.ndarray, asked_by: np.ndarray, asked_times: np.ndarray) -> np.ndarray:
+    """Scores (rows, questions) from hits (owner: row, number: term, gain), each added to the questions that have the term: those between its begins."""
+    scores = np.zeros(n_rows * n_questions)
+    fans = begins[number + 1] - begins[number]
+    upto = np.cumsum(fans)
+    at = 0
+    while at < len(fans):  # as many hits as fan out to MAX_CELLS additions, one at least
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + MAX_CELLS, side="right")))
+        fan = fans[at:end]
+        hit = np.repeat(np.arange(at, end), fan)
+        place = np.arange(len(hit)) - np.repeat(np.cumsum(fan) - fan, fan) + begins[number[hit]]
+        np.add.at(scores, owner[hit] * n_questions + asked_by[place], gains[hit] * asked_times[place])
+        at = end
+    return scores.reshape(n_rows, n_questions)
+
+
 def _lexical_block(index: LexicalIndex, block: list, stores: dict, k_each: int) -> DataFrame:
     """(qid, store, doc, score) candidates of one block of questions [(qid, terms)]: one pass over the index, no shuffle."""
     qids = [q for q, _ in block]
@@ -106,10 +125,9 @@ def _lexical_block(index: LexicalIndex, block: list, stores: dict, k_each: int)
     for _, terms in block:
         for term in terms:
             numbers.setdefault(term, len(numbers))
-    matrix = np.zeros((len(numbers), len(qids)))
-    for q, (_, terms) in enumerate(block):
-        for term in terms:
-            matrix[numbers[term], q] += 1
+    asks = sorted((numbers[term], q, terms.count(term)) for q, (_, terms) in enumerate(block) for term in set(terms))
+    asked_by, asked_times = np.array([q for _, q, _ in asks], dtype=np.int64), np.array([n for *_, n in asks], dtype=float)
+    begins = np.searchsorted(np.array([number for number, *_ in asks], dtype=np.int64), np.arange(len(numbers) + 1))
     spark = index.rows.sparkSession
     weights = np.zeros((len(stores), len(numbers)))
     wanted = spark.createDataFrame(list(numbers.items()), "term string, number int")
@@ -129,9 +147,7 @@ def _lexical_block(index: LexicalIndex, block: list, stores: dict, k_each: int)
         place = np.array([stores[s][0] for s in names], dtype=np.int64)
         share = part.column(2).to_numpy(zero_copy_only=False) / np.array([stores[s][1] or 1.0 for s in names])
         gains = weights[place[owner], number] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * share[owner]))
-        scores, cuts = np.zeros((part.num_rows, len(qids))), np.searchsorted(owner, np.arange(part.num_rows + 1))
-        for i in np.unique(owner).tolist():
-            scores[i] = gains[cuts[i] : cuts[i + 1]] @ matrix[number[cuts[i] : cuts[i + 1]]]
+        scores = _summed(part.num_rows, len(qids), owner, number, gains, begins, asked_by, asked_times)
         scores = np.round(scores, 9) + 0.0
         tie = -np.unique(np.array(docs), return_inverse=True)[1]
         out_stores, out_docs, values, asks = [], [], [], []
@@ -151,12 +167,36 @@ def _lexical_block(index: LexicalIndex, block: list, stores: dict, k_each: int)
     return index.rows.where("store is not null").mapInArrow(search, f"qid long, store {types['store'].simpleString()}, doc {types['doc'].simpleString()}, score double")
 
 
-def _top(candidates: list[DataFrame], k_each: int, label: str, *order: Column) -> DataFrame:
-    """(qid, store, rn, doc, score): k_each of each question and store. The results of several blocks are written down one by one."""
-    ranked = [c.withColumn("rn", F.row_number().over(W.partitionBy("qid", "store").orderBy(*order))).where(F.col("rn") <= k_each) for c in candidates]
-    if len(ranked) == 1:
-        return ranked[0]
-    return reduce(DataFrame.unionByName, [materialize(r, label) for r in ranked])
+def _top(blocks: Iterator, search: Callable[[Any], DataFrame], k_each: int, label: str, *order: Column) -> DataFrame | None:
+    """(qid, store, rn, doc, score): k_each of each question and store. Of several blocks each is searched and its result written before the next one is made."""
+
+    def best(block: Any) -> DataFrame:
+        return search(block).withColumn("rn", F.row_number().over(W.partitionBy("qid", "store").orderBy(*order))).where(F.col("rn") <= k_each)
+
+    done: list[DataFrame] = []
+    waiting = next(blocks, None)
+    if waiting is None:
+        return None
+    for block in blocks:
+        done.append(materialize(best(waiting), label))
+        waiting = block
+    return best(waiting) if not done else reduce(DataFrame.unionByName, [*done, materialize(best(waiting), label)])
+
+
+def _question_blocks(asked: DataFrame, n_stores: int, max_query_bytes: int) -> Iterator[list]:
+    """Lists of (qid, terms), as many questions as keep terms times (questions + stores) within max_query_bytes."""
+    block, held = [], set()
+    for row in asked.toLocalIterator():
+        more = held | set(row["terms"])
+        if block and len(more) * (len(block) + 1 + n_stores) * 8 > max_query_bytes:
+            yield block
+            block, more = [], set(row["terms"])
+        if len(more) * (1 + n_stores) * 8 > max_query_bytes:
+            raise ValueError(f"one question's {len(more)} terms in {n_stores} stores exceed max_query_bytes")
+        block.append((row["qid"], row["terms"]))
+        held = more
+    if block:
+        yield block
 
 
 def lexical_topk(index: LexicalIndex, questions: DataFrame, k_each: int = 4, top_k: int | None = 5, merge: str = "concat", qid_col: str = "item_id", text_col: str = "text", tokenize: Callable[[Column], Column] = bag, max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
@@ -170,18 +210,11 @@ def lexical_topk(index: LexicalIndex, questions: DataFrame, k_each: int = 4, top
     """
     asked = questions.select(F.col(qid_col).cast("long").alias("qid"), F.coalesce(tokenize(F.col(text_col)), F.array().cast("array<string>")).alias("terms")).where("qid is not null")
     stores = {r["store"]: (i, r["avg_length"]) for i, r in enumerate(index.stats.where("store is not null").select("store", "avg_length").toLocalIterator())}
-    blocks, block, held = [], [], set()
-    for row in asked.toLocalIterator():
-        more = held | set(row["terms"])
-        if block and len(more) * (len(block) + 1 + len(stores)) * 8 > max_query_bytes:
-            blocks.append(_lexical_block(index, block, stores, k_each))
-            block, more = [], set(row["terms"])
-        if len(more) * (1 + len(stores)) * 8 > max_query_bytes:
-            raise ValueError(f"one question's {len(more)} terms in {len(stores)} stores exceed max_query_bytes")
-        block.append((row["qid"], row["terms"]))
-        held = more
-    blocks.append(_lexical_block(index, block, stores, k_each))
-    return merge_stores(_top(blocks, k_each, "lexical-block", F.desc("score"), F.desc("doc")), top_k, merge)
+    blocks = _question_blocks(asked, len(stores), max_query_bytes)
+    best = _top(blocks, lambda block: _lexical_block(index, block, stores, k_each), k_each, "lexical-block", F.desc("score"), F.desc("doc"))
+    if best is None:
+        best = _top(iter([[]]), lambda block: _lexical_block(index, block, stores, k_each), k_each, "lexical-block", F.desc("score"), F.desc("doc"))
+    return merge_stores(best, top_k, merge)
 
 
 def merge_stores(best: DataFrame, top_k: int | None, merge: str) -> DataFrame:
@@ -231,15 +264,23 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k_each: int = 3, top_k: i
     """
     asked = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(vector_col).alias("v")).where("v is not null and qid is not null")
     flat = vectors.where(F.col(vector_col).isNotNull()).select(F.col(store_col).cast("string").alias("store"), F.col(doc_col).cast("long").alias("doc"), F.col(vector_col).cast("array<float>").alias("v"))
-    blocks, qids, values = [], [], []
+    best = _top(_vector_blocks(asked, max_query_bytes), lambda block: _dense_block(flat, *block, k_each), k_each, "dense-block", F.desc(F.round("score", 12)), F.col("doc"))
+    if best is None:
+        best = flat.selectExpr("doc AS qid", "store", "CAST(0 AS int) AS rn", "doc", "CAST(0 AS double) AS score").where("false")
+    return merge_stores(best, top_k, merge)
+
+
+def _vector_blocks(asked: DataFrame, max_query_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(qids, matrix) of as many queries as max_query_bytes holds."""
+    qids, values = [], []
     for row in asked.toLocalIterator():
         if qids and (len(qids) + 1) * len(row["v"]) * 8 > max_query_bytes:
-            blocks.append(_dense_block(flat, np.array(qids, dtype=np.int64), np.array(values, dtype=float), k_each))
+            yield np.array(qids, dtype=np.int64), np.array(values, dtype=float)
             qids, values = [], []
         qids.append(row["qid"])
         values.append(row["v"])
-    blocks.append(_dense_block(flat, np.array(qids, dtype=np.int64), np.array(values, dtype=float).reshape(len(qids), -1 if qids else 1), k_each) if qids else flat.selectExpr("doc AS qid", "store", "doc", "CAST(0 AS double) AS score").where("false"))
-    return merge_stores(_top(blocks, k_each, "dense-block", F.desc(F.round("score", 12)), F.col("doc")), top_k, merge)
+    if qids:
+        yield np.array(qids, dtype=np.int64), np.array(values, dtype=float)
 
 
 def upsert(table: DataFrame, keys: list[str], version: str) -> DataFrame:

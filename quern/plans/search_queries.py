@@ -16,7 +16,9 @@ from quern.workspace import fresh_path
 
 
 def _index(spark: SparkSession, sf_dir: str) -> retrieval.LexicalIndex:
-    return retrieval.lexical_index(spread(table(spark, sf_dir, "documents")))
+    """The index of documents, built when they are first asked for and opened from then on."""
+    docs = table(spark, sf_dir, "documents")
+    return scans.stored_lexical(docs, "documents", lambda folder: retrieval.lexical_index(spread(docs), folder=folder))
 
 
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +50,9 @@ def bm25_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of documents as the corpus: best chunk per question over all stores."""
-    chunks = chunking.fixed_size(spread(table(spark, sf_dir, "documents")), size=128, overlap=10).withColumn("doc", F.concat_ws("#", "doc_id", F.format_string("%06d", "pos"))).withColumn("store", F.lit("all"))
-    index = retrieval.lexical_index(chunks, "store", "doc", "chunk")
+    docs = table(spark, sf_dir, "documents")
+    chunks = chunking.fixed_size(spread(docs), size=128, overlap=10).withColumn("doc", F.concat_ws("#", "doc_id", F.format_string("%06d", "pos"))).withColumn("store", F.lit("all"))
+    index = scans.stored_lexical(docs, "chunks-128-10", lambda folder: retrieval.lexical_index(chunks, "store", "doc", "chunk", folder=folder))
     return retrieval.lexical_topk(index, table(spark, sf_dir, "benchmark"), 1, 1).select("qid", "doc", F.round("score", 6).alias("score"))
 
 
@@ -80,15 +83,15 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents"))
-    found = retrieval.lexical_topk(retrieval.lexical_index(docs), table(spark, sf_dir, "benchmark"), 1, 3, "score")
+    docs = table(spark, sf_dir, "documents")
+    found = retrieval.lexical_topk(_index(spark, sf_dir), table(spark, sf_dir, "benchmark"), 1, 3, "score")
     return retrieval.gather_context(found, docs).select("qid", F.length("context").cast("long").alias("n_chars"), F.sha2(F.col("context").cast("binary"), 256).alias("sha"), F.array_join(F.transform("docs", lambda d: d.cast("string")), ",").alias("docs"))
 
 
 def rag_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieve, gather context, answer with the stand-in model."""
-    docs, questions = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark")
-    found = retrieval.lexical_topk(retrieval.lexical_index(docs), questions, 1, 1, "score")
+    docs, questions = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = retrieval.lexical_topk(_index(spark, sf_dir), questions, 1, 1, "score")
     asked = questions.select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     asked = retrieval.gather_context(found, docs, questions=asked).join(asked, "qid")
     prompt = render("answer_context", context=F.col("context"), question=F.col("question"))

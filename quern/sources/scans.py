@@ -12,6 +12,7 @@ from quern.functions.text import natural_key, stem
 from quern.operators.filters import drop_blank
 from quern.operators.records import running_ids
 from quern.operators.retrieval import LexicalIndex
+from quern.workspace import fresh_path, shared_dir
 
 CHUNK = "id long, source_files array<string>, md_summary string, raw_chunk string"
 QA = "id long, chunk_name string, source_files array<string>, raw_chunk string, md_summary string, question string, answer string, declarative string, ref_doc string, options array<string>"
@@ -116,6 +117,35 @@ def open_stores(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     return table, sorted(r["store"] for r in table.select("store").distinct().collect())
 
 
+#: Part of the name of stored indexes: changes with what they hold.
+LEXICAL_FORMAT = 1
+
+
+def fingerprint(files: DataFrame) -> str:
+    """A number for the files that a table reads: their paths, sizes and times. Only their footers are read."""
+    meta = files.select(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("h")).distinct()
+    found = meta.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(h)").alias("x"), F.expr("bit_xor(xxhash64(h))").alias("y")).first()
+    return f"{found['n']}-{(found['x'] or 0) & (1 << 64) - 1:016x}{(found['y'] or 0) & (1 << 64) - 1:016x}"
+
+
+def stored_lexical(files: DataFrame, name: str, build: Callable[[str], LexicalIndex]) -> LexicalIndex:
+    """The index ``name`` of a table of files, opened if it was built for these files before, else built by build(folder).
+
+    It is written beside its place and moved there whole, so that one half written is never opened; of two that build at once one counts.
+    """
+    spark = files.sparkSession
+    place = f"{shared_dir(spark)}/lexical-index-{LEXICAL_FORMAT}-{name}-{fingerprint(files)}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        beside = fresh_path(spark, "lexical")
+        build(beside)
+        made = spark._jvm.org.apache.hadoop.fs.Path(beside)
+        if fs.exists(path) or not fs.rename(made, path):
+            fs.delete(made, True)
+    return open_lexical(spark, place)
+
+
 def open_lexical(spark: SparkSession, path: str) -> LexicalIndex:
     """A BM25 index that write_lexical() wrote: searches read its tables and tokenize nothing but questions."""
     return LexicalIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("rows", "stats", "terms")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern import models
 from quern.operators import chunking, filters, online, records, retrieval, routing, statistics
+from quern.sources import scans
 
 
 def test_fixed_size_edges(spark):
@@ -263,3 +264,56 @@ def test_wilcoxon(spark):
 def test_holm(spark):
     rows = statistics.holm(spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", 0.5)], "metric string, p double"))
     assert {r["metric"]: round(r["p_holm"], 6) for r in rows.collect()} == {"a": 0.04, "c": 0.09, "b": 0.09, "d": 0.5}
+
+
+def test_scores_add_up_in_any_number_of_steps(monkeypatch):
+    draw = np.random.default_rng(5)
+    matrix = draw.integers(0, 3, (30, 9)) * (draw.random((30, 9)) < 0.3)
+    owner, number = np.sort(draw.integers(0, 20, 200)), draw.integers(0, 30, 200)
+    gains = draw.random(200)
+    want = np.zeros((20, 9))
+    np.add.at(want, owner, gains[:, None] * matrix[number])
+    term, asked = np.nonzero(matrix)
+    for cells in (1, 7, 1 << 20):
+        monkeypatch.setattr(retrieval, "MAX_CELLS", cells)
+        found = retrieval._summed(20, 9, owner, number, gains, np.searchsorted(term, np.arange(31)), asked, matrix[term, asked].astype(float))
+        assert np.allclose(found, want)
+
+
+def test_blocks_are_searched_one_by_one(spark, monkeypatch):
+    """No block is made before the one before it is written; the result is that of one block."""
+    docs = spark.createDataFrame([("s", i, f"w{i % 7} w{i % 5} x") for i in range(40)], "source string, doc_id long, text string")
+    questions = spark.createDataFrame([(i, f"w{i} w{i + 1}") for i in range(6)], "item_id long, text string")
+    index = retrieval.lexical_index(docs)
+    whole = sorted(map(tuple, retrieval.lexical_topk(index, questions).collect()))
+    events, real_block, real_write = [], retrieval._lexical_block, retrieval.materialize
+    monkeypatch.setattr(retrieval, "_lexical_block", lambda *a: events.append("block") or real_block(*a))
+    monkeypatch.setattr(retrieval, "materialize", lambda df, label, *a: events.append("written") or real_write(df, label, *a))
+    assert sorted(map(tuple, retrieval.lexical_topk(index, questions, max_query_bytes=48).collect())) == whole
+    assert events == ["block", "written"] * 6
+
+
+def test_stored_indexes(spark, tmp_path):
+    """Built once for the same files, anew when they change."""
+    rows = [("s", 1, "a b"), ("t", 2, "c")]
+    spark.createDataFrame(rows, "source string, doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    built = []
+
+    def opened():
+        docs = spark.read.parquet(f"{tmp_path}/docs")
+        return scans.stored_lexical(docs, "test", lambda folder: built.append(folder) or retrieval.lexical_index(docs, folder=folder))
+
+    assert opened().rows.count() == 2 and opened().rows.count() == 2 and len(built) == 1
+    spark.createDataFrame([("s", 3, "d")], "source string, doc_id long, text string").write.mode("append").parquet(f"{tmp_path}/docs")
+    assert opened().rows.count() == 3 and len(built) == 2
+
+
+def test_threads_share_the_clean_up_setting(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from quern.workspace import CLEANUP, materialize
+
+    before = spark.conf.get(CLEANUP, "false")
+    with ThreadPoolExecutor(4) as pool:
+        counts = list(pool.map(lambda i: materialize(spark.range(i), "threads").count(), range(12)))
+    assert counts == list(range(12)) and spark.conf.get(CLEANUP, "false") == before
