@@ -166,6 +166,14 @@ _ROUGE = rf"""{_PAIRS}, numbered AS (SELECT *, row_number() OVER () AS id FROM p
 _SCORED = """s AS (SELECT doc_id, 'c' || (doc_id % 50) AS chunk_name, CASE WHEN doc_id % 11 > 0 THEN 'q' || doc_id END AS question, quality::VARCHAR AS answer,
     ((doc_id * 7919) % 20011) / 20011.0::DOUBLE AS se, ((doc_id * 104729) % 20011) / 20011.0::DOUBLE AS sn, ((doc_id * 1299709) % 20011) / 20011.0::DOUBLE AS sc FROM labels)"""
 
+# The stand-in's answer: the first of the longest sentences of what follows the last "Text: " of its prompt.
+_QA_GENERATE = rf"""WITH t AS (SELECT doc_id, regexp_replace(string_split(coalesce(text, ''), 'Text: ')[-1], '^\s+|\s+$', '', 'g') AS t FROM documents),
+    s AS (SELECT doc_id, string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM t),
+    best AS (SELECT doc_id, list_filter(s, lambda x: length(x) = list_max(list_transform(s, lambda y: length(y))))[1] AS a FROM s),
+    said AS (SELECT *, list_filter(list_transform(string_split('Answer: ' || a, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[-1] AS d FROM best)
+    SELECT row_number() OVER (ORDER BY chunk_name) - 1 AS id, * FROM (SELECT 'd' || lpad(doc_id::VARCHAR, 8, '0') AS chunk_name, 'What is said about ' || array_to_string(list_filter(string_split_regex(a, '\s+'), lambda x: x <> '')[1:3], ' ') || '?' AS question,
+        length(a)::INT AS n_answer, length(d)::INT AS n_declarative FROM said)"""
+
 _TOKEN_MATCH = rf"""WITH {_PAIRS}, clipped AS (SELECT row_number() OVER () AS id, conv_id, turn, substr(regexp_replace(r, '^\s+|\s+$', '', 'g'), 1, 3000) AS r, substr(regexp_replace(g, '^\s+|\s+$', '', 'g'), 1, 3000) AS g FROM pairs),
     sides AS (SELECT id, 'r' AS side, r AS text FROM clipped UNION ALL SELECT id, 'g', g FROM clipped),
     tokens AS (SELECT id, side, unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '')) AS token FROM sides),
@@ -183,6 +191,7 @@ _TOKEN_MATCH = rf"""WITH {_PAIRS}, clipped AS (SELECT row_number() OVER () AS id
 ORACLES = {
     "exact_match": r"""SELECT conv_id, turn, (replace(trim(text, chr(10) || chr(9) || ' '), ' ', '') = replace(trim(CASE WHEN turn % 2 = 0 THEN ' ' || replace(text, ' ', '  ') || chr(10) ELSE role END, chr(10) || chr(9) || ' '), ' ', ''))::INT::DOUBLE AS em FROM conversations""",
     "rouge1": f"WITH {_ROUGE} SELECT conv_id, turn, round(rouge1, 6) AS rouge1 FROM scored",
+    "qa_generate": _QA_GENERATE,
     "token_match": _TOKEN_MATCH,
     "metric_summary": f"""WITH {_ROUGE}, v AS (SELECT (replace(trim(r), ' ', '') = replace(trim(g), ' ', ''))::INT::DOUBLE AS em, rouge1 FROM scored)
         SELECT 'em' AS metric, round(avg(em), 6) AS average, round(stddev_samp(em), 6) AS std FROM v UNION ALL SELECT 'rouge1', round(avg(rouge1), 6), round(stddev_samp(rouge1), 6) FROM v""",
