@@ -23,4 +23,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_warc": op5_warc, "op10_token_files": op10_token_files}
-ORACLES: dict[str, str] = {}
+
+# Twenty bytes in hexadecimal, five digits of them at a time, are four of base32 each.
+_BASE32 = "array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, (j // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (j % 4))) & 31)::INT, 1)), '')"
+
+ORACLES = {
+    "op5_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS hex FROM pages), r AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+        SELECT page_id, strlen(h)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first_id THEN first_id END AS refers_to, NULL AS error FROM r""",
+}
