@@ -9,10 +9,10 @@ from quern import models
 from quern.functions import metrics
 from quern.functions.prompts import render
 from quern.functions.vectors import cosine
-from quern.operators import chunking, records, retrieval
+from quern.operators import chunking, ranking, records, retrieval
 from quern.session import spread, table
 from quern.sources import scans, sinks
-from quern.workspace import fresh_path
+from quern.workspace import fresh_path, materialize
 
 
 def _index(spark: SparkSession, sf_dir: str) -> retrieval.LexicalIndex:
@@ -98,13 +98,29 @@ def rag_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("qid", *records.shape_answer("llm", models.column(models.echo_model, prompt)))
 
 
+def rerank_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best five of twenty candidates of each question by a ranker that was fitted to fragments of about 400 documents."""
+    docs, index = table(spark, sf_dir, "documents"), _index(spark, sf_dir)
+    contents = docs.select(F.col("doc_id").alias("doc"), F.col("text").alias("content"))
+
+    def candidates(questions: DataFrame) -> DataFrame:
+        found = retrieval.lexical_topk(index, questions, 20, 20, "score", qid_col="qid", text_col="question")
+        return ranking.with_features(found, questions, contents)
+
+    fragments = materialize(ranking.planted_questions(docs, 400), "fragments")
+    judged = candidates(fragments).withColumn("label", (F.col("doc") == F.col("qid")).cast("int"))
+    ranker = ranking.fit_ranker(judged)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    return ranker.rerank(candidates(asked), 5).select("qid", F.col("rank").cast("long").alias("rank"), "doc", F.round("rerank_score", 6).alias("score"))
+
+
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     following = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
     return vectors.join(following, "vec_id").select("vec_id", F.round(cosine(F.col("embedding"), F.col("next")), 6).alias("similarity"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_stats, bm25_reopened, bm25_topk_concat, bm25_topk_score, chunk_bm25, dense_topk_merge, retrieval_scores, upsert_latest, context_join, rag_answer, cosine_pairs)}
+QUERIES = {f.__name__: f for f in (bm25_stats, bm25_reopened, bm25_topk_concat, bm25_topk_score, chunk_bm25, dense_topk_merge, retrieval_scores, upsert_latest, context_join, rag_answer, rerank_learned, cosine_pairs)}
 
 _BAG = r"list_filter(string_split_regex(lower({text}), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '')"
 
