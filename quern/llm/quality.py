@@ -2,7 +2,7 @@
 
 Every document gets integer measures. Of documents that pass the base rules, the values above zero are summed up per language and source in
 log-linear histograms: a value keeps its leading six bits, so that a bucket is at most 1/32 of its values wide, and sketches merge
-by adding counts, exactly and in any order. No measure has a cutoff of its own: a group's fence is the third quartile of its sketch
+by adding counts, exactly and in any order. Documents are held against fences by their buckets, so that where all are alike none is beyond. No measure has a cutoff of its own: a group's fence is the third quartile of its sketch
 plus ``spread`` interquartile ranges, so that it lies where that group's usual values end. Fences are shrunk towards that of the merged sketch
 of the language as if this were ``prior`` further documents, and those of languages towards that of all documents; a group without values has its language's.
 """
@@ -128,7 +128,7 @@ def fit_spreads(docs: DataFrame, labels: DataFrame, most: int = 64) -> dict[str,
         if not open_:
             break
         bounds = good.join(thresholds(counted, {name: spread for name in open_}), list(GROUP_COLUMNS), "left")
-        beyond = bounds.agg(*(F.count_if(measures()[name] > F.col(f"fence_{name}")).alias(name) for name in open_)).first()
+        beyond = bounds.agg(*(F.count_if(bucket(measures()[name]) > F.col(f"fence_{name}")).alias(name) for name in open_)).first()
         found |= {name: spread for name in open_ if not beyond[name]}
     return found
 
@@ -144,7 +144,7 @@ def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source")
     bounds = materialize(thresholds(counted, spreads, prior), "quality-bounds").select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *(f"fence_{name}" for name in spreads))
     same = (F.coalesce("lang", F.lit("")) == F.col("__lang")) & (F.coalesce("source", F.lit("")) == F.col("__source"))
     joined = counted.join(bounds, same, "left")
-    beyond = F.array_compact(F.array(*(F.when(value > F.col(f"fence_{name}"), F.lit(name)) for name, value in measures().items())))
+    beyond = F.array_compact(F.array(*(F.when(bucket(value) > F.col(f"fence_{name}"), F.lit(name)) for name, value in measures().items())))
     result = joined.withColumn("base_failed", base_failed()).withColumn("failed", beyond)
     return result.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("__lang", "__source", *(f"fence_{name}" for name in spreads))
 

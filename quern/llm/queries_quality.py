@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm import quality
 from quern.session import table
 
+_BUCKET = "((({v}) >> greatest(length(bin({v})) - 6, 0)) << greatest(length(bin({v})) - 6, 0))"
+
 COUNTS_SQL = r"""
 counted AS (
     WITH rows AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
@@ -36,7 +38,7 @@ langs AS (SELECT d.lang, a.measure, coalesce((l.n * l.fence + 100 * a.fence) //
 chosen AS (SELECT d.lang, d.source, l.measure, coalesce((g.n * g.fence + 100 * l.fence) // (g.n + 100), l.fence) AS fence FROM (SELECT DISTINCT lang, source FROM measured) d
     JOIN langs l USING (lang) LEFT JOIN fence g ON g.level = 'group' AND g.lang = d.lang AND g.source = d.source AND g.measure = l.measure),
 bounds AS (SELECT lang, source, max(CASE WHEN measure = 'marks' THEN fence END) AS f1, max(CASE WHEN measure = 'word_length' THEN fence END) AS f2 FROM chosen GROUP BY lang, source),
-judged AS (SELECT m.*, coalesce(marks > f1, false) OR coalesce(word_length > f2, false) AS beyond
+judged AS (SELECT m.*, coalesce(""" + _BUCKET.format(v="marks") + r""" > f1, false) OR coalesce(""" + _BUCKET.format(v="word_length") + r""" > f2, false) AS beyond
     FROM measured m LEFT JOIN bounds USING (lang, source))
 """
 

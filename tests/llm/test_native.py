@@ -73,7 +73,7 @@ def brute_fences(rows):
 def brute_kept(rows):
     """Ids of the rows (id, text, lang, source) that pass."""
     fences = brute_fences(rows)
-    beyond = lambda values, bounds: any(bounds[m] is not None and values[m] > bounds[m] for m in values)
+    beyond = lambda values, bounds: any(bounds[m] is not None and brute_bucket(values[m]) > bounds[m] for m in values)
     verdicts = ((i, *brute_measures(t), fences[lang or "", source or ""]) for i, t, lang, source in rows)
     return {i for i, passed, values, bounds in verdicts if passed and not beyond(values, bounds)}
 
@@ -122,6 +122,13 @@ def test_spreads_are_fitted(spark):
     assert quality.fit_spreads(docs, labels.where("doc_id % 2 = 1")) == quality.SPREADS
 
 
+def test_documents_that_are_all_alike_stay(spark):
+    """A source of copies has no spread; its usual value is not beyond its own fence."""
+    text = " ".join(f"word{i}, so" for i in range(60))
+    docs = spark.createDataFrame([(i, text, "en", "copies") for i in range(300)] + [(900, "!" * 500 + text, "en", "copies")], "doc_id long, text string, lang string, source string")
+    assert sorted(r["doc_id"] for r in quality.keep_good(docs).collect()) == list(range(300))
+
+
 def test_empty_quality(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert quality.judged(docs).collect() == [] and quality.keep_good(docs).collect() == []
@@ -134,21 +141,25 @@ def tokens(text):
 def brute_overlaps(docs, items):
     """Every item laid beside every text at every place: where as many words of a stretch agree as the share asks for, those that stand there or SLIP beside count."""
     span, slip, share = decontaminate.SPAN, decontaminate.SLIP, decontaminate.share_of
-    classes, out = {}, {}
+    classes, out, spots = {}, {}, {}
     for i, t in items:
         if tokens(t):
             classes.setdefault(tuple(tokens(t)), []).append(i)
+    for item in classes:
+        for k, word in enumerate(item):
+            spots.setdefault(word, []).append((item, k))
     for doc, text in docs:
-        w = tokens(text)
-        at = lambda p: w[p] if 0 <= p < len(w) else None
-        for item, ids in classes.items():
+        agree = {}  # {item: {place: words of the item that stand where the place puts them}}
+        for p, word in enumerate(tokens(text)):
+            for item, k in spots.get(word, ()):
+                agree.setdefault(item, {}).setdefault(p - k, set()).add(k)
+        for item, places in agree.items():
             n, need = len(item), share(min(len(item), span))
-            for d in range(-n, len(w)):
-                agree = [at(d + k) == item[k] for k in range(n)]
-                if any(agree[k] and sum(agree[k : k + span]) >= need for k in range(n)):
-                    c = sum(any(at(d + k + j) == item[k] for j in range(-slip, slip + 1)) for k in range(n))
+            for d, there in places.items():
+                if any(len(there & set(range(k, k + span))) >= need for k in there):
+                    c = len(set().union(*(places.get(d + j, set()) for j in range(-slip, slip + 1))))
                     if c >= decontaminate.MIN_SHARE * n:
-                        key = doc, min(ids), n
+                        key = doc, min(classes[item]), n
                         out[key] = max(c, out.get(key, 0))
     return {(*key, c) for key, c in out.items()}
 
