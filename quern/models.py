@@ -85,6 +85,28 @@ def question_model(prompts: pd.Series) -> pd.Series:
     return prompts.fillna("").map(ask)
 
 
+def choice_model(prompts: pd.Series) -> pd.Series:
+    """A JSON list with a question whose options are the first five words of the prompt's text; the length of the text says which is right."""
+
+    def ask(p: str) -> str:
+        text = p.partition("\n")[2]
+        options = [f"{i}) {w}" for i, w in enumerate(text.split()[:5], 1)]
+        return json.dumps([{"question": "Which of these words is it?", "options": options, "answer": str(len(text) % 6)}], ensure_ascii=False)
+
+    return prompts.fillna("").map(ask)
+
+
+def quoting_model(prompts: pd.Series) -> pd.Series:
+    """A JSON list with a question whose answer quotes the beginning of each note, and a last sentence with a quote that stands in none."""
+
+    def ask(p: str) -> str:
+        notes = [m.groups() for m in re.finditer(r"(?m)^\d+\) ([^:\n]*): (.*)$", p)]
+        said = [{"sentence": f"Note {i}.", "reference": [{"source": source, "text": text[:20]}]} for i, (source, text) in enumerate(notes, 1)]
+        return json.dumps([{"question": "What do the notes say?", "answer": [*said, {"sentence": "Made up.", "reference": [{"source": "none", "text": "nowhere"}]}]}], ensure_ascii=False)
+
+    return prompts.fillna("").map(ask)
+
+
 def overlap_scorer(a: pd.Series, b: pd.Series) -> pd.Series:
     """F1 of word sets: a stand-in for relevance, faithfulness and reranking models."""
 

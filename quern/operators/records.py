@@ -111,5 +111,34 @@ def questions_from_pairs(pairs: DataFrame, model: models.ChatModel) -> DataFrame
     return rows.select((F.col("__first") + F.col("__at")).cast("long").alias("id"), "q.question", "q.answer", F.col("key_a").alias("ref_name_a"), F.col("key_b").alias("ref_name_b"), "q.supporting_fact_a", "q.supporting_fact_b")
 
 
+def choice_questions(chunks: DataFrame, model: models.ChatModel) -> DataFrame:
+    """(id, chunk_name, question, options, answer, ref_doc): a model writes questions with five options per chunk; what breaks their form (valid_choice) goes.
+
+    Ids run from 0 in order of chunk and place; ref_doc is the text of the right option. Chunks whose answer is no list give none.
+    """
+    shape = "array<struct<question: string, options: array<string>, answer: string>>"
+    read = chunks.withColumn("__a", F.from_json(unfence(models.column(model, render("qa_choice", text=F.col("raw_chunk")))), shape))
+    rows = read.select("chunk_name", F.posexplode("__a").alias("__at", "q")).select("chunk_name", "__at", "q.*")
+    good = rows.where(F.length(F.trim(F.coalesce("question", F.lit("")))) > 0).where(valid_choice(F.col("options"), F.col("answer")))
+    right = F.substring(F.get("options", F.col("answer").try_cast("int") - 1), 4, 1 << 30)
+    return running_ids(good, ["chunk_name", "__at"]).select("id", "chunk_name", "question", "options", "answer", right.alias("ref_doc"))
+
+
+def cited_questions(notebooks: DataFrame, model: models.ChatModel) -> DataFrame:
+    """(id, notebook, question, sentences): a model writes questions over the notes of a notebook, whose answers are sentences with quotes.
+
+    notebooks: notebook, notes (array of source and text). A sentence stays if it has quotes and each of them stands in the note of the source it names; a
+    question stays with such a sentence. sentences: array of (sentence, reference: array of (source, text)). Ids run from 0 in order of notebook and place.
+    """
+    shape = "array<struct<question: string, answer: array<struct<sentence: string, reference: array<struct<source: string, text: string>>>>>>"
+    listed = F.array_join(F.transform("notes", lambda n, i: F.concat((i + 1).cast("string"), F.lit(") "), F.coalesce(n["source"], F.lit("")), F.lit(": "), F.coalesce(n["text"], F.lit("")))), "\n")
+    read = notebooks.withColumn("__a", F.from_json(unfence(models.column(model, render("qa_cited", notes=listed))), shape))
+    rows = read.select("notebook", "notes", F.posexplode("__a").alias("__at", "q")).select("notebook", "notes", "__at", "q.question", "q.answer")
+    stands = "exists(notes, n -> n.source = r.source and length(r.text) > 0 and contains(n.text, r.text))"
+    kept = F.expr(f"filter(answer, s -> size(s.reference) > 0 and forall(s.reference, r -> coalesce({stands}, false)))")
+    good = rows.withColumn("sentences", kept).where("size(sentences) > 0 and question is not null")
+    return running_ids(good.drop("notes", "answer"), ["notebook", "__at"]).select("id", "notebook", "question", "sentences")
+
+
 def with_declarative(qa: DataFrame, model: models.ChatModel) -> DataFrame:
     return qa.withColumn("declarative", models.column(model, render("declare", question=F.col("question"), answer=F.col("answer"))))

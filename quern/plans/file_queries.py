@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern import models
 from quern.functions import judging, metrics
-from quern.functions.prompts import TEMPLATES, render
+from quern.functions.prompts import TEMPLATES, answering, render
 from quern.functions.text import sentences
 from quern.operators import chunking, filters, records, statistics
 from quern.plans import drivers
@@ -158,7 +158,30 @@ def question_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.withColumn("stores", F.lit(",".join(first)))
 
 
-QUERIES = {f.__name__: f for f in (question_files, chunk_record_files, prediction_records, score_files, summary_sheets, metric_files, chunk_folders, corpus_chunks, request_readings, prompt_texts, answer_routes, judged_claims, question_shapes)}
+def qa_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with five options from all documents by the stand-in model, those in good form."""
+    docs = table(spark, sf_dir, "documents").select(F.format_string("d%08d", "doc_id").alias("chunk_name"), F.col("text").alias("raw_chunk"))
+    return records.choice_questions(docs, models.choice_model).select("id", "chunk_name", F.array_join("options", "|").alias("options"), "answer", "ref_doc")
+
+
+def qa_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions over the first lines of four documents each, answers quoting them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.format_string("n%08d", F.expr("doc_id div 4")).alias("notebook"), F.concat(F.lit("doc"), "doc_id").alias("source"), F.trim(F.substring_index("text", "\n", 1)).alias("text"))
+    listed = F.array_sort(F.collect_list(F.struct("doc_id", F.struct("source", "text").alias("n"))))
+    notebooks = docs.where("text <> ''").groupBy("notebook").agg(F.transform(listed, lambda x: x["n"]).alias("notes"))
+    found = records.cited_questions(notebooks, models.quoting_model)
+    return found.select("id", "notebook", F.size("sentences").alias("n_sentences"), F.array_join(F.transform("sentences", lambda s: F.concat(F.get(s["reference"], 0)["source"], F.lit("="), F.get(s["reference"], 0)["text"])), "|").alias("quotes"))
+
+
+def answer_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt of each turn by whether it has a context and options, in two languages."""
+    turns = table(spark, sf_dir, "conversations")
+    context, options = F.when(F.col("turn") % 2 == 0, F.col("role")), F.when(F.col("conv_id") % 3 == 0, "1) a\n2) b").when(F.col("conv_id") % 3 == 1, " ")
+    md5 = lambda c: F.md5(c.cast("binary"))
+    return turns.select("conv_id", "turn", md5(answering(F.col("text"), context, options)).alias("plain"), md5(answering(F.col("text"), context, options, "ko")).alias("korean"))
+
+
+QUERIES = {f.__name__: f for f in (qa_choice, qa_cited, answer_prompts, question_files, chunk_record_files, prediction_records, score_files, summary_sheets, metric_files, chunk_folders, corpus_chunks, request_readings, prompt_texts, answer_routes, judged_claims, question_shapes)}
 
 
 def _prompt(name: str, **slots: str) -> str:
@@ -182,7 +205,18 @@ _ROUGE_SUMMARY = """(SELECT (replace(trim(r), ' ', '') = replace(trim(g), ' ', '
         ELSE 2.0 * (common / len(b)) * (common / len(a)) / (common / len(b) + common / len(a)) END AS rouge1, conv_id, turn, r, g FROM (SELECT *, coalesce(list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w))))), 0)::DOUBLE AS common
         FROM (SELECT *, list_filter(string_split_regex(r, '\\s+'), lambda x: x <> '') AS a, list_filter(string_split_regex(g, '\\s+'), lambda x: x <> '') AS b FROM pairs)))"""
 
+_KINDS = lambda tag: "CASE " + " ".join(
+    f"WHEN {test} THEN {_prompt(name, **{slot: value for slot, value in _SLOTS.items() if '{' + slot + '}' in TEMPLATES[name]})}"
+    for test, name in (("turn % 2 = 0 AND conv_id % 3 = 0", f"answer_context_choice{tag}"), ("conv_id % 3 = 0", f"answer_choice{tag}"), ("turn % 2 = 0", f"answer_context{tag}"), ("true", f"answer{tag}"))
+) + " END"
+_SLOTS = {"context": "role", "question": "text", "options": "('1) a' || chr(10) || '2) b')"}
+
 ORACLES = {
+    "qa_choice": r"""SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, 'd' || lpad(doc_id::VARCHAR, 8, '0') AS chunk_name, array_to_string(o, '|') AS options, (n % 6)::VARCHAR AS answer, w[n % 6] AS ref_doc
+        FROM (SELECT doc_id, length(text) AS n, w, list_transform(range(1, 6), lambda i: i || ') ' || w[i]) AS o FROM (SELECT doc_id, text, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) >= 5) WHERE n % 6 > 0""",
+    "qa_cited": """WITH n AS (SELECT doc_id, 'n' || lpad((doc_id // 4)::VARCHAR, 8, '0') AS notebook, trim(string_split(text, chr(10))[1]) AS t FROM documents)
+        SELECT row_number() OVER (ORDER BY notebook) - 1 AS id, notebook, count(*)::INT AS n_sentences, string_agg('doc' || doc_id || '=' || substr(t, 1, 20), '|' ORDER BY doc_id) AS quotes FROM n WHERE t <> '' GROUP BY notebook""",
+    "answer_prompts": f"SELECT conv_id, turn, md5({_KINDS('')}) AS plain, md5({_KINDS('@ko')}) AS korean FROM conversations",
     "question_files": f"""SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, lang || '#' || doc_id AS chunk_name, 'About ' || source AS question, substr(text, 1, 40) AS answer, 'qa_' || lpad((doc_id // {PER_FILE})::VARCHAR, 6, '0') || '.json' AS file
         FROM documents WHERE n_chars > 300""",
     "chunk_record_files": rf"""SELECT id, 'whole_' || lpad((id // {PER_FILE})::VARCHAR, 6, '0') || '__c001' AS chunk_id, id::VARCHAR AS original_id, source || ', ' || lang AS source_list, length(text)::INT AS n_chars

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quern import config, models
 from quern.functions import text
-from quern.operators import chunking, filters, retrieval
+from quern.operators import chunking, filters, records, retrieval
 from quern.plans import drivers
 from quern.sources import sinks
 
@@ -101,3 +101,35 @@ def test_requests(spark):
     series = {"climate": spark.createDataFrame([("f", "h", 1, 20.0), ("f", "h", 2, 21.5)], "farm_cd string, house_cd string, ts int, temp double")}
     rows = drivers.serve(drivers.enrich_requests(requests, series), lambda d: d.withColumn("generated", F.concat(F.lit("t="), F.col("climate.temp")))).collect()
     assert sorted(json.loads(r["response"]).get("llmAnswer", "-") for r in rows) == ["-", "t=21.5"] and {r["mode"] for r in rows} == {"readings", None}
+
+
+def test_choice_questions_keep_their_form(spark):
+    answers = {
+        "good": [{"question": "q?", "options": [f"{i}) o{i}" for i in range(1, 6)], "answer": "3"}],
+        "four": [{"question": "q?", "options": [f"{i}) o{i}" for i in range(1, 5)], "answer": "3"}],
+        "digit": [{"question": "q?", "options": [f"{i}) o{i}" for i in range(1, 6)], "answer": "6"}],
+        "blank": [{"question": " ", "options": [f"{i}) o{i}" for i in range(1, 6)], "answer": "1"}],
+        "null": [{"question": None, "options": None, "answer": None}],
+    }
+    model = lambda prompts: prompts.map(lambda p: "```json\n" + json.dumps(answers[p.rsplit("\n", 1)[1]]) + "\n```" if p.rsplit("\n", 1)[1] in answers else "no list")
+    chunks = spark.createDataFrame([(f"c{i}", name) for i, name in enumerate([*answers, "other", "good"])] + [("c9", None)], "chunk_name string, raw_chunk string")
+    found = [tuple(r) for r in records.choice_questions(chunks, model).orderBy("id").collect()]
+    options = [f"{i}) o{i}" for i in range(1, 6)]
+    assert found == [(0, "c0", "q?", options, "3", "o3"), (1, "c6", "q?", options, "3", "o3")]
+
+
+def test_cited_questions_keep_what_stands_in_the_notes(spark):
+    quote = lambda source, text: {"source": source, "text": text}
+    said = [
+        {"sentence": "both", "reference": [quote("a", "red"), quote("b", "sky")]},
+        {"sentence": "wrong note", "reference": [quote("b", "red")]},
+        {"sentence": "one of two", "reference": [quote("a", "red"), quote("a", "blue")]},
+        {"sentence": "none", "reference": []},
+        {"sentence": "empty", "reference": [quote("a", "")]},
+        {"sentence": "null", "reference": [quote("a", None)]},
+        {"sentence": "missing"},
+    ]
+    answer = json.dumps([{"question": "q1", "answer": said}, {"question": "q2", "answer": said[1:]}, {"question": None, "answer": said}])
+    books = spark.createDataFrame([("n1", [("a", "a red rose"), ("b", "the sky"), (None, None)]), ("n2", []), ("n3", None)], "notebook string, notes array<struct<source: string, text: string>>")
+    found = records.cited_questions(books, lambda prompts: prompts.map(lambda p: answer)).collect()
+    assert [(r["id"], r["notebook"], r["question"], [s["sentence"] for s in r["sentences"]]) for r in found] == [(0, "n1", "q1", ["both"])]
