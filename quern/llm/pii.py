@@ -1,6 +1,6 @@
 """Personal data in texts: candidate spans, scored by boosted trees. SQL functions only.
 
-Four base kinds follow fixed patterns with checks and are always redacted. Three high-recall generators propose
+Four base kinds follow fixed patterns with checks and are always redacted. Five high-recall generators propose
 further spans, which may overlap base spans and one another; features of a candidate's format and context go
 through boosted trees, and a threshold per kind, calibrated on held-out candidates, selects what is redacted. Candidates that
 lie within base spans are left out.
@@ -25,13 +25,17 @@ PATTERNS = {
     "ip": (r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", "{t} rlike '[0-9]\\\\.[0-9]'"),
     "card": (r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])", "{t} rlike '[0-9][\\\\x20-]?[0-9]'"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "contains({t}, '+')"),
-    "address": (rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++\x20?(?:[(\[]\x20?at\x20?[)\]]|@)\x20?[A-Za-z0-9-]++\x20?(?:[(\[]\x20?dot\x20?[)\]]|\.)\x20?[A-Za-z]{{2,24}}+", "{t} rlike '@|[(\\\\[]\\\\x20?at\\\\x20?[)\\\\]]'"),
+    "address": (rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++(?:\x20?(?:[(\[]\x20?at\x20?[)\]]|@)\x20?|\x20(?:at|AT)\x20)[A-Za-z0-9-]++(?:(?:\x20?(?:[(\[]\x20?dot\x20?[)\]]|\.)\x20?|\x20(?:dot|DOT)\x20)[A-Za-z]{{2,24}}+){{1,3}}+", "{t} rlike '@|[(\\\\[]\\\\x20?at\\\\x20?[)\\\\]]| (at|AT) [A-Za-z0-9-]+( dot | DOT |[.])'"),
     "number": (r"(?<![0-9A-Za-z.+,-])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,17}(?![\x20().-]{0,2}[0-9])(?![A-Za-z])", "{t} rlike '[0-9][\\\\x20().-]{{0,2}}[0-9]'"),
     "secret": (r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,}+={0,2}+", "{t} rlike '[0-9]'"),
+    "account": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20-]?+[A-Z0-9]{4}(?![a-z])){2,7}+(?:[\x20-]?+[A-Z0-9]{1,3}(?![A-Za-z0-9]))?+(?![A-Za-z0-9])", "{t} rlike '[A-Z][A-Z][0-9][0-9]'"),
+    "token": (r"(?<=/)(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{20,}+(?![A-Za-z0-9_-])", "contains({t}, '/')"),
 }
 BASE = ("email", "ip", "card", "phone")
-EXTRA = ("address", "number", "secret")
+EXTRA = ("address", "number", "secret", "account", "token")
 _LUHN = "aggregate(sequence(0, length({d}) - 1), 0L, (a, i) -> a + (CAST(substring({d}, length({d}) - i, 1) AS int) * (1 + i % 2)) div 10 + (CAST(substring({d}, length({d}) - i, 1) AS int) * (1 + i % 2)) % 10) % 10 = 0"
+# The remainder by 97 of an account number's check: its first four places go last, letters count from 10.
+_REMAINDER = "aggregate(split(regexp_replace(concat(substring({d}, 5), substring({d}, 1, 4)), '[^A-Z0-9]', ''), ''), 0, (a, x) -> IF(x rlike '[0-9]', a * 10 + CAST(x AS int), IF(x = '', a, a * 100 + ascii(x) - 55)) % 97)"
 CHECKS = {
     "email": "true",
     "ip": "forall(split(s.match, '[.]'), x -> try_cast(x AS double) <= 255)",
@@ -61,6 +65,12 @@ FEATURES = {
     "stop_inside": "IF(c.match rlike '[.] ', 1, 0)",
     "last_label": "length(regexp_extract(c.match, '([A-Za-z]+)$', 1))",
     "at_sign": "IF(contains(c.match, '@'), 1, 0)",
+    "spelled": "IF(c.match rlike ' (at|AT) ', 1, 0) + IF(c.match rlike ' (dot|DOT) ', 1, 0)",
+    "checksum": f"IF(c.kind = 'account' AND {_REMAINDER.format(d="regexp_replace(c.match, '[^A-Z0-9]', '')")} = 1, 1, 0)",
+    "account_cue": "IF(c.before rlike '(?i)(iban|account|acct|konto|bank|transfer)[^\\n]{0,14}$', 1, 0)",
+    "hash_cue": "IF(c.before rlike '(?i)(commit|sha|md5|hash|digest|checksum|revision|blob|tree|etag)[^A-Za-z\\n]{0,8}$', 1, 0)",
+    "slashes": "length(regexp_replace(c.match, '[^/]', ''))",
+    "words": "size(regexp_extract_all(c.match, '[a-z]{3,}', 0))",
 }
 
 

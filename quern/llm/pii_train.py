@@ -41,9 +41,31 @@ class TextMaker:
         """form with every 9 replaced by a digit."""
         return "".join(self.pick.choice("0123456789") if c == "9" else c for c in form)
 
+    def account(self, valid: bool = True) -> str:
+        """A bank account number with its check digits, or with wrong ones."""
+        p = self.pick
+        country, body = p.choice(["DE", "FR", "GB", "NL", "ES", "CH", "AT"]), "".join(p.choice("0123456789" if p.random() < 0.85 else "ABCDEFGHIJ") for _ in range(p.choice([14, 16, 18, 20, 23])))
+        remainder = int("".join(str(int(c, 36)) for c in f"{body}{country}00")) % 97
+        check = 98 - remainder if valid else (98 - remainder + p.randint(1, 90)) % 97 + 2
+        number = f"{country}{check:02d}{body}"
+        return number if p.random() < 0.4 else " ".join(number[i : i + 4] for i in range(0, len(number), 4))
+
+    def token(self) -> str:
+        p = self.pick
+        alphabet = p.choice([ALNUM, ALNUM, ALNUM[:26] + ALNUM[52:], ALNUM[26:], "0123456789abcdef"])
+        found = [p.choice(alphabet) for _ in range(p.randint(20, 44))]
+        for needed in ("0123456789", alphabet[:6] if alphabet[0].isalpha() else "abcdef"):
+            found.insert(p.randint(0, len(found)), p.choice(needed))
+        return "".join(found)
+
     def personal(self) -> tuple[str, str, str]:
         """(text before, span, text after)."""
-        p, kind = self.pick, self.pick.randrange(3)
+        p, kind = self.pick, self.pick.randrange(5)
+        if kind == 3:
+            cue = p.choice(["IBAN ", "IBAN: ", "account ", "pay to ", "Konto ", "transfer it to ", "", ""])
+            return cue, self.account(p.random() < 0.9 or cue not in ("IBAN ", "IBAN: ")), p.choice(["", ".", ","])
+        if kind == 4:
+            return f"https://{self.word()}.{p.choice(['com', 'io'])}/{p.choice(['reset', 'share', 'invite', 'hooks', 'd', 's'])}/", self.token(), p.choice(["", "/", "?a=1", "."])
         if kind == 0:
             if p.random() < 0.4:
                 secret = "".join(p.choice("0123456789abcdef") for _ in range(p.choice([20, 32, 40, 64])))
@@ -56,12 +78,12 @@ class TextMaker:
             bare = p.random() < 0.15
             number = self.filled(p.choice(BARE_NUMBERS if bare else NUMBERS))
             return cue if bare or p.random() < 0.65 else "", number, ""
-        at, dot = p.choice([(" (at) ", " (dot) "), ("(at)", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" @ ", "."), (" (at) ", ".")])
+        at, dot = p.choice([(" (at) ", " (dot) "), ("(at)", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" @ ", "."), (" (at) ", "."), (" at ", " dot "), (" AT ", " DOT "), (" at ", " dot ")])
         name = f"{self.word()}{p.choice(['.', '_', ''])}{self.word()}{self.digits(p.choice([0, 0, 2]))}"
         return "", f"{name}{at}{self.word(1, 5)}{dot}{p.choice(['com', 'org', 'net', 'de', 'io', 'co', 'info'])}", ""
 
     def harmless(self) -> str:
-        p, kind = self.pick, self.pick.randrange(13)
+        p, kind = self.pick, self.pick.randrange(22)
         return [
             lambda: self.word(9, 14) + self.digits(p.randint(1, 2)),
             lambda: "_".join([self.word(2, 3), self.word(2, 4), self.word(2, 3)]) + "_" + self.digits(1),
@@ -76,6 +98,15 @@ class TextMaker:
             lambda: f"{self.word()}{p.choice([' @ ', ' [at] '])}{self.word()}.{self.word(2, 4)}",  # a stop without a space
             lambda: f"{p.randint(1, 999)} {self.digits(3)} {self.digits(3)}" + f" {self.digits(3)}" * p.randint(0, 1),
             lambda: f"{p.randint(0, 9)}.{self.digits(p.randint(6, 9))}",
+            lambda: p.choice(["commit ", "sha256:", "SHA-1 ", "md5 ", "checksum ", "tree ", "digest: ", "revision "]) + "".join(p.choice("0123456789abcdef") for _ in range(p.choice([32, 40, 64]))),
+            lambda: f"https://{self.word()}.org/{self.digits(4)}/" + "-".join(p.choice([self.word(1, 3), self.word(1, 3), self.digits(p.randint(1, 4))]) for _ in range(p.randint(5, 10))) + p.choice(["-1", "a", f"-{self.digits(4)}-b", "-" + self.word()]),
+            lambda: f"https://{self.word()}.net/" + p.choice(["-", "_", ""]).join(self.word(2, 4).title() for _ in range(p.randint(3, 6))) + p.choice(["-", "_", ""]) + self.digits(p.randint(1, 8)) + p.choice(["", "", self.word(), "v"]),
+            lambda: f"https://{self.word()}.net/" + "-".join([self.word(1, 2).upper(), self.digits(4), *(self.word(2, 3).title() for _ in range(3)), self.digits(2)]),
+            lambda: f"/{self.word()}/" + "_".join(self.word(2, 4) for _ in range(4)) + self.digits(2),
+            lambda: self.account(valid=False),
+            lambda: f"{p.choice(['AB', 'XK', 'PN'])}{self.digits(2)} {self.word(2, 2).upper()[:4]} {self.digits(4)} {self.digits(4)}",
+            lambda: f"{self.word()} at {self.word(2, 4)}.{p.choice(['com', 'org', self.word(1, 2)])}",
+            lambda: f"{self.word()} at {self.word(1, 3)}. {self.word()}",
         ][kind]()
 
     def text(self) -> tuple[str, list[tuple[int, int]]]:
