@@ -38,10 +38,31 @@ def lines_clean(x: Column) -> Column:
     return F.array_remove(F.transform(F.split(F.coalesce(x, F.lit("")), "\n"), strip), "")
 
 
+def lines_kept(x: Column) -> Column:
+    """Lines with their ends: line feeds, carriage returns with one or without, and the other line and paragraph breaks of Unicode. Together they are the text."""
+    return F.split(x, r"(?<=[\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029])|(?<=\r)(?!\n)")
+
+
 def normalise(x: Column) -> Column:
     return strip(F.coalesce(x, F.lit("")))
 
 
+def normalise_any(x: Column) -> Column:
+    """A variant as stripped text: of an object its first field named content, text, answer or output, of a list its items that are not empty, one a line.
+
+    Null is empty, as is a field that is null; numbers and other objects are as JSON spells them.
+    """
+    kind = lambda v, name: F.startswith(F.coalesce(F.schema_of_variant(v), F.lit("VOID")), F.lit(name))
+    fields = [F.try_variant_get(x, f"$.{name}", "variant") for name in ("content", "text", "answer", "output")]
+    inner = F.when(kind(x, "OBJECT"), F.coalesce(*fields, x)).otherwise(x)
+
+    def shown(v: Column) -> Column:
+        items = F.filter(F.try_variant_get(v, "$", "array<string>"), lambda i: F.coalesce(i, F.lit("")) != "")
+        return F.when(v.isNull() | kind(v, "VOID"), "").when(kind(v, "ARRAY"), F.array_join(items, "\n")).otherwise(F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
+
+    return strip(F.coalesce(shown(inner), F.lit("")))
+
+
 def natural_key(x: Column) -> Column:
     """Compares as people number things: runs of digits as numbers (up to 20 digits), the rest without case."""
     parts = F.regexp_extract_all(x, F.lit(r"\d+|\D+"), F.lit(0))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import let, sentences, strip, words
+from quern.functions.text import let, lines_kept, sentences, strip, words
 from quern.functions.vectors import argmax
 from quern.workspace import materialize
 
@@ -40,11 +40,11 @@ def looks_useful(text: Column, min_words: int = 5, max_repeats: int = 10, max_sy
 
 
 def trim_to_header(text: Column, headers: Sequence[str]) -> Column:
-    """The text from the first line on that is one of the headers but for white space at its ends; null if there is none."""
-    lines = F.split(text, "\n")
+    """The text from the first line on that is one of the headers but for white space at its ends, as it stands; null if there is none. Lines end at any line break."""
+    lines = lines_kept(text)
     known = F.array(*(F.lit(h) for h in headers))
     at = F.array_position(F.transform(lines, lambda line: F.array_contains(known, strip(line))), True)
-    return F.when(at > 0, F.array_join(F.slice(lines, at.cast("int"), F.size(lines)), "\n"))
+    return F.when(at > 0, F.array_join(F.slice(lines, at.cast("int"), F.size(lines)), ""))
 
 
 def rounded(score: Column, digits: int = 4) -> Column:

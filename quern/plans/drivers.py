@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -113,6 +114,30 @@ def answer_by_tokens(contexts: DataFrame, chat: models.ScoredModel, fallback: mo
     return kept.unionByName(asked).withColumn("logprobs", F.col("__c.logprobs")).drop("__c")
 
 
+@dataclass(frozen=True)
+class QuestionType:
+    """How a kind of question is answered: what of its rows is taken, the prompt made of that, and the columns of the result.
+
+    Kinds are put together from parts, by_context = QuestionType(prompt).giving(...), in place of a function for every combination.
+    """
+
+    prompt: Callable[[DataFrame], Column]
+    inputs: Callable[[DataFrame], DataFrame] = lambda rows: rows
+    outputs: Callable[[Column], Sequence[Column]] = lambda answer: records.shape_answer("llm", answer)
+
+    def taking(self, inputs: Callable[[DataFrame], DataFrame]) -> QuestionType:
+        return replace(self, inputs=inputs)
+
+    def giving(self, outputs: Callable[[Column], Sequence[Column]]) -> QuestionType:
+        return replace(self, outputs=outputs)
+
+    def answer(self, rows: DataFrame, model: models.ChatModel) -> DataFrame:
+        """The rows taken, with the result's columns; the model sees each prompt once."""
+        taken = self.inputs(rows)
+        answered = taken.withColumn("__answer", models.column(model, self.prompt(taken)))
+        return answered.select(*taken.columns, *self.outputs(F.col("__answer")))
+
+
 METRICS = ("recall", "mrr", "sbert", "rouge1", "rougeL", "em")
 
 

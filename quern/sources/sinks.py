@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -16,9 +17,21 @@ from quern.workspace import materialize
 
 
 def write_vectors(rows: DataFrame, path: str, old: DataFrame | None = None) -> None:
-    """Upsert vectors keyed by (store, rel_path): with the old table, the newest version of each stays."""
+    """Upsert vectors keyed by (store, rel_path): with the old table, which may be read from path, the newest version of each stays.
+
+    The new table is written beside the path and takes its place when it is whole. versions.VersionedTable has upserts with a history.
+    """
     merged = rows if old is None else upsert(old.unionByName(rows), ["store", "rel_path"], "version")
-    merged.write.partitionBy("store").mode("overwrite").parquet(path)
+    beside, before = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    merged.write.partitionBy("store").parquet(beside)
+    jvm, conf = rows.sparkSession._jvm, rows.sparkSession._jsc.hadoopConfiguration()
+    here, new, gone = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, beside, before))
+    fs = here.getFileSystem(conf)
+    if fs.exists(here) and not fs.rename(here, gone):
+        raise OSError(f"{path} cannot be moved aside; the new table is at {beside}")
+    if not fs.rename(new, here):
+        raise OSError(f"{beside} cannot be moved to {path}; the old table is at {before}")
+    fs.delete(gone, True)
 
 
 def write_lexical(index: LexicalIndex, path: str) -> None:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quern import config, models
 from quern.functions import text
+from quern.functions.prompts import render
 from quern.operators import chunking, filters, records, retrieval
 from quern.plans import drivers
 from quern.sources import sinks
@@ -133,3 +134,13 @@ def test_cited_questions_keep_what_stands_in_the_notes(spark):
     books = spark.createDataFrame([("n1", [("a", "a red rose"), ("b", "the sky"), (None, None)]), ("n2", []), ("n3", None)], "notebook string, notes array<struct<source: string, text: string>>")
     found = records.cited_questions(books, lambda prompts: prompts.map(lambda p: answer)).collect()
     assert [(r["id"], r["notebook"], r["question"], [s["sentence"] for s in r["sentences"]]) for r in found] == [(0, "n1", "q1", ["both"])]
+
+
+def test_question_types_are_put_together(spark):
+    rows = spark.createDataFrame([(1, "why?", "because", "x"), (2, None, None, "y")], "id long, question string, context string, more string")
+    plain = drivers.QuestionType(lambda d: render("answer", question=F.col("question")), records.shape_question)
+    assert [tuple(r) for r in plain.answer(rows, models.echo_model).orderBy("id").collect()] == [(1, "why?", "", "", "why?", "llm"), (2, None, "", "", "Answer the question.", "llm")]
+    by_context = plain.taking(lambda d: d.select("id", "context")).giving(lambda a: records.shape_answer("gate_rag", a, scores=records.judge_scores(s=F.lit(0.5))))
+    by_context = drivers.QuestionType(lambda d: F.col("context"), by_context.inputs, by_context.outputs)
+    found = by_context.answer(rows, models.echo_model).orderBy("id").collect()
+    assert found[0]["generated"] == "because" and found[0]["agent"] == "gate_rag" and found[0]["judge_score"][0]["s"] == 0.5 and found[0].asDict().keys() == {"id", "context", "generated", "agent", "judge_score"}

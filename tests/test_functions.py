@@ -125,3 +125,19 @@ def test_prompts_do_not_fill_slots_inside_values(spark):
 
 def test_normal_tail(spark):
     assert abs(value(spark, models.normal_tail(F.lit(1.959964))) - 0.025) < 1e-6
+
+
+def test_texts_of_any_kind(spark):
+    given = ["null", '""', '" a b "', "12", '["x", null, "", " y "]', '{"text": "t", "content": " c "}', '{"answer": ["p", "q"]}', '{"output": null}', '{"other": 1}', "[]"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(given)] + [(99, None)], "i int, t string").withColumn("v", F.parse_json("t"))
+    found = {r["i"]: r["n"] for r in rows.select("i", text.normalise_any(F.col("v")).alias("n")).collect()}
+    assert found == {0: "", 1: "", 2: "a b", 3: "12", 4: "x\n y", 5: "c", 6: "p\nq", 7: "", 8: '{"other":1}', 9: "", 99: ""}
+
+
+def test_all_line_breaks(spark):
+    from quern.operators import filters
+
+    texts = ["a\nb\r\nc\rd\x0be\x0cf\x1cg\x85h\u2028i\u2029j", "", "x", "x\n", "\n\n", "a\r\n\r\nHead \r\nrest\r"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.lines_kept(F.col("t")).alias("l"), filters.trim_to_header(F.col("t"), ["Head", "i"]).alias("h")).collect()
+    assert {r["i"]: [x for x in r["l"] if x] for r in rows} == {i: t.splitlines(keepends=True) for i, t in enumerate(texts)}
+    assert {r["i"]: r["h"] for r in rows} == {0: "i\u2029j", 1: None, 2: None, 3: None, 4: None, 5: "Head \r\nrest\r"}
