@@ -58,9 +58,10 @@ def chunk_files(spark: SparkSession, path: str, glob: str = "*.json") -> DataFra
 
 
 def qa_files(spark: SparkSession, path: str) -> DataFrame:
-    """Question records of files that hold an object or an array each, with ``id`` anew from 0 in order of path and place."""
-    rows = spark.read.schema(QA).json(path, multiLine=True, recursiveFileLookup=True, pathGlobFilter="*.json").select("*", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("__at"))
-    return renumber(rows.where("question is not null"), ["path", "__at"]).drop("__at")
+    """Question records of files that hold an object or an array each, with ``id`` anew from 0 in order of path and place; files that cannot be read as either have none."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").select("value", F.col("_metadata.file_path").alias("path"))
+    placed = files.select("path", F.posexplode(F.from_json("value", f"array<struct<{QA.replace(' ', ': ').replace(',:', ',')}>>")).alias("__at", "r"))
+    return renumber(placed.select("r.*", "path", "__at").where("question is not null"), ["path", "__at"]).drop("__at")
 
 
 def renumber(rows: DataFrame, order: list[str]) -> DataFrame:

@@ -144,7 +144,7 @@ def test_calls_that_are_refused(spark, call):
 
 def test_limiter_replays_the_batch(spark, tmp_path):
     """Requests in many files, out of order within the delay, the stream stopped and started again from its checkpoint on the way."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKSDB)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == live.ROCKSDB
     draw = random.Random(3)
     times = sorted(round(draw.uniform(0, 400), 3) for _ in range(240))
     requests = [(draw.choice([1, 1, 1, 2, 3]), t, i) for i, t in enumerate(times)]
@@ -160,16 +160,13 @@ def test_limiter_replays_the_batch(spark, tmp_path):
         stream = live.limit_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), delay="10 minutes")
         stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
-    try:
-        arrive(requests[:120])
-        run()
-        arrive(requests[120:])
-        arrive(end)
-        run()
-        arrive([(9, 9000.0, 901)])
-        run()
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    arrive(requests[:120])
+    run()
+    arrive(requests[120:])
+    arrive(end)
+    run()
+    arrive([(9, 9000.0, 901)])
+    run()
     got = {(r["user_id"], r["event_id"]): r["accepted"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     frame = spark.createDataFrame(requests + end, schema).selectExpr("user_id", "event_id", "timestamp_millis(cast(round(s * 1000) as long)) as ts")
     want = {(r["user_id"], r["event_id"]): r["accepted"] for r in online.rate_limit(frame, "user_id", "ts", "event_id").collect()}
