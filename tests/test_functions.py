@@ -120,7 +120,7 @@ def test_vectors(spark):
 
 def test_prompts_do_not_fill_slots_inside_values(spark):
     assert value(spark, prompts.render("declare", question=F.lit("{answer}?"), answer=F.lit("A"))).endswith("Question: {answer}?\nAnswer: A")
-    assert len(prompts.TEMPLATES) == 21
+    assert len({name.partition("@")[0] for name in prompts.TEMPLATES}) == 21
 
 
 def test_normal_tail(spark):
