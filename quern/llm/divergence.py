@@ -81,10 +81,11 @@ def vocabulary(texts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 
 def _automata(terms: pd.DataFrame) -> dict[str, ahocorasick.Automaton]:
+    """One per language, which give the places of terms in the table: automata hold integers of 32 bits, ids have more."""
     built = {}
-    for lang, group in terms.groupby("lang"):
+    for lang, group in terms.reset_index(drop=True).groupby("lang"):
         built[lang] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for term, number in zip(group["term"], group["id"].tolist()):
+        for number, term in group["term"].items():
             built[lang].add_word(f" {term} ", number)
         built[lang].make_automaton()
     return built
@@ -99,6 +100,10 @@ def _count_block(texts: DataFrame, terms: pd.DataFrame) -> DataFrame:
     sent = texts.sparkSession.sparkContext.broadcast(terms)
     number, second = sent._jbroadcast.id(), itemgetter(1)
 
+    def by_id(found: pa.RecordBatch) -> pa.RecordBatch:
+        """Counts of places as counts of ids."""
+        return found.set_column(2, "id", pa.array(sent.value["id"].to_numpy()[found["id"].to_numpy()], pa.int64()))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if number not in _BUILT:
             _BUILT.clear()
@@ -116,9 +121,9 @@ def _count_block(texts: DataFrame, terms: pd.DataFrame) -> DataFrame:
                     found.update(map(second, automata[lang].iter(padded_terms(text.as_py()).decode("utf-8", "surrogatepass"))))
                     held += len(found)
                     if held > HELD:
-                        yield _flush(counts, names, pa.int64())
+                        yield by_id(_flush(counts, names, pa.int64()))
                         counts, held = {}, 0
-            yield _flush(counts, names, pa.int64())
+            yield by_id(_flush(counts, names, pa.int64()))
 
     return texts.select("lang", "source", "text").mapInArrow(count, "lang string, source string, id long, n long")
 

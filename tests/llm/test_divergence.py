@@ -69,6 +69,16 @@ def test_tasks_that_hold_little(spark, monkeypatch):
     assert found(spark, rows) == brute(rows)
 
 
+def test_terms_numbered_in_several_partitions(spark):
+    """Ids of more than 32 bits, as large vocabularies have them."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = texts(3)
+        assert found(spark, rows) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_no_rows(spark):
     assert found(spark, []) == []
     assert found(spark, [(1, "", None, None)]) == []
