@@ -110,8 +110,7 @@ def prose_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages' prose written as files beside where their sources stood, and read again."""
     pages = table(spark, sf_dir, "documents").select(F.concat_ws("/", "lang", "source", F.format_string("doc_%06d.md", "doc_id")).alias("rel_path"), F.col("text").alias("prose"))
     folder = fresh_path(spark, "prose")
-    sinks.write_files(sinks.prose_files(pages), folder)
-    found = scans.markdown_pages(spark, [folder])
+    found = scans.written_pages(sinks.write_files(sinks.prose_files(pages), folder), folder)
     return found.select("rel_path", "stem", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +13,11 @@ from quern.functions.text import natural_key, stem
 from quern.operators.filters import drop_blank
 from quern.operators.records import running_ids
 from quern.operators.retrieval import LexicalIndex
+from quern.sources.files import open_input
 from quern.workspace import fresh_path, shared_dir
 
+READ_BYTES = 8 << 20  # of whole files that a batch of rows holds, and one file more
+
 CHUNK = "id long, source_files array<string>, md_summary string, raw_chunk string"
 QA = "id long, chunk_name string, source_files array<string>, raw_chunk string, md_summary string, question string, answer string, declarative string, ref_doc string, options array<string>"
 PREDICTION = "id long, question string, generated string, answer string, agent string, ref_doc string, retrieved array<struct<rel_path:string,rank:int,content:array<string>>>, judge_score array<map<string,double>>"
@@ -45,6 +49,31 @@ def markdown_pages(spark: SparkSession, paths: Sequence[str], glob: str = "*.md"
     return drop_blank(rows.select("path", rel.alias("rel_path"), stem(F.col("path")).alias("stem"), "text")).withColumn("sort_key", natural_key(F.col("stem")))
 
 
+def written_pages(manifest: DataFrame, folder: str) -> DataFrame:
+    """As markdown_pages(), of the files that a manifest (path) of sinks.write_files() names: tasks open them by name, and no one lists the folder.
+
+    A name that was written several times is one file.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, contents, held = [], [], 0
+            for path in batch.column(0).to_pylist():
+                with open_input(path) as stream:
+                    contents.append(stream.read())
+                paths.append(path)
+                held += len(contents[-1])
+                if held > READ_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+                    paths, contents, held = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+
+    rows = manifest.select("path").distinct().mapInArrow(read, "path string, content binary")
+    rel = F.substring(F.col("path"), len(folder) + 2, 1 << 30)
+    pages = rows.select("path", rel.alias("rel_path"), stem(F.col("path")).alias("stem"), F.col("content").cast("string").alias("text"))
+    return drop_blank(pages).withColumn("sort_key", natural_key(F.col("stem")))
+
+
 def index_rows(pages: DataFrame) -> DataFrame:
     """Metadata of pages for an index: filename, source, rel_path, type, text."""
     return pages.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("path").alias("source"), "rel_path", F.lit("md").alias("type"), "text")

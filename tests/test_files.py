@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from quern.operators import retrieval
+from quern.plans import text_queries
 from quern.sources import readings, scans, sinks
 from quern.streaming import live
 from quern.workspace import materialize, shared_dir
@@ -17,6 +18,17 @@ def test_markdown_scan(spark, tmp_path):
     assert scans.index_rows(pages).columns == ["filename", "source", "rel_path", "type", "text"] and scans.markdown_pages(spark, ["/nowhere"]).count() == 0
 
 
+def test_written_files_are_opened_by_name(spark, sf_dir, tmp_path):
+    """No folder of all files is listed, which the driver would hold."""
+    rows = spark.createDataFrame([("a b/x%20.md", "one"), ("c/é_10.md", " \n"), ("c/y_2.md", "two\n"), ("c/y_2.md", "two\n")], "rel_path string, text string").repartition(1)
+    folder = str(tmp_path / "written")
+    pages = scans.written_pages(sinks.write_files(rows, folder), folder)
+    assert sorted((r["path"], r["rel_path"], r["stem"], r["text"]) for r in pages.collect()) == [(f"{folder}/a b/x%20.md", "a b/x%20.md", "x%20", "one"), (f"{folder}/c/y_2.md", "c/y_2.md", "y_2", "two\n")]
+    assert pages.schema == scans.markdown_pages(spark, ["/nowhere"]).schema
+    layout = text_queries.prose_layout(spark, sf_dir)
+    assert len([f for f in layout.inputFiles() if f.endswith(".md")]) == 0 < layout.count()
+
+
 def test_record_files(spark, tmp_path):
     (tmp_path / "qa").mkdir()
     (tmp_path / "qa" / "b.json").write_text(json.dumps([{"question": "q2"}, {"no": 1}, {"question": "q3"}]))
