@@ -226,45 +226,97 @@ def merge_stores(best: DataFrame, top_k: int | None, merge: str) -> DataFrame:
     return ranked.select("qid", "rank", "store", "doc", "score")
 
 
-def _dense_block(flat: DataFrame, qids: np.ndarray, matrix: np.ndarray, k_each: int) -> DataFrame:
-    """(qid, store, doc, score) candidates of one block of queries."""
+class _Nearest:
+    """The candidates of a task: of each query and store the k_each best, and of those, where top_k is given, no other than can be among the top_k best of all stores.
+
+    A row of another task can push one out of its store's k_each only by a better score, so what is behind top_k rows here is behind as many everywhere.
+    """
+
+    def __init__(self, n_queries: int, k_each: int, top_k: int | None):
+        self.n_queries, self.k_each, self.top_k = n_queries, k_each, top_k
+        self.floor = np.full(n_queries, -np.inf)  # what a score must reach
+        self.stores: dict[Any, int] = {}
+        self.parts: list[np.ndarray] = []  # query, store, doc, score
+        self.fresh, self.kept = 0, 0
+
+    def add(self, stores: list, docs: np.ndarray, scores: np.ndarray) -> None:
+        """Scores (rows, queries) of some rows; none where a score is NaN."""
+        codes = np.array([self.stores.setdefault(s, len(self.stores)) for s in stores], dtype=np.int64)
+        row, query = np.nonzero(scores >= self.floor)
+        self.parts.append(np.rec.fromarrays([query, codes[row], docs[row], scores[row, query]], names="query,store,doc,score"))
+        self.fresh += len(row)
+        if self.fresh > max(self.kept, MAX_CELLS // 16):
+            self.compact()
+
+    def compact(self) -> None:
+        found = np.concatenate(self.parts)
+        rounded = np.round(found["score"], 12)
+        order = np.lexsort((found["doc"], -rounded, found["store"], found["query"]))
+        found, rounded = found[order], rounded[order]
+        kept = _places_in_runs(found["query"], found["store"]) < self.k_each
+        found, rounded = found[kept], rounded[kept]
+        if self.top_k is not None:
+            order = np.lexsort((-rounded, found["query"]))
+            found, rounded = found[order], rounded[order]
+            last = _places_in_runs(found["query"]) == self.top_k - 1
+            self.floor[found["query"][last]] = rounded[last] - 1e-11  # ties and what rounding may tie stay
+            found = found[found["score"] >= self.floor[found["query"]]]
+        self.parts, self.fresh, self.kept = [found], 0, len(found)
+
+    def batches(self, qids: np.ndarray, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        """(qid, store, doc, score) of all that is kept, which is forgotten."""
+        if not self.parts:
+            return
+        self.compact()
+        found, names = self.parts[0], pa.array(list(self.stores), kind)
+        for at in range(0, len(found), 1 << 16):
+            part = found[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(qids[part["query"]], pa.int64()), names.take(pa.array(part["store"])), pa.array(part["doc"], pa.int64()), pa.array(part["score"], pa.float64())], names=["qid", "store", "doc", "score"])
+        self.parts, self.kept = [], 0
+
+
+def _places_in_runs(*keys: np.ndarray) -> np.ndarray:
+    """The place of every row in its run of equal keys."""
+    n = len(keys[0])
+    begins = np.zeros(n, dtype=np.int64)
+    if n:
+        begins[1:] = np.where(np.logical_or.reduce([k[1:] != k[:-1] for k in keys]), np.arange(1, n), 0)
+    return np.arange(n) - np.maximum.accumulate(begins)
+
+
+def _dense_block(flat: DataFrame, qids: np.ndarray, matrix: np.ndarray, k_each: int, best_of_all: int | None = None) -> DataFrame:
+    """(qid, store, doc, score) candidates of one block of queries. best_of_all: how many by score over all stores are wanted, if not all."""
     with np.errstate(invalid="ignore", divide="ignore"):
         matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
     step = max(1, MAX_CELLS // max(1, len(qids)))
 
-    def of_part(part: pa.RecordBatch) -> pa.RecordBatch:
-        docs = part.column(1).to_numpy(zero_copy_only=False)
-        values = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            scores = np.nan_to_num(values @ matrix.T / np.linalg.norm(values, axis=1, keepdims=True), nan=-2.0)
-        rounded, tie = np.round(scores, 12), np.unique(docs, return_inverse=True)[1]
-        columns: list[list] = [[], [], [], []]
-        for store, members in _members(part.column(0).to_pylist()).items():
-            best = _best_places(rounded, tie, members, k_each)
-            value = np.take_along_axis(scores, best, axis=0)
-            good = value > -2
-            for column, more in zip(columns, (np.broadcast_to(qids, best.shape)[good].tolist(), [store] * int(good.sum()), docs[best][good].tolist(), value[good].tolist())):
-                column += more
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.string(), pa.int64(), pa.float64()])], names=["qid", "store", "doc", "score"])
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nearest = _Nearest(len(qids), k_each, best_of_all)
         for batch in batches:
             for at in range(0, batch.num_rows, step):
-                yield of_part(batch.slice(at, step))
+                part = batch.slice(at, step)
+                values = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    scores = values @ matrix.T / np.linalg.norm(values, axis=1, keepdims=True)
+                nearest.add(part.column(0).to_pylist(), part.column(1).to_numpy(zero_copy_only=False), scores)
+                if nearest.kept > 2 * MAX_CELLS:
+                    yield from nearest.batches(qids, pa.string())
+        yield from nearest.batches(qids, pa.string())
 
-    return flat.mapInArrow(search, "qid long, store string, doc long, score double")
+    # Every task has candidates of its own: as many tasks as run at a time give no more than the cluster needs, however large the table is.
+    return flat.coalesce(2 * flat.sparkSession.sparkContext.defaultParallelism).mapInArrow(search, "qid long, store string, doc long, score double")
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k_each: int = 3, top_k: int | None = 5, store_col: str = "label", doc_col: str = "vec_id", vector_col: str = "embedding", qid_col: str = "vec_id", merge: str = "score", max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
     """(qid, rank, store, doc, score): cosine similarity, k_each per store, then top_k by score. Ties go to the smaller doc.
 
-    Exact search in blocks: as many queries as max_query_bytes holds go to every task as one matrix; each batch of vectors is
-    multiplied with it and gives at most k_each candidates per query and store, so what is shuffled does not grow with the batch. A
-    query set of any size is searched, one pass over the vectors per block.
+    Exact search in blocks: as many queries as max_query_bytes holds go to every task as one matrix, with which its vectors are
+    multiplied slice by slice. A task gives at most k_each candidates per query and store, by score only those that can be among top_k, so what is
+    shuffled does not grow with the vectors. A query set of any size is searched, one pass over the vectors per block.
     """
     asked = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(vector_col).alias("v")).where("v is not null and qid is not null")
     flat = vectors.where(F.col(vector_col).isNotNull()).select(F.col(store_col).cast("string").alias("store"), F.col(doc_col).cast("long").alias("doc"), F.col(vector_col).cast("array<float>").alias("v"))
-    best = _top(_vector_blocks(asked, max_query_bytes), lambda block: _dense_block(flat, *block, k_each), k_each, "dense-block", F.desc(F.round("score", 12)), F.col("doc"))
+    best = _top(_vector_blocks(asked, max_query_bytes), lambda block: _dense_block(flat, *block, k_each, top_k if merge == "score" else None), k_each, "dense-block", F.desc(F.round("score", 12)), F.col("doc"))
     if best is None:
         best = flat.selectExpr("doc AS qid", "store", "CAST(0 AS int) AS rn", "doc", "CAST(0 AS double) AS score").where("false")
     return merge_stores(best, top_k, merge)

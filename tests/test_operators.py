@@ -2,6 +2,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,45 @@ def test_dense_search_matches_the_definition(spark):
     assert retrieval.dense_topk(vectors, vectors.where("false")).count() == 0
 
 
+def test_tasks_of_dense_search_give_few_candidates(spark, monkeypatch):
+    """No more than what can be among the best of all, however many slices a task cuts its vectors into."""
+    rng = np.random.default_rng(5)
+    vectors = spark.createDataFrame([(i, rng.normal(size=4).tolist(), i % 10) for i in range(3000)], "vec_id long, embedding array<double>, label int").repartition(2)
+    counts, top = [], retrieval._top
+
+    def counted(blocks, search, *more):
+        return top(((counts.append(search(b).count()), b)[1] for b in blocks), search, *more)
+
+    monkeypatch.setattr(retrieval, "_top", counted)
+    assert retrieval.dense_topk(vectors, vectors).count() == 5 * 3000
+    assert counts == [2 * 3000 * 5]
+
+
+@pytest.mark.parametrize("top_k", [None, 1, 5])
+def test_nearest_keeps_what_all_tasks_need(monkeypatch, top_k):
+    monkeypatch.setattr(retrieval, "MAX_CELLS", 200)
+    rng = np.random.default_rng(7)
+    scores = rng.integers(0, 40, size=(400, 6)) / 40  # many ties
+    scores[rng.random(scores.shape) < 0.05] = np.nan
+    stores = [f"s{i}" if i else None for i in rng.integers(0, 5, 400)]
+
+    def best(rows):  # (query, store, doc, score) as windows over all stores choose them
+        found = []
+        for q in range(6):
+            mine = [r for r in rows if r[0] == q]
+            firsts = [(r, n) for s in set(stores) for n, r in enumerate(sorted((r for r in mine if r[1] == s), key=lambda r: (-r[3], r[2]))[:3])]
+            found += [r for r, _ in sorted(firsts, key=lambda f: (-f[0][3], f[0][1] or "", f[1]))[:top_k]]
+        return sorted(found, key=repr)
+
+    kept = []
+    for task in range(3):
+        nearest = retrieval._Nearest(6, 3, top_k)
+        for at in range(task * 7, 400, 21):
+            nearest.add(stores[at : at + 7], np.arange(at, min(at + 7, 400)), scores[at : at + 7])
+        kept += [(r["qid"], r["store"], r["doc"], r["score"]) for b in nearest.batches(np.arange(6), pa.string()) for r in b.to_pylist()]
+    assert best(kept) == best([(q, stores[i], i, float(scores[i, q])) for i in range(400) for q in range(6) if scores[i, q] == scores[i, q]])
+
+
 def test_context(spark):
     found = spark.createDataFrame([(1, 2, 20), (1, 1, 10), (1, 3, 30)], "qid int, rank int, doc long")
     contents = spark.createDataFrame([(10, "ten"), (20, ""), (30, "thirty")], "doc_id long, text string")
