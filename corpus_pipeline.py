@@ -29,7 +29,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one_of_similar(docs, shingle_words=5)
+    """By SimHash fingerprints as op1 links them, and by an exact search for similar texts that are out of their reach."""
+    return keep_one_of_similar(docs, shingle_words=5, max_distance=2)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

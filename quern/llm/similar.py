@@ -1,4 +1,4 @@
-"""Near-duplicate texts by the Jaccard similarity of their word shingles: exact, without fingerprints.
+"""Near-duplicate texts by the Jaccard similarity of their word shingles: exact, and without fingerprints unless they are asked for as well.
 
 1. Texts with the same words form a class by themselves (a 64-bit key); only distinct ones are compared.
 2. Texts with similarity of SIMILARITY (4/5) or more miss at most a fifth of one another's shingles. A text for which more than a fifth of all its
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.components import connected_components
-from quern.llm.simhash import keep_named, named_classes
+from quern.llm.simhash import keep_named, named_classes, near_duplicate_classes
 from quern.workspace import discard, materialize
 
 SHARE = 77  # of 256: shingles whose hashes end in less are looked at first
@@ -146,15 +146,24 @@ def similar_links(texts: DataFrame, shingle_words: int = 5) -> DataFrame:
     return links
 
 
-def keep_one_of_similar(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
+def fingerprint_ties(texts: DataFrame, shingle_words: int = 5, max_distance: int = 2) -> DataFrame:
+    """(src, dst) of texts (fp, text) with distinct fp: those that chains of SimHash fingerprints at most max_distance bits apart connect, each tied to one of its class."""
+    classes = near_duplicate_classes(texts, "fp", "text", shingle_words, max_distance)
+    return classes.where("id <> component_id").select(F.col("id").alias("src"), F.col("component_id").alias("dst"))
+
+
+def keep_one_of_similar(docs: DataFrame, shingle_words: int = 5, max_distance: int | None = None) -> DataFrame:
     """One document of every class of similar texts, with all its columns: texts that chains of Jaccard similarities of at least 0.8 connect.
 
-    Rows that share a doc_id count as one document and stay together if any of them names its class. Rows without a doc_id stay.
+    With max_distance, SimHash fingerprints at most so many bits apart connect texts as well. Rows that share a doc_id count as one
+    document and stay together if any of them names its class. Rows without a doc_id stay.
     """
     keyed = text_keys(docs)  # taken twice, which costs less than to write all texts
     prints = materialize(keyed.select("id", "fp"), "similar-prints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "similar-distinct")
     texts = materialize(keyed.groupBy("fp").agg(F.min("text").alias("text")), "similar-distinct-texts")
     links = similar_links(texts, shingle_words)
+    if max_distance is not None:
+        links = materialize(links.union(fingerprint_ties(texts, shingle_words, max_distance)), "similar-ties")
     discard(texts)
     return keep_named(docs, named_classes(prints, distinct, links))

@@ -2,7 +2,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
-from quern.llm import similar
+from quern.llm import similar, simhash
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -54,6 +54,17 @@ def test_the_stage_drops_texts_that_are_similar_by_a_few_words(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect()) == [1, 3]
 
 
+def test_the_stage_links_fingerprints(spark):
+    """Texts whose fingerprints agree and whose sets of shingles hardly do, and all that similarity alone connects."""
+    rows = [(1, "w " * 300 + "it ends with these words here", "x"), (2, "w " * 300 + "and so does another one of them", "x"), (3, "w " * 5 + "this one has other shingles than the two and is left", "x")]
+    prints = {r["id"]: r["fp"] for r in simhash.fingerprints(spark.createDataFrame(rows, DOCS), shingle_words=5).collect()}
+    assert (prints[1] ^ prints[2]).bit_count() <= 2 < (prints[1] ^ prints[3]).bit_count()
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect()) == [1, 3]
+    rows = sample_rows()
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame([(d, t, "x") for d, t in rows], DOCS).repartition(3), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == brute_kept(rows)
+
+
 def test_repeated_and_missing_ids(spark):
     text = "the same words stand here in each of these texts " * 5
     rows = [(3, text, "1"), (5, text, "2"), (None, text, "3"), (9, "something else entirely is written in this one", "4"), (9, text, "5")]
