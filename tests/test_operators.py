@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quern import models
 from quern.operators import chunking, filters, online, records, retrieval, routing, statistics
+from quern.plans import search_queries
 from quern.sources import scans
 
 
@@ -138,6 +139,21 @@ def test_tasks_of_dense_search_give_few_candidates(spark, monkeypatch):
     assert counts == [2 * 3000 * 5]
 
 
+def test_retrieval_scores_hold_few_candidates(spark, monkeypatch, tmp_path):
+    """As for dense_topk_merge: what is judged comes from few candidates too."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).tolist(), i % 10) for i in range(40000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(2).write.parquet(str(tmp_path / "embeddings.parquet"))
+    counts, top = [], retrieval._top
+
+    def counted(blocks, search, *more):
+        return top(((counts.append(search(b).count()), b)[1] for b in blocks), search, *more)
+
+    monkeypatch.setattr(retrieval, "_top", counted)
+    assert search_queries.retrieval_scores(spark, str(tmp_path)).count() == 2000
+    assert len(counts) == 1 and counts[0] <= 2 * 2000 * 5
+
+
 @pytest.mark.parametrize("top_k", [None, 1, 5])
 def test_nearest_keeps_what_all_tasks_need(monkeypatch, top_k):
     monkeypatch.setattr(retrieval, "MAX_CELLS", 200)
