@@ -5,7 +5,8 @@ second counts their occurrences per (language, source) with Aho-Corasick automat
 run over texts whose terms are joined by single blanks: an occurrence is one match, and no part of a longer term is.
 
 Workers hold the automata of one block of the vocabulary, BLOCK_CHARS characters at most; a larger vocabulary is counted in as many passes as
-it has blocks, all terms in full. Both passes add up within a task before anything is shuffled, and what a task holds is bounded by HELD entries.
+it has blocks, all terms in full. Both passes add up within a task before anything is shuffled; what a task holds is bounded by HELD entries, or by PLACES
+occurrences, which are held as bare numbers.
 
 Counts that are zero are not written. Sources are compared in tiles of TILE by TILE of them, from the postings of about TILE terms at a time: each term that
 a source of the tile has adds once to its sums; all others add the difference of what the two sources give to terms they lack, one product.
@@ -13,7 +14,7 @@ a source of the tile has adds once to its sums; all others add the difference of
 
 from __future__ import annotations
 
-import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -33,42 +34,42 @@ from quern.workspace import materialize
 MIN_DOCS, PRIOR, SCALE, TERM_RANKS = 30, 5, 1_000_000_000, 50
 BLOCK_CHARS = 1 << 23  # some 500 MB of automata at most
 HELD = 1 << 19
+PLACES = 1 << 23
 TILE = 256
 
-#: What stands between terms: all of ASCII but its letters.
-_BETWEEN = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
+#: Bytes of UTF-8: A-Z in lower case, and what stands between terms, which is all of ASCII but its letters, as blanks.
+_PLAIN = bytes(b if b > 0x7F or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
 
 
 def padded_terms(text: str | None) -> bytes:
     """The text's terms with A-Z in lower case, each between two single blanks, in UTF-8."""
-    return b" %s " % _BETWEEN.sub(b" ", (text or "").encode("utf-8", "surrogatepass").lower()).strip(b" ")
+    return b" %s " % b" ".join((text or "").encode("utf-8", "surrogatepass").translate(_PLAIN).split())
 
 
-def _flush(counts: dict[tuple, dict], names: list[str], kind: pa.DataType) -> pa.RecordBatch:
-    """A row per key and counted thing."""
-    sizes = [len(found) for found in counts.values()]
-    columns = [pa.array([key[i] for key in counts], pa.string()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))) for i in range(len(names) - 2)]
-    things = pa.array([thing for found in counts.values() for thing in found], kind)
-    return pa.RecordBatch.from_arrays([*columns, things, pa.array([n for found in counts.values() for n in found.values()], pa.int64())], names=names)
+def _flush(counts: dict[str, Counter]) -> pa.RecordBatch:
+    """A row per language and term."""
+    of = pa.array(np.repeat(np.arange(len(counts)), [len(found) for found in counts.values()]))
+    terms = pa.array([term for found in counts.values() for term in found], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()).take(of), terms, pa.array([n for found in counts.values() for n in found.values()], pa.int64())], names=["lang", "term", "n"])
 
 
 def document_frequencies(texts: DataFrame) -> DataFrame:
     """(lang, term, n_docs) of texts (lang, source, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple, Counter] = {}
-        held, names = 0, ["lang", "term", "n"]
+        counts: dict[str, Counter] = {}
+        held = 0
         with no_cycles():
             for batch in batches:
                 for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    found = counts.setdefault((lang,), Counter())
+                    found = counts.setdefault(lang, Counter())
                     held -= len(found)
                     found.update(set(padded_terms(text.as_py()).split()))
                     held += len(found)
                     if held > HELD:
-                        yield _flush(counts, names, pa.binary())
+                        yield _flush(counts)
                         counts, held = {}, 0
-            yield _flush(counts, names, pa.binary())
+            yield _flush(counts)
 
     found = texts.select("lang", "text").mapInArrow(count, "lang string, term binary, n long")
     return found.groupBy("lang", "term").agg(F.sum("n").alias("n_docs")).withColumn("term", F.decode("term", "UTF-8"))
@@ -100,30 +101,38 @@ def _count_block(texts: DataFrame, terms: pd.DataFrame) -> DataFrame:
     sent = texts.sparkSession.sparkContext.broadcast(terms)
     number, second = sent._jbroadcast.id(), itemgetter(1)
 
-    def by_id(found: pa.RecordBatch) -> pa.RecordBatch:
-        """Counts of places as counts of ids."""
-        return found.set_column(2, "id", pa.array(sent.value["id"].to_numpy()[found["id"].to_numpy()], pa.int64()))
+    def counted(found: dict[tuple[str, str], array]) -> pa.RecordBatch:
+        """A row per group and term from the places of its occurrences."""
+        ids = sent.value["id"].to_numpy()
+        kept, sums = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for places in found.values():
+            some, n = np.unique(np.frombuffer(places, dtype=np.int32), return_counts=True)
+            kept.append(ids[some])
+            sums.append(n)
+        of = pa.array(np.repeat(np.arange(len(found)), [len(n) for n in sums[1:]]))
+        groups = [pa.array([group[i] for group in found], pa.string()).take(of) for i in range(2)]
+        return pa.RecordBatch.from_arrays([*groups, pa.array(np.concatenate(kept), pa.int64()), pa.array(np.concatenate(sums), pa.int64())], names=["lang", "source", "id", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if number not in _BUILT:
             _BUILT.clear()
             _BUILT[number] = _automata(sent.value)
         automata = _BUILT[number]
-        counts: dict[tuple, Counter] = {}
-        held, names = 0, ["lang", "source", "id", "n"]
+        found: dict[tuple[str, str], array] = {}
+        held = 0
         with no_cycles():
             for batch in batches:
                 for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                     if lang not in automata:
                         continue
-                    found = counts.setdefault((lang, source), Counter())
-                    held -= len(found)
-                    found.update(map(second, automata[lang].iter(padded_terms(text.as_py()).decode("utf-8", "surrogatepass"))))
-                    held += len(found)
-                    if held > HELD:
-                        yield by_id(_flush(counts, names, pa.int64()))
-                        counts, held = {}, 0
-            yield by_id(_flush(counts, names, pa.int64()))
+                    places = found.setdefault((lang, source), array("i"))
+                    held -= len(places)
+                    places.extend(map(second, automata[lang].iter(padded_terms(text.as_py()).decode("utf-8", "surrogatepass"))))
+                    held += len(places)
+                    if held > PLACES:
+                        yield counted(found)
+                        found, held = {}, 0
+            yield counted(found)
 
     return texts.select("lang", "source", "text").mapInArrow(count, "lang string, source string, id long, n long")
 

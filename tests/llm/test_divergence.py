@@ -69,6 +69,13 @@ def test_tasks_that_hold_little(spark, monkeypatch):
     assert found(spark, rows) == brute(rows)
 
 
+def test_tasks_that_hold_few_occurrences(spark, monkeypatch):
+    """Places are given out as counts again and again, within a group and between groups."""
+    monkeypatch.setattr(divergence, "PLACES", 50)
+    rows = texts(4)
+    assert found(spark, rows) == brute(rows)
+
+
 def test_terms_numbered_in_several_partitions(spark):
     """Ids of more than 32 bits, as large vocabularies have them."""
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
@@ -87,3 +94,5 @@ def test_no_rows(spark):
 def test_terms():
     assert divergence.padded_terms(None) == b"  " and divergence.padded_terms("1 2_3") == b"  "
     assert divergence.padded_terms("It's AÉ\x85b\x00c") == " it s aÉ\x85b c ".encode()
+    everything = "".join(f"{c}q{c}{c}Z" for c in map(chr, [*range(0x180), 0x2003, 0x3042, 0xFFFF, 0x1F600]))
+    assert divergence.padded_terms(everything).decode().split(" ")[1:-1] == TERM.findall(lower(everything))
